@@ -69,7 +69,7 @@ def mix_sources(
     share: float = 1.5,
     max_epochs: int = 2,
     seed: str = "mix",
-    rows_per_range: int = 20_000,
+    rows_per_range: int = 2_000,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken (and the columns in ``keep``).
@@ -82,7 +82,7 @@ def mix_sources(
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     n = per_source.agg(F.sum("n")).first()[0] or 0
     digits = 1
-    while 16**digits * rows_per_range < n and digits < 6:
+    while 16**digits * rows_per_range < n and digits < 8:
         digits += 1
     ranged = sized.withColumn("range", F.substring("key", 1, digits))
     targets = source_targets(per_source.select("source", "source_size"), weights, share, max_epochs)

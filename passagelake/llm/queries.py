@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import html_extract, mixing, quality, simhash, warc, wordpiece
 
 QUERIES = {
+    "op1_quality_trees": quality.op1_quality_trees,
+    "op6_warc_round_trip": warc.op6_warc_round_trip,
+    "op7_token_counts": wordpiece.op7_token_counts,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op10_html_main_text": html_extract.op10_html_main_text,
 }
 
-SQL = {"op8_mix_sources": mixing.OP8_SQL}
+SQL = {"op6_warc_round_trip": warc.OP6_SQL, "op8_mix_sources": mixing.OP8_SQL}
