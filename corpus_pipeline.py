@@ -1,8 +1,77 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
+All but the last return the columns of ``documents``; the last returns the documents
+of the mix with their size, target and words taken.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from passagelake.llm import decontaminate, mixing, quality, simhash, suffix_dedup
+from passagelake.llm.common import table, written
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality trees do not reject."""
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.where("quality_keep").select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the smallest id, and of rows
+    that repeat it the first by text. A document without id stays only if no member
+    of its group has one."""
+    fps = simhash.near_duplicates(docs)
+    per_row = docs.select("doc_id", *[c for c in docs.columns if c != "doc_id"])
+    lead = fps.where("component_id is null or doc_id <=> component_id").select(F.col("doc_id").alias("pl_id"), F.col("fp").alias("pl_fp")).distinct()
+    ids = lead.select("pl_id").distinct()
+    kept = per_row.join(ids, F.expr("doc_id <=> pl_id"), "left_semi")
+    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("pl_id"))
+    once = kept.join(repeated, F.expr("doc_id <=> pl_id"), "left_anti")
+    again = kept.join(repeated, F.expr("doc_id <=> pl_id"), "left_semi").where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text")).alias("r")).select("r.*")
+    no_id = kept.join(repeated, F.expr("doc_id <=> pl_id"), "left_semi").where("doc_id is null").dropDuplicates(["text"])
+    return once.unionByName(again).unionByName(no_id).select(*docs.columns)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that an earlier document has; texts that lose
+    all their words go."""
+    cut = suffix_dedup.remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.where(F.col("text").rlike(mixing.WORD)).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: doc_id, source, size, source_size, target, taken and the text, for
+    documents of which the mix takes words."""
+    mixed = mixing.mix_sources(docs, keep=("text",))
+    return mixed.where("taken > 0")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mix_to_weights", mix_to_weights),
+]
+
+#: SQL has no XXH64, no trees and no edit search over windows: tested by parts
+#: against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

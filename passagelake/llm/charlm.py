@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, written
 
 ORDER = 5
 SYMBOL_BITS = 12
@@ -206,11 +206,13 @@ class HashedModel:
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> HashedModel:
     """The model of an n-gram table (key, n) as :func:`count_ngrams` gives it; the
-    table should be written, since each order reads it."""
+    table should be written, since each order reads it. Every order's counts, context
+    sums and probabilities are written too, so that no order computes another again.
+    """
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
         mask = (1 << SYMBOL_BITS * k) - 1
-        tables[k] = tables[k + 1].groupBy(F.col("key").bitwiseAND(F.lit(mask).cast("bigint")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        tables[k] = written(tables[k + 1].groupBy(F.col("key").bitwiseAND(F.lit(mask).cast("bigint")).alias("key")).agg(F.count(F.lit(1)).alias("n")), f"ngrams-{k}")
     probs, backs, below = [], [], None
     for k in range(1, order + 1):
         t = tables[k]
@@ -218,7 +220,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> HashedModel:
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         t = t.withColumn("context", F.shiftright("key", SYMBOL_BITS))
         stats = t.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount).alias("mass"))
-        stats = stats.select("context", "total", (F.col("mass") / F.col("total")).alias("back"))
+        stats = written(stats.select("context", "total", (F.col("mass") / F.col("total")).alias("back")), f"contexts-{k}")
         joined = t.join(stats, "context")
         own = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total")
         if k == 1:
@@ -227,7 +229,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> HashedModel:
             mask = (1 << SYMBOL_BITS * (k - 1)) - 1
             joined = joined.withColumn("suffix", F.col("key").bitwiseAND(F.lit(mask).cast("bigint"))).join(below.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix")
             p = own + F.col("back") * F.col("low")
-        below = joined.select("key", p.alias("p"))
+        below = written(joined.select("key", p.alias("p")), f"probabilities-{k}")
         probs.append(_gathered(below.select("key", F.log2("p").cast("float").alias("v")), k))
         if k > 1:
             backs.append(_gathered(stats.select(F.col("context").alias("key"), F.log2("back").cast("float").alias("v")), k - 1))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import html_extract, mixing, perplexity, quality, simhash, toxicity, warc, wordpiece
+from . import decontaminate, html_extract, mixing, perplexity, quality, simhash, suffix_dedup, toxicity, warc, wordpiece
 
 QUERIES = {
     "op1_quality_trees": quality.op1_quality_trees,
     "op2_perplexity_rules": perplexity.op2_perplexity_rules,
     "op3_toxicity_restored": toxicity.op3_toxicity_restored,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc_round_trip": warc.op6_warc_round_trip,
     "op7_token_counts": wordpiece.op7_token_counts,
     "op8_mix_sources": mixing.op8_mix_sources,
