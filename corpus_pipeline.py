@@ -21,19 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id, and of rows
-    that repeat it the first by text. A document without id stays only if no member
-    of its group has one."""
-    fps = simhash.near_duplicates(docs)
-    per_row = docs.select("doc_id", *[c for c in docs.columns if c != "doc_id"])
-    lead = fps.where("component_id is null or doc_id <=> component_id").select(F.col("doc_id").alias("pl_id"), F.col("fp").alias("pl_fp")).distinct()
-    ids = lead.select("pl_id").distinct()
-    kept = per_row.join(ids, F.expr("doc_id <=> pl_id"), "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("pl_id"))
-    once = kept.join(repeated, F.expr("doc_id <=> pl_id"), "left_anti")
-    again = kept.join(repeated, F.expr("doc_id <=> pl_id"), "left_semi").where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text")).alias("r")).select("r.*")
-    no_id = kept.join(repeated, F.expr("doc_id <=> pl_id"), "left_semi").where("doc_id is null").dropDuplicates(["text"])
-    return once.unionByName(again).unionByName(no_id).select(*docs.columns)
+    """One document of each group of near-duplicates, the smallest id."""
+    return simhash.one_of_each(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +40,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: doc_id, source, size, source_size, target, taken and the text, for
-    documents of which the mix takes words."""
-    mixed = mixing.mix_sources(docs, keep=("text",))
+    """The mix: doc_id, size, source_size, target, taken, and the other columns of
+    the documents of which it takes words."""
+    mixed = mixing.mix_sources(docs, keep=[c for c in docs.columns if c not in ("doc_id", "size", "source_size", "target", "taken", "source", "key", "range", "upto")] + ["source"])
     return mixed.where("taken > 0")
 
 

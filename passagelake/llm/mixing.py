@@ -77,7 +77,7 @@ def mix_sources(
     ``keep`` columns ride along through the sort; leave long texts out of it and
     join them afterwards.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), random_key("doc_id", seed).alias("key"), *keep)
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), random_key("doc_id", seed).alias("key"), *[c for c in keep if c != "source"])
     sized = written(sized, "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     n = per_source.agg(F.sum("n")).first()[0] or 0

@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, table, text_buffers, written
@@ -77,13 +77,20 @@ def _fingerprint_batches(batches):
         raw, offs = text_buffers(batch.column(batch.schema.get_field_index("text")))
         data = raw.tobytes()
         fps = np.array([fingerprint(data[offs[i] : offs[i + 1]]) for i in range(len(offs) - 1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "key", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+def row_key() -> Column:
+    """What names a row: its doc_id, or without one its text."""
+    return F.when(F.col("doc_id").isNotNull(), F.col("doc_id").cast("bigint").cast("string")).otherwise(F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+
+
+def fingerprints(docs: DataFrame, with_key: bool = False) -> DataFrame:
+    """(doc_id, key, fp): the fingerprint as a signed 64-bit integer; ``key`` is
+    :func:`row_key` if asked for, else null."""
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_fingerprint_batches, "doc_id bigint, fp bigint")
+    key = row_key() if with_key else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("key"), "text").mapInArrow(_fingerprint_batches, "doc_id bigint, key string, fp bigint")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64, seed: int = 7) -> list[int]:
@@ -230,17 +237,33 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def _grouped(docs: DataFrame, radius: int, with_key: bool) -> tuple[DataFrame, DataFrame]:
+    """(prints, classes): one row per document, and one per fingerprint with its
+    component's root, id and the key of the row that stands for the component."""
+    prints = written(fingerprints(docs, with_key), "simhash")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("key").alias("least_key")), "simhash-classes")
+    roots = components(fingerprint_links(classes.select("fp"), radius))
+    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "least_key")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min("least_key").alias("any_key"))
+    ids = ids.select("root", "component_id", F.coalesce(F.col("component_id").cast("string"), "any_key").alias("lead_key"))
+    return prints, named.join(ids, "root").select("fp", "root", "component_id", "lead_key")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (signed), component_id: smallest doc_id reachable over links."""
-    prints = written(fingerprints(docs), "simhash")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = written(classes, "simhash-classes")
-    edges = fingerprint_links(classes.select("fp"), radius)
-    roots = components(edges)
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = named.join(ids, "root").select("fp", "component_id")
-    return prints.join(linked, "fp")
+    prints, classes = _grouped(docs, radius, False)
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stand for their group: the smallest
+    id; of rows that repeat it the first by text; in a group without any id, the
+    least text by hash."""
+    _, classes = _grouped(docs, radius, True)
+    leads = classes.groupBy("root").agg(F.first("lead_key").alias("pl_key")).select("pl_key")
+    first = Window.partitionBy("pl_key").orderBy(F.col("text").isNull(), "text")
+    kept = docs.withColumn("pl_key", row_key()).join(leads, "pl_key", "left_semi")
+    return kept.withColumn("pl_rank", F.row_number().over(first)).where("pl_rank = 1").select(*docs.columns)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
