@@ -276,8 +276,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, shared, max_rows: int = MAX_
     each needs several toxic rows."""
     sample = label_sample(labels, "toxic", max_rows)
     joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    joined = joined.select("doc_id", "text", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    joined = written(without_copies(joined), "toxic-sample")
+    joined = written(without_copies(joined.select("doc_id", "text", "label")), "toxic-sample")
     size = joined.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("t")).first()
     n, t = int(size["n"] or 0), int(size["t"] or 0)
     if not t or t == n:
