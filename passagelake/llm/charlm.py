@@ -150,14 +150,16 @@ def _slots_column(order: int):
 
 class HashedModel:
     """Per order: sorted slots with log2 probabilities; per context length: sorted
-    slots with log2 back-off weights."""
+    slots with log2 back-off weights; ``unseen`` is for symbols never counted."""
 
-    def __init__(self, order: int, probs, backs):
-        self.order, self.probs, self.backs = order, probs, backs
+    unseen = -float(SYMBOL_BITS)
+
+    def __init__(self, order: int, probs, backs, unseen: float = -float(SYMBOL_BITS)):
+        self.order, self.probs, self.backs, self.unseen = order, probs, backs, unseen
         self._dense = None
 
     def __getstate__(self):
-        return {"order": self.order, "probs": self.probs, "backs": self.backs, "_dense": None}
+        return {**self.__dict__, "_dense": None}
 
     def _tables(self):
         """The sorted arrays laid out by slot: one gather per look-up."""
@@ -188,7 +190,7 @@ class HashedModel:
                 at = at & ((1 << SYMBOL_BITS * k) - 1)
                 p = probs[k - 1][_hash_slots(at, k)].astype(np.float64)
                 if k == 1:
-                    p = np.where(np.isnan(p), -float(SYMBOL_BITS), p)
+                    p = np.where(np.isnan(p), self.unseen, p)
                 hit = ~np.isnan(p)
                 out[rest[hit]] = (weight + p)[hit]
                 rest, weight, at = rest[~hit], weight[~hit], at[~hit]
@@ -213,7 +215,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> HashedModel:
     for k in range(order - 1, 0, -1):
         mask = (1 << SYMBOL_BITS * k) - 1
         tables[k] = written(tables[k + 1].groupBy(F.col("key").bitwiseAND(F.lit(mask).cast("bigint")).alias("key")).agg(F.count(F.lit(1)).alias("n")), f"ngrams-{k}")
-    probs, backs, below = [], [], None
+    probs, backs, below, unseen = [], [], None, -float(SYMBOL_BITS)
     for k in range(1, order + 1):
         t = tables[k]
         d1, d2, d3 = _discounts(t)
@@ -225,6 +227,8 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> HashedModel:
         own = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total")
         if k == 1:
             p = own + F.col("back") / SYMBOLS
+            free = stats.select(F.log2("back").alias("b")).first()
+            unseen += float(free["b"]) if free else 0.0
         else:
             mask = (1 << SYMBOL_BITS * (k - 1)) - 1
             joined = joined.withColumn("suffix", F.col("key").bitwiseAND(F.lit(mask).cast("bigint"))).join(below.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix")
@@ -233,7 +237,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> HashedModel:
         probs.append(_gathered(below.select("key", F.log2("p").cast("float").alias("v")), k))
         if k > 1:
             backs.append(_gathered(stats.select(F.col("context").alias("key"), F.log2("back").cast("float").alias("v")), k - 1))
-    return HashedModel(order, probs, backs)
+    return HashedModel(order, probs, backs, unseen)
 
 
 def _gathered(rows: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
