@@ -161,6 +161,8 @@ class Restorer:
         """The lower-case restored text; white space stays."""
         text = _SPACED.sub(lambda m: self.decoder.best(lattice_of(m[0].rstrip(TRAILING), spaced=True)), text.lower())
         tokens = set(text.split())
+        if not _LONG_RUN.search(text):  # then words of letters alone have one reading
+            tokens = [t for t in tokens if not t.isalpha() and not t.rstrip(TRAILING).isalpha()]
         changed = {t for t in tokens if self.token(t) != t}
         if changed:
             text = re.sub(r"\S+", lambda m: self.token(m[0]) if m[0] in changed else m[0], text)
@@ -182,7 +184,10 @@ class Lexicon:
 
     def __init__(self, shares: dict[str, tuple[float, float, float]], base: float):
         self.shares, self.base = shares, base
-        self.folded = {self.fold(t.lstrip("^")) for t in shares}
+        cores = {t.lstrip("^") for t in shares}
+        #: How a token begins that has a term, plain or with its first letter doubled.
+        self.heads = {c[:2] for c in cores} | {c[:1] * 2 for c in cores}
+        self.folded = {self.fold(c) for c in cores}
         self.lengths = sorted({len(x) for x in self.folded})
 
     @staticmethod
@@ -216,7 +221,8 @@ class Scorer:
 
     def score(self, restored: str) -> float:
         found: Counter = Counter()
-        for token, n in Counter(restored.split()).items():
+        heads = self.lexicon.heads
+        for token, n in Counter([t for t in restored.split() if t[:2] in heads or not t[0].isalnum()]).items():
             for term in self.hits(token):
                 found[term] += n
         return max([self.lexicon.base, *(self.lexicon.shares[t][min(n, LEVELS) - 1] for t, n in found.items())])
