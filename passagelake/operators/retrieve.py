@@ -79,8 +79,10 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, pos: str = "chunk
         if len(ids) == QUERY_BLOCK:
             parts.append(_block_search(vectors, np.array(ids), np.array(rows, np.float64), k, pos))
             ids, rows = [], []
-    if ids or not parts:
-        parts.append(_block_search(vectors, np.array(ids, np.int64), np.array(rows, np.float64).reshape(len(rows), -1), k, pos))
+    if ids:
+        parts.append(_block_search(vectors, np.array(ids), np.array(rows, np.float64), k, pos))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "q_id bigint, chunk_pos bigint, dist double, rank bigint")
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
