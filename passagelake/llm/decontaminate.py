@@ -2,7 +2,9 @@
 
 Texts are compared as lower-case words (ASCII letters folded, runs of other ASCII
 characters one space). A document holds an item if a stretch of it lies within
-``share`` (10 %) of the item's length in edits.
+``accept`` (20 %) of the item's length in edits. The search is built for ``share``
+(10 %) of edits spread evenly, its worst case; edits that come in whole words destroy
+fewer grams, so such copies are found up to the limit.
 
 1. Gate, without loss: by the q-gram lemma a stretch within k edits of an item has
    all but k q of any chosen set of its q-grams. The set leaves out grams that many
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, table, text_buffers
 
 SHARE = 0.10
+ACCEPT = 0.20
 Q = 8
 TINY = 40
 CLASSES = 16
@@ -123,7 +126,7 @@ class ItemClass:
     def __init__(self, items: list[tuple[int, bytes]], seed: int, share: float = SHARE):
         self.items = items
         self.least, self.most = min(len(t) for _, t in items), max(len(t) for _, t in items)
-        self.window = int(self.most * (1 + share)) + 1
+        self.window = int(self.most * (1 + ACCEPT)) + 1
         self.lost = [int(share * len(t)) * Q for _, t in items]
         #: Chosen grams that a stretch within the limit has at least.
         self.need = max(4, min(len(t) - Q + 1 - lost for (_, t), lost in zip(items, self.lost)) * 3 // 4)
@@ -308,7 +311,7 @@ class Block:
         passed: dict[tuple[int, int], int] = {}
         for at, i in sorted(candidates):
             item, t = cls.items[i]
-            most = int(self.share * len(t))
+            most = int(ACCEPT * len(t))
             row = int(np.searchsorted(docs, at, "right")) - 1
             if at < passed.get((row, i), -1):
                 continue

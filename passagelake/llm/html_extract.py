@@ -38,7 +38,7 @@ STOP_WORDS = frozenset(
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog button select option datalist noscript template iframe object svg canvas audio video map".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 FURNITURE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner nav navbar navigation navi menu menubar sidebar "
+    "ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner nav navbar navigation navi menu menubar sidebar "
     "footer masthead topbar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
     "subscription signup share sharing social related recommended recommendations comment comments commentlist discussion disqus reply replies "
     "pager pagination toolbar widget widgets copyright disclaimer login search".split()
@@ -77,8 +77,10 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
             return True
         if name == "role" and FURNITURE_ROLES.intersection(value.split()):
             return True
-        if name in ("class", "id") and FURNITURE_NAMES.intersection(_SPLIT_NAME.split(value)):
-            return True
+        if name in ("class", "id"):
+            words = _SPLIT_NAME.split(value)
+            if FURNITURE_NAMES.intersection(words) or not in_article and "header" in words:
+                return True
     return False
 
 

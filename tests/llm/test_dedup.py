@@ -230,7 +230,7 @@ def edited(rng, text, share):
     return "".join(chars)
 
 
-@pytest.mark.parametrize("share, least", [(0.0, 1.0), (0.02, 0.99), (0.05, 0.95), (0.09, 0.85)])
+@pytest.mark.parametrize("share, least", [(0.0, 1.0), (0.02, 0.99), (0.05, 0.95), (0.09, 0.9)])
 def test_recall_of_edited_copies(share, least):
     rng = random.Random(11)
     items = [(i, prose(rng, rng.randint(14, 60))) for i in range(150)]
@@ -243,7 +243,22 @@ def test_recall_of_edited_copies(share, least):
     assert sum((i, i) in found for i in true) >= least * len(true)
     for row, item, edits, lo, hi in block.search(raw, offs):
         t = decontaminate.normalise_one(items[item][1])
-        assert edits <= int(0.1 * len(t))
+        assert edits <= int(0.2 * len(t))
+
+
+def test_recall_of_copies_with_other_words():
+    rng = random.Random(15)
+    items = [(i, prose(rng, rng.randint(16, 60))) for i in range(150)]
+    block = decontaminate.Block(items)
+    texts = []
+    for _, t in items:
+        words = t.split()
+        for p in rng.sample(range(len(words)), len(words) // 8):
+            words[p] = word(rng)
+        texts.append(prose(rng, 30) + " " + " ".join(words) + " " + prose(rng, 30))
+    raw, offs = text_buffers(pa.array(texts))
+    found = {(row, item) for row, item, *_ in block.search(raw, offs)}
+    assert sum((i, i) in found for i in range(150)) >= 0.97 * 150 and all(a == b for a, b in found)
 
 
 def test_gate_against_brute_force():
