@@ -127,10 +127,15 @@ def bm25(q_terms: DataFrame, postings: DataFrame, terms: DataFrame, stats: DataF
 def lexical_topk(questions: DataFrame, scores: DataFrame, passages: DataFrame, m: int) -> DataFrame:
     """(q_id, chunk_pos, bm25, rank): the top m of **all** passages, so those with
     score zero fill up in reading order. The first 2 m passages hold enough of them:
-    fewer than m are positive whenever any is needed."""
+    fewer than m are positive whenever any is needed. Those 2 m positions are all that
+    comes to the driver; only questions short of m rows take them."""
     top = ranked(scores, ["q_id"], [F.desc("bm25"), F.col("chunk_pos")], m).drop("rank")
-    filler = passages.select(F.col("chunk_pos").cast("bigint").alias("chunk_pos")).orderBy("chunk_pos").limit(2 * m)
-    blank = questions.select("q_id").join(F.broadcast(filler)).join(scores.select("q_id", "chunk_pos"), ["q_id", "chunk_pos"], "left_anti")
+    first = [r[0] for r in passages.select(F.col("chunk_pos").cast("bigint")).orderBy("chunk_pos").limit(2 * m).collect()]
+    if not first:
+        return top.withColumn("rank", F.lit(0).cast("bigint"))
+    full = top.groupBy("q_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= m).select("q_id")
+    short = questions.select(F.col("q_id").cast("bigint").alias("q_id")).join(full, "q_id", "left_anti")
+    blank = short.select("q_id", F.explode(F.array(*map(F.lit, first)).cast("array<bigint>")).alias("chunk_pos")).join(top.select("q_id", "chunk_pos"), ["q_id", "chunk_pos"], "left_anti")
     both = top.unionByName(blank.withColumn("bm25", F.lit(0.0)))
     out = ranked(both, ["q_id"], [F.desc("bm25"), F.col("chunk_pos")], m)
     return out.select("q_id", "chunk_pos", "bm25", F.col("rank").cast("bigint").alias("rank"))
