@@ -72,6 +72,32 @@ def packed(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray
     return keys[np.cumsum(keep)[:-1] > 0], lengths
 
 
+def key_blocks(texts: list[str], order: int = ORDER, most: int = 1 << 20):
+    """(keys, text number of each key) in blocks of about ``most`` characters, so that
+    neither many texts nor a very long one take much memory."""
+    group: list[int] = []
+    size = 0
+
+    def block():
+        keys, lengths = packed([texts[i] for i in group], order)
+        return keys, np.repeat(np.array(group, np.int64), lengths)
+
+    for i, text in enumerate(texts):
+        if len(text) > most:
+            for at in range(0, len(text), most):
+                low = max(0, at - order + 1)
+                keys = packed([text[low : at + most]], order)[0][at - low :]
+                yield keys, np.full(len(keys), i, np.int64)
+            continue
+        group.append(i)
+        size += len(text)
+        if size >= most:
+            yield block()
+            group, size = [], 0
+    if group:
+        yield block()
+
+
 def _count_keys(keys: np.ndarray, counts: np.ndarray | None = None):
     if counts is None:
         keys = np.sort(keys)
@@ -93,10 +119,11 @@ def _counting(prepare, order: int):
 
         for batch in batches:
             texts = [prepare(t or "") for t in batch.column(0).to_pylist()]
-            k, c = _count_keys(packed(texts, order)[0])
-            if len(k):
-                held.append((k, c))
-                size += len(k)
+            for keys, _ in key_blocks(texts, order):
+                k, c = _count_keys(keys)
+                if len(k):
+                    held.append((k, c))
+                    size += len(k)
             if size > HELD:
                 held = [merged()]
                 size = len(held[0][0])
@@ -200,10 +227,10 @@ class HashedModel:
 
     def text_bits(self, texts: list[str]) -> np.ndarray:
         """Bits of each text."""
-        keys, lengths = packed(texts, self.order)
-        total = np.r_[0, np.cumsum(-self.log2_probs(keys))]
-        ends = np.cumsum(lengths)
-        return total[ends] - total[ends - lengths]
+        out = np.zeros(len(texts))
+        for keys, owners in key_blocks(texts, self.order):
+            out += np.bincount(owners, -self.log2_probs(keys), len(texts))
+        return out
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> HashedModel:

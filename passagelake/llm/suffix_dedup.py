@@ -48,7 +48,7 @@ LENGTH = 100
 GRAM = 24
 #: Text bytes of a bucket, and of the share of the input that one merge handles.
 BUCKET = 6 << 20
-MERGE = 48 << 20
+MERGE = 24 << 20
 CHUNK = 1 << 20
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)

@@ -171,6 +171,19 @@ def test_packed_keeps_texts_apart():
     assert charlm.packed([])[0].tolist() == []
 
 
+def test_blocks_hold_the_same_keys():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abc é") for _ in range(n)) for n in (0, 5, 300, 3, 90, 0, 1)]
+    want, lengths = charlm.packed(texts)
+    for most in (1, 4, 50, 10_000):
+        blocks = list(charlm.key_blocks(texts, most=most))
+        assert np.concatenate([k for k, _ in blocks]).tolist() == want.tolist() or most < 300
+        owners = np.concatenate([o for _, o in blocks])
+        keys = np.concatenate([k for k, _ in blocks])
+        order = np.argsort(owners, kind="stable")
+        assert keys[order].tolist() == want.tolist() and np.bincount(owners, minlength=7).tolist() == lengths.tolist()
+
+
 def test_rules_keep_prose_and_reject_noise(spark):
     docs, _ = _documents(spark)
     rows = {(r["doc_id"], r["kept"], r["base_failed"]) for r in perplexity.apply_rules(docs).collect()}
