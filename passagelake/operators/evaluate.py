@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +47,37 @@ def dense_hits(questions: DataFrame, index: dict[str, DataFrame], embedder: Embe
     return first_hit(found, q)
 
 
+#: Keywords that one pass over the chapters looks for.
+KEYWORD_BLOCK = 4096
+
+
+def _occurrences(shared):
+    def run(batches):
+        for batch in batches:
+            rows = ([], [], [], [])
+            for chapter, number, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for k in shared.value:
+                    if k in body:
+                        for out, value in zip(rows, (chapter, number, k, body.count(k))):
+                            out.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], batch.column(1).type), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.int64())], ["chapter", "chapter_no", "keyword", "n"])
+
+    return run
+
+
 def locate(questions: DataFrame, chapters: DataFrame) -> DataFrame:
-    """(q_id, chapter, keyword, n): non-overlapping occurrences of each keyword."""
-    keys = questions.where("answerable").select("q_id", F.explode("evidence_keywords").alias("keyword")).where("keyword <> ''")
-    body = chapters.select("chapter", "chapter_no", text.nfc("text").alias("text"))
-    n = F.size(F.split("text", F.concat(F.lit("\\Q"), F.replace("keyword", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)) - 1
-    return body.join(F.broadcast(keys), F.contains(body.text, keys.keyword)).select("q_id", "chapter", "chapter_no", "keyword", n.cast("bigint").alias("n"))
+    """(q_id, chapter, chapter_no, keyword, n): non-overlapping occurrences of each
+    keyword. The keywords are the query set: they pass over the chapters in blocks."""
+    keys = questions.where("answerable").select("q_id", F.explode("evidence_keywords").alias("keyword")).where("keyword <> ''").distinct()
+    body = chapters.select("chapter", "chapter_no", text.nfc(F.coalesce("text", F.lit(""))).alias("text"))
+    kind = body.schema["chapter_no"].dataType.simpleString()
+    schema = f"chapter string, chapter_no {kind}, keyword string, n bigint"
+    words = [r["keyword"] for r in keys.select("keyword").distinct().orderBy("keyword").toLocalIterator()]
+    found = body.sparkSession.createDataFrame([], schema)
+    for at in range(0, len(words), KEYWORD_BLOCK):
+        part = body.mapInArrow(_occurrences(body.sparkSession.sparkContext.broadcast(words[at : at + KEYWORD_BLOCK])), schema)
+        found = part if at == 0 else found.unionByName(part)
+    return found.join(keys, "keyword").select("q_id", "chapter", "chapter_no", "keyword", "n")
 
 
 def suggested_sources(found: DataFrame, k: int = 2) -> DataFrame:

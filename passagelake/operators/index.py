@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Sequence
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +55,24 @@ def with_positions(chunks: DataFrame) -> DataFrame:
 # --- lexical ------------------------------------------------------------------------
 
 
+def _count_terms(batches):
+    for batch in batches:
+        pos, terms, tfs, dls = [], [], [], []
+        for p, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            tokens = plain_tokens(body)
+            found = Counter(tokens)
+            pos += [p] * len(found)
+            terms += found
+            tfs += found.values()
+            dls += [len(tokens)] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(pos, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(dls, pa.int64())], ["chunk_pos", "term", "tf", "dl"])
+
+
 def postings(passages: DataFrame, pos: str = "chunk_pos", column: str = "text") -> DataFrame:
-    """(chunk_pos, term, tf, dl)."""
-    tokens = passages.select(F.col(pos).cast("bigint").alias("chunk_pos"), text.tokenize(column).alias("tokens"))
-    each = tokens.select("chunk_pos", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("term"))
-    return each.groupBy("chunk_pos", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).select("chunk_pos", "term", "tf", "dl")
+    """(chunk_pos, term, tf, dl). A passage is one row, so its terms are counted where
+    it lies: no shuffle, where exploding and grouping would move every token."""
+    rows = passages.select(F.col(pos).cast("bigint").alias("chunk_pos"), F.col(column).cast("string").alias("text"))
+    return rows.mapInArrow(_count_terms, "chunk_pos bigint, term string, tf bigint, dl bigint")
 
 
 def lengths(passages: DataFrame, column: str = "text") -> DataFrame:
