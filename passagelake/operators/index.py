@@ -75,9 +75,15 @@ def postings(passages: DataFrame, pos: str = "chunk_pos", column: str = "text")
     return rows.mapInArrow(_count_terms, "chunk_pos bigint, term string, tf bigint, dl bigint")
 
 
+def _count_tokens(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([len(plain_tokens(x)) for x in batch.column(0).to_pylist()], pa.int64())], ["dl"])
+
+
 def lengths(passages: DataFrame, column: str = "text") -> DataFrame:
     """One row (n, avgdl); passages without tokens count, avgdl is 1 without any."""
-    return passages.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size(text.tokenize(column))), F.lit(1.0)).alias("avgdl"))
+    each = passages.select(F.col(column).cast("string").alias("text")).mapInArrow(_count_tokens, "dl bigint")
+    return each.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
 
 
 def terms(post: DataFrame, stats: DataFrame) -> DataFrame:
