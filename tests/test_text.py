@@ -80,7 +80,7 @@ def test_clean_text(spark):
     assert clean(spark, "12\n১০০–১১০\nno 12\n3 - 4") == "no 12"
     assert clean(spark, "Title\nkeep", ["Title "]) == "keep"
     long = "Book Author" + "x" * 149
-    assert clean(spark, "Book Author 5\nBook only\n" + long, (), ["Book", "Author", ""]) == "Book only\n" + long + ""[:0] if len(long) > 160 else "Book only"
+    assert clean(spark, "Book Author 5\nBook only\n" + long, (), ["Book", "Author", ""]) == "Book only"
     assert clean(spark, long + "x", (), ["Book", "Author"]) == long + "x"
     assert clean(spark, "য়") == clean(spark, "য়")
     assert clean(spark, "") == "" and clean(spark, None) is None
@@ -88,7 +88,7 @@ def test_clean_text(spark):
 
 def test_urls(spark):
     got = one(spark, lambda c: text.page_url("https://h", c), "দেব দাস/প্রথম (a):b~c+d*")
-    assert got.startswith("https://h/wiki/%E0") and got.endswith("_(a):b~c%2Bd%2A") is False or "(a):b~c" in got
+    assert got.startswith("https://h/wiki/%E0") and got.endswith("_(a):b~c%2Bd%2A")
     assert one(spark, text.url_title, got) == one(spark, text.normalize_query, "দেব_দাস/প্রথম_(a):b~c+d*").replace(" ", "_")
     assert one(spark, text.normalize_title, " a_b ") == "a b" and one(spark, text.chapter_name, "x/y/z") == "z"
 
