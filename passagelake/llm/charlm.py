@@ -1,21 +1,29 @@
-"""A character n-gram model: counted by Spark, modified Kneser-Ney, hash arrays.
+"""A character n-gram model: counted by Spark, modified Kneser-Ney, sorted key arrays.
 
 Symbols are 12 bits wide (code points up to 3839 as they are, the rest folded into
 256 classes), so five of them pack into one 64-bit key without loss. Every task
 counts the keys of its texts by sorting; Spark adds the counts up, derives the lower
-orders' continuation counts, the discounts and the interpolated probabilities with
-DataFrame operations. What workers get are sorted arrays of key hashes with log
-probabilities and back-off weights. Hashes have a fixed width per order, which
-bounds the model (about 110 MB) however large the corpus; entries that share a hash
-keep the larger value.
+orders' continuation counts, the discounts and the interpolated probabilities
+with DataFrame operations. The model is a file of sorted keys with log probabilities
+and back-off weights: every counted n-gram has its own entry and a look-up compares
+whole keys, so an n-gram that was not counted always backs off. The file grows with
+the number of distinct n-grams (12 bytes each and by context); it comes to the driver
+part by part, Spark carries it to each executor once, and the workers map it.
 """
 
 from __future__ import annotations
 
+import atexit
+import mmap
+import os
 import re
+import shutil
+import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +32,13 @@ from .common import bounded_batches, written
 ORDER = 5
 SYMBOL_BITS = 12
 SYMBOLS = 1 << SYMBOL_BITS
-#: Width of the key hashes by order (index 0: order 1).
-HASH_BITS = (12, 20, 20, 21, 22)
 #: Keys that a task holds before it merges them.
 HELD = 3_000_000
+#: Entries of the model in one row on their way to the driver.
+PACKED = 1 << 18
 
 _MASK = SYMBOLS - 1
 _SPACES = re.compile(r"\s+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def symbols(code_points: np.ndarray) -> np.ndarray:
@@ -158,64 +165,116 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
 
 
-def _hash_slots(keys: np.ndarray, order: int) -> np.ndarray:
-    if order == 1:
-        return keys.astype(np.int64)
-    return ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - HASH_BITS[order - 1])).astype(np.int64)
+def _packed_rows(batches):
+    """Rows (t, first key, entries, keys, values) of bytes from sorted rows (t, key, v)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    at, size = -1, 0
 
+    def row():
+        keys, values = (np.concatenate(x) for x in zip(*held))
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([int(keys[0])], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["t", "first", "n", "keys", "vals"])
 
-def _slots_column(order: int):
-    """The same hash in Spark is not needed: keys are hashed where they arrive."""
-
-    def run(batches):
-        for batch in batches:
-            slots = _hash_slots(batch.column(0).to_numpy(), order)
-            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), batch.column(1)], ["slot", "v"])
-
-    return run
-
-
-class HashedModel:
-    """Per order: sorted slots with log2 probabilities; per context length: sorted
-    slots with log2 back-off weights; ``unseen`` is for symbols never counted."""
-
-    unseen = -float(SYMBOL_BITS)
-
-    def __init__(self, order: int, probs, backs, unseen: float = -float(SYMBOL_BITS)):
-        self.order, self.probs, self.backs, self.unseen = order, probs, backs, unseen
-        self._dense = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(t)) + 1).tolist(), len(t)]
+        keys, values = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if held and (int(t[lo]) != at or size >= PACKED):
+                yield row()
+                held, size = [], 0
+            at = int(t[lo])
+            held.append((keys[lo:hi].copy(), values[lo:hi].copy()))
+            size += hi - lo
+    if held:
+        yield row()
+
+
+def _model_file(tables: list[DataFrame]) -> tuple[str, list[tuple[int, int, int]]]:
+    """The tables (key, v), sorted, in one file that every executor gets: its name, and
+    the places of the keys and of the values and the number of entries by table. One
+    job sorts and packs them; the packed rows pass the driver a few at a time."""
+    spark = tables[0].sparkSession
+    rows = None
+    for i, x in enumerate(tables):
+        x = x.select(F.lit(i).alias("t"), "key", "v")
+        rows = x if rows is None else rows.unionByName(x)
+    packed = written(rows.sort("t", "key").mapInArrow(_packed_rows, "t int, first bigint, n bigint, keys binary, vals binary"), "model")
+    parts: list[list[tuple[int, int]]] = [[] for _ in tables]
+    for r in packed.select("t", "first", "n").collect():
+        parts[r["t"]].append((r["first"], r["n"]))
+    end, places, where = 0, [], {}
+    for i, part in enumerate(parts):
+        n = sum(m for _, m in part)
+        places.append((end, end + 8 * n, n))
+        before = 0
+        for first, m in sorted(part):
+            where[i, first] = (end + 8 * before, end + 8 * n + 4 * before)
+            before += m
+        end += 12 * n + 4 * (n % 2)
+    folder = tempfile.mkdtemp(prefix="pl_model_")
+    atexit.register(shutil.rmtree, folder, True)
+    name = f"ngrams-{uuid.uuid4().hex}.bin"
+    with open(f"{folder}/{name}", "wb") as out:
+        out.truncate(end)
+        for r in packed.toLocalIterator():
+            for place, data in zip(where[r["t"], r["first"]], (r["keys"], r["vals"])):
+                out.seek(place)
+                out.write(data)
+    spark.sparkContext.addFile(f"{folder}/{name}")
+    return name, places
+
+
+class NgramModel:
+    """Per order: sorted keys with log2 probabilities; per context length: sorted keys
+    with log2 back-off weights; ``unseen`` is for symbols never counted. ``probs`` and
+    ``backs`` say where the tables lie in the shared file ``name``."""
+
+    def __init__(self, order: int, name: str, probs, backs, unseen: float = -float(SYMBOL_BITS)):
+        self.order, self.name, self.probs, self.backs, self.unseen = order, name, probs, backs, unseen
+        self._mapped = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_dense": None}
+        return {**self.__dict__, "_mapped": None}
 
     def _tables(self):
-        """The sorted arrays laid out by slot: one gather per look-up."""
-        if self._dense is None:
-            out = []
-            for arrays in (self.probs, self.backs):
-                laid = []
-                for k, (slots, values) in enumerate(arrays):
-                    full = np.full(1 << HASH_BITS[k], np.nan, np.float32)
-                    full[slots] = values
-                    laid.append(full)
-                out.append(laid)
-            self._dense = out
-        return self._dense
+        if self._mapped is None:
+            with open(SparkFiles.get(self.name), "rb") as f:
+                size = os.fstat(f.fileno()).st_size
+                data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if size else b""
+            self._mapped = [[(np.frombuffer(data, np.int64, n, keys), np.frombuffer(data, np.float32, n, values)) if n else None for keys, values, n in places] for places in (self.probs, self.backs)]
+        return self._mapped
+
+    @staticmethod
+    def _look_up(table, keys: np.ndarray) -> np.ndarray:
+        """The values of ``keys``, NaN for those without an entry."""
+        if table is None:
+            return np.full(len(keys), np.nan)
+        entries, values = table
+        at = np.searchsorted(entries, keys)
+        at[at == len(entries)] = 0
+        return np.where(entries[at] == keys, values[at], np.nan).astype(np.float64)
 
     def log2_probs(self, keys: np.ndarray) -> np.ndarray:
         """log2 P(last symbol | the symbols before it) of packed keys."""
+        if len(keys) > 64:  # keys repeat, and sorted ones are found faster
+            keys, inverse = np.unique(keys, return_inverse=True)
+            return self._log2_probs(keys)[inverse]
+        return self._log2_probs(keys)
+
+    def _log2_probs(self, keys: np.ndarray) -> np.ndarray:
         probs, backs = self._tables()
-        out = probs[self.order - 1][_hash_slots(keys, self.order)].astype(np.float64)
+        out = self._look_up(probs[self.order - 1], keys)
         rest = np.flatnonzero(np.isnan(out))
         if len(rest):
             weight = np.zeros(len(rest))
             at = keys[rest]
             for k in range(self.order - 1, 0, -1):
-                context = at >> SYMBOL_BITS
-                back = backs[k - 1][_hash_slots(context, k)]
+                back = self._look_up(backs[k - 1], at >> SYMBOL_BITS)
                 weight = weight + np.where(np.isnan(back), 0, back)
                 at = at & ((1 << SYMBOL_BITS * k) - 1)
-                p = probs[k - 1][_hash_slots(at, k)].astype(np.float64)
+                p = self._look_up(probs[k - 1], at)
                 if k == 1:
                     p = np.where(np.isnan(p), self.unseen, p)
                 hit = ~np.isnan(p)
@@ -233,7 +292,7 @@ class HashedModel:
         return out
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> HashedModel:
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> NgramModel:
     """The model of an n-gram table (key, n) as :func:`count_ngrams` gives it; the
     table should be written, since each order reads it. Every order's counts, context
     sums and probabilities are written too, so that no order computes another again.
@@ -261,16 +320,8 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> HashedModel:
             joined = joined.withColumn("suffix", F.col("key").bitwiseAND(F.lit(mask).cast("bigint"))).join(below.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix")
             p = own + F.col("back") * F.col("low")
         below = written(joined.select("key", p.alias("p")), f"probabilities-{k}")
-        probs.append(_gathered(below.select("key", F.log2("p").cast("float").alias("v")), k))
+        probs.append(below.select("key", F.log2("p").cast("float").alias("v")))
         if k > 1:
-            backs.append(_gathered(stats.select(F.col("context").alias("key"), F.log2("back").cast("float").alias("v")), k - 1))
-    return HashedModel(order, probs, backs, unseen)
-
-
-def _gathered(rows: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted (slots, values): at most 2**HASH_BITS entries come to the driver."""
-    slotted = rows.mapInArrow(_slots_column(order), "slot int, v float").groupBy("slot").agg(F.max("v").alias("v"))
-    got = slotted.toArrow()
-    slots, values = got.column("slot").to_numpy(), got.column("v").to_numpy()
-    by = np.argsort(slots, kind="stable")
-    return np.ascontiguousarray(slots[by]), np.ascontiguousarray(values[by])
+            backs.append(stats.select(F.col("context").alias("key"), F.log2("back").cast("float").alias("v")))
+    name, places = _model_file([*probs, *backs])
+    return NgramModel(order, name, places[:order], places[order:], unseen)

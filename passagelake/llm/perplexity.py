@@ -94,7 +94,7 @@ def _rule_batches(shared):
     return run
 
 
-def train(docs: DataFrame) -> charlm.HashedModel:
+def train(docs: DataFrame) -> charlm.NgramModel:
     return charlm.kneser_ney(written(charlm.count_ngrams(docs), "ngrams"))
 
 

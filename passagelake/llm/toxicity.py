@@ -57,9 +57,9 @@ def lower_squeeze(text: str) -> str:
 
 
 class Decoder:
-    """Viterbi decoding under a :class:`charlm.HashedModel` of order 5."""
+    """Viterbi decoding under a :class:`charlm.NgramModel` of order 5."""
 
-    def __init__(self, model: charlm.HashedModel):
+    def __init__(self, model: charlm.NgramModel):
         self.model = model
         self.known: dict[tuple[int, int], float] = {}
 
@@ -139,7 +139,7 @@ def suspicious(core: str) -> bool:
 class Restorer:
     """Restores whole texts; remembers tokens."""
 
-    def __init__(self, model: charlm.HashedModel):
+    def __init__(self, model: charlm.NgramModel):
         self.decoder = Decoder(model)
         self.known: dict[str, str] = {}
 
@@ -203,7 +203,7 @@ class Lexicon:
 
 
 class Scorer:
-    def __init__(self, model: charlm.HashedModel, lexicon: Lexicon):
+    def __init__(self, model: charlm.NgramModel, lexicon: Lexicon):
         self.restore, self.lexicon = Restorer(model), lexicon
         self.known: dict[str, tuple[str, ...]] = {}
 
@@ -329,8 +329,8 @@ def without_copies(rows: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
-    """(model, lexicon), both broadcast: the first is bounded by its hash widths, the
-    second by the sample."""
+    """(model, lexicon), both broadcast: of the first only where its tables lie in the
+    file that each executor has, the second is bounded by the sample."""
     spark = docs.sparkSession
     bounded_batches(spark)
     model = charlm.kneser_ney(written(charlm.count_ngrams(docs, lower_squeeze, ORDER), "toxic-ngrams"), ORDER)

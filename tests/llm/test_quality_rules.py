@@ -164,6 +164,26 @@ def test_model_against_brute_force(spark):
     assert np.allclose(model.text_bits(["abra", "", "cab"])[1], 0)
 
 
+def test_model_takes_no_other_ngram_for_an_unseen_one(spark):
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüß"
+    texts = ["".join(rng.choice(letters) for _ in range(3000)) for _ in range(20)]
+    model = charlm.kneser_ney(charlm.count_ngrams(spark.createDataFrame([(t,) for t in texts], "text string")).cache())
+    p = brute_kneser_ney(texts, charlm.ORDER)
+    seen = np.unique(charlm.packed(texts)[0])
+    asked = "".join(rng.choice(letters) for _ in range(400_000))
+    keys = charlm.packed([asked])[0]
+    slot = lambda k: k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)
+    at = np.flatnonzero(np.isin(slot(keys), slot(seen)) & ~np.isin(keys, seen))
+    at = at[at >= 4][:300]
+    assert len(at) == 300
+    ask = lambda k: [np.log2(p(tuple(ord(c) for c in k[i - 4 : i + 1]))) for i in at]
+    assert np.allclose(model.log2_probs(keys[at]), ask(asked), atol=1e-4)
+    # and of those that were counted each has its own probability
+    s = "\0" * 4 + texts[0]
+    assert np.allclose(model.log2_probs(charlm.packed(texts[:1])[0]), [np.log2(p(tuple(map(ord, s[i - 4 : i + 1])))) for i in range(4, len(s))], atol=1e-4)
+
+
 def test_packed_keeps_texts_apart():
     keys, lengths = charlm.packed(["ab", "", "c"])
     assert lengths.tolist() == [2, 0, 1]
