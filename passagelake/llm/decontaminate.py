@@ -10,7 +10,8 @@ fewer grams, so such copies are found up to the limit.
    all but k q of any chosen set of its q-grams. The set leaves out grams that many
    items have, which say little. Items of like lengths form a class; places whose
    window has too few chosen grams of a class are out for the class.
-2. At the word starts that remain, a window of the item's size is embedded by the
+2. At the starts that remain (word starts, and every character boundary next to or
+   inside non-ASCII characters, since not every script parts its words), a window of the item's size is embedded by the
    CGK random walk: coordinate j is the current byte, and a random function of (j,
    byte) says whether to step on. Edit distance becomes Hamming distance.
 3. Bit sampling: several walks, each with several samples of a few coordinates. A
@@ -19,18 +20,24 @@ fewer grams, so such copies are found up to the limit.
    (measured in the tests).
 4. A candidate that has enough of the item's own q-grams (the same lemma) is verified
    by exact edit distance (bit-parallel, free ends).
+5. Verbatim copies are found apart from all this, wherever they begin: one gram of
+   each item is looked for, and the bytes around it are compared.
 
 The items are the query set: they go to the workers in blocks of bounded size, each
 block against all documents. Documents never meet each other, so no key can be hot.
 
 Defined cases: null or empty documents hold nothing; null or empty items match
-nothing; items under ``TINY`` bytes (normalised) must occur exactly, as whole words;
+nothing; items under ``TINY`` bytes (normalised) must occur exactly, as whole words (in
+scripts without spaces between words anywhere);
 repeated items match each on its own; repeated rows repeat; empty tables give empty
 results; extra columns pass through :func:`without_items`.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +99,28 @@ def normalise_one(text: str | None) -> bytes:
     return out[: offs[1] - 1].tobytes()
 
 
+#: Thai to Myanmar, Khmer, kana and Han: no spaces between words.
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _in_word(ch: str) -> bool:
+    return ch.isalnum() or unicodedata.category(ch)[0] == "M"
+
+
+def word_boundary(data: bytes, at: int) -> bool:
+    """Whether a word may end before byte ``at`` (a character's first) and one begin."""
+    if at == 0 or data[at - 1] in b"\0 " or data[at] in b"\0 ":
+        return True
+    low = at - 1
+    while low > 0 and data[low] & 0xC0 == 0x80:
+        low -= 1
+    before = data[low:at].decode("utf-8", "replace")[-1]
+    after = data[at : at + 4].decode("utf-8", "replace")[0]
+    if _SPACELESS.match(before) or _SPACELESS.match(after):
+        return True
+    return not (_in_word(before) and _in_word(after))
+
+
 def gram_slots(x: np.ndarray, q: int = Q) -> np.ndarray:
     """A table slot for the q bytes at each place of ``x``."""
     padded = np.zeros(len(x) + 8, np.uint8)
@@ -270,6 +299,31 @@ class Block:
         for c, cls in enumerate(self.classes):
             for g in cls.chosen(spread):
                 self.table[g] |= 1 << c
+        #: (slot, its place, first slot, last slot, item id, text): the rarest gram.
+        self.anchors = []
+        self.anchored = np.zeros(1 << _TABLE_BITS, bool)
+        for item, t in full:
+            g = gram_slots(np.frombuffer(t, np.uint8))[: len(t) - Q + 1]
+            place = int(np.argmin(spread[g]))
+            self.anchors.append((g[place], place, g[0], g[-1], item, t))
+            self.anchored[g[place]] = True
+
+    def _verbatim(self, data: bytes, docs: np.ndarray, slots: np.ndarray, note) -> None:
+        """Exact copies of the items of ``TINY`` bytes and more."""
+        hits = np.flatnonzero(self.anchored[slots])
+        order = np.argsort(slots[hits], kind="stable")
+        hits = hits[order]
+        found = slots[hits]
+        for slot, place, first, last, item, t in self.anchors:
+            lo, hi = np.searchsorted(found, slot), np.searchsorted(found, slot, "right")
+            if lo == hi:
+                continue
+            at = hits[lo:hi] - place
+            at = at[(at >= 0) & (at + len(t) <= len(slots))]
+            at = at[(slots[at] == first) & (slots[at + len(t) - Q] == last)]
+            for a in at.tolist():
+                if data.startswith(t, a):
+                    note(int(np.searchsorted(docs, a, "right")) - 1, item, 0, a, a + len(t))
 
     def search(self, raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item id, edits, first and last byte + 1 in the row's text): the best
@@ -287,7 +341,7 @@ class Block:
             at = data.find(t)
             while at >= 0:
                 end = at + len(t)
-                if (at == 0 or data[at - 1] in b"\0 ") and data[end] in b"\0 ":
+                if word_boundary(data, at) and word_boundary(data, end):
                     note(int(np.searchsorted(docs, at, "right")) - 1, item, 0, at, end)
                 at = data.find(t, at + 1)
         if self.classes and len(x) > 1:
@@ -297,8 +351,9 @@ class Block:
             room[: len(x)] = x
             first = np.zeros(len(x), bool)
             first[0] = True
-            first[1:] = (x[:-1] == 32) | (x[:-1] == 0)
+            first[1:] = (x[:-1] == 32) | (x[:-1] == 0) | (x[1:] >= 0xC0) | (x[:-1] >= 0x80) & (x[1:] < 0x80) & (x[1:] != 32) & (x[1:] != 0)
             starts = np.flatnonzero(first).astype(np.int32)
+            self._verbatim(data, docs, slots, note)
             hits = np.flatnonzero(marks)
             kinds = marks[hits]
             for c, cls in enumerate(self.classes):

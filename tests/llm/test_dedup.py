@@ -280,6 +280,20 @@ def test_gate_against_brute_force():
             assert cls.may_hold(i, slots)
 
 
+def test_copies_without_spaces_around_them():
+    rng = random.Random(16)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    long, latin = han(40), prose(rng, 14)
+    items = [(1, long), (2, han(6)), (3, latin), (4, "cole"), (5, "stone")]
+    changed = long[:20] + han(1) + long[21:]
+    texts = [han(50) + "，" + long + "。" + han(30), han(50) + changed + han(30), han(9) + items[1][1] + han(9), "so “" + latin.replace("e", "i", 1) + "” it", "pre" + latin + "post", "école", "“stone”\u00a0x", "milestone"]
+    raw, offs = text_buffers(pa.array(texts))
+    got = {(row, item): (edits, lo, hi) for row, item, edits, lo, hi in decontaminate.Block(items).search(raw, offs)}
+    assert set(got) == {(0, 1), (1, 1), (2, 2), (3, 3), (4, 3), (6, 5)}
+    assert got[0, 1] == (0, 153, 273) and 0 < got[1, 1][0] <= 3 and got[3, 3][0] == 1
+    assert got[4, 3][0] == 0
+
+
 def test_spans_and_odd_rows(spark):
     rng = random.Random(13)
     item = prose(rng, 20)
