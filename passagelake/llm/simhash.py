@@ -26,6 +26,8 @@ are kept, one output row each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -214,14 +216,17 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_links_of_part(masks, radius), "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): alternating large-star and
     small-star. Large-star hangs every larger neighbour on the smallest one,
     small-star every smaller one; the edge count never grows. Each round is a table
-    in the shared folder; the end is when a round changes nothing."""
+    in the shared folder; the end is when a round changes nothing. If that takes more than
+    ``max_rounds`` it is an error: unfinished roots are never returned."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     seen = None
-    for _ in range(max_rounds):
+    for done in count():
+        if max_rounds is not None and done >= max_rounds:
+            raise RuntimeError(f"components: not finished after {max_rounds} rounds")
         # large star
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -112,6 +112,12 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(201)) and got[501] == 500
 
 
+def test_components_never_returns_unfinished_roots(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        simhash.components(edges, max_rounds=1)
+
+
 # --- suffix de-duplication ----------------------------------------------------------
 
 
