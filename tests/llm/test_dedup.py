@@ -236,20 +236,35 @@ def edited(rng, text, share):
     return "".join(chars)
 
 
-@pytest.mark.parametrize("share, least", [(0.0, 1.0), (0.02, 0.99), (0.05, 0.95), (0.09, 0.9)])
-def test_recall_of_edited_copies(share, least):
+def evenly_edited(rng, text, share):
+    n, chars = int(share * len(text)), list(text)
+    for j in range(n):
+        p = int((j + 0.5) * len(text) / n)
+        chars[p] = rng.choice([c for c in "abcdefghij" if c != chars[p]])
+    return "".join(chars)
+
+
+def near(item, text):
+    item, text = decontaminate.normalise_one(item), decontaminate.normalise_one(text)
+    return decontaminate.match(item, text)[0] <= decontaminate.limit(len(item))
+
+
+@pytest.mark.parametrize("change", [edited, evenly_edited])
+@pytest.mark.parametrize("share, least", [(0.0, 1.0), (0.02, 0.99), (0.05, 0.99), (0.09, 0.95), (0.12, 0.9), (0.15, 0.9), (0.18, 0.9)])
+def test_recall_of_edited_copies(change, share, least):
+    """Of all copies within the accepted limit, at every rate of edits."""
     rng = random.Random(11)
     items = [(i, prose(rng, rng.randint(14, 60))) for i in range(150)]
     block = decontaminate.Block(items)
-    texts = [prose(rng, 40) + ". " + edited(rng, t, share).upper() + "\n" + prose(rng, 10) for _, t in items]
+    texts = [prose(rng, 40) + ". " + change(rng, t, share).upper() + "\n" + prose(rng, 10) for _, t in items]
     raw, offs = text_buffers(pa.array(texts))
-    found = {(row, item) for row, item, *_ in block.search(raw, offs)}
-    true = [i for i, t in items if decontaminate.match(decontaminate.normalise_one(t), decontaminate.normalise_one(texts[i]))[0] <= int(0.1 * len(decontaminate.normalise_one(t)))]
-    assert len(true) > 100
+    rows = block.search(raw, offs)
+    found = {(row, item) for row, item, *_ in rows}
+    true = [i for i, t in items if near(t, texts[i])]
+    assert share > 0.09 or len(true) > 100
     assert sum((i, i) in found for i in true) >= least * len(true)
-    for row, item, edits, lo, hi in block.search(raw, offs):
-        t = decontaminate.normalise_one(items[item][1])
-        assert edits <= int(0.2 * len(t))
+    for row, item, edits, lo, hi in rows:
+        assert edits <= decontaminate.limit(len(decontaminate.normalise_one(items[item][1])))
 
 
 def test_recall_of_copies_with_other_words():
@@ -259,31 +274,51 @@ def test_recall_of_copies_with_other_words():
     texts = []
     for _, t in items:
         words = t.split()
-        for p in rng.sample(range(len(words)), len(words) // 8):
+        for p in rng.sample(range(len(words)), len(words) // 9):
             words[p] = word(rng)
         texts.append(prose(rng, 30) + " " + " ".join(words) + " " + prose(rng, 30))
     raw, offs = text_buffers(pa.array(texts))
     found = {(row, item) for row, item, *_ in block.search(raw, offs)}
-    assert sum((i, i) in found for i in range(150)) >= 0.97 * 150 and all(a == b for a, b in found)
-
-
-def test_gate_against_brute_force():
-    """No stretch within the limit is lost before the sampling."""
-    rng = random.Random(12)
-    items = [(i, prose(rng, rng.randint(14, 50))) for i in range(60)]
-    block = decontaminate.Block(items)
-    for cls in block.classes:
-        for i, (_, t) in enumerate(cls.items):
-            copy = decontaminate.normalise_one("begin " + edited(rng, t.decode(), 0.09))
-            if decontaminate.match(t, copy)[0] > int(0.1 * len(t)):
-                continue
-            x = np.frombuffer(copy, np.uint8)
-            slots = decontaminate.gram_slots(x)
-            c = block.classes.index(cls)
-            hits = np.flatnonzero(block.table[slots] >> c & 1)
-            starts = np.flatnonzero(np.r_[True, x[:-1] == 32]).astype(np.int32)
-            assert 6 in cls.gate(hits, starts) or 0 in cls.gate(hits, starts)
-            assert cls.may_hold(i, slots)
+    true = [i for i, t in items if near(t, texts[i])]
+    assert len(true) > 120 and all(a == b for a, b in found)
+    assert sum((i, i) in found for i in true) >= 0.97 * len(true)
+
+
+def brute_force_hit(item, text):
+    """The fewest edits between the item and a stretch from word boundary to word
+    boundary; None beyond the limit."""
+    item, text = decontaminate.normalise_one(item), decontaminate.normalise_one(text)
+    cuts = [k for k in range(len(text) + 1) if k in (0, len(text)) or text[k] == 32 or text[k - 1] == 32]
+    most, best = decontaminate.limit(len(item)), None
+    for lo in cuts:
+        row = list(range(len(item) + 1))
+        for k in range(lo, len(text)):
+            new = [row[0] + 1]
+            for i, c in enumerate(item, 1):
+                new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (c != text[k])))
+            row = new
+            if k + 1 in cuts and row[-1] <= most:
+                best = row[-1] if best is None else min(best, row[-1])
+            if k - lo > len(item) + most:
+                break
+    return best
+
+
+def test_hits_against_brute_force():
+    """The whole set of hits, items of all lengths in one block: none wrong, and those
+    of the true ones that are missing are few."""
+    rng = random.Random(21)
+    items = [(i, prose(rng, n)) for i, n in enumerate([1, 1, 2, 3, 3, 4, 5, 6, 7, 8, 10, 12, 14])]
+    texts = []
+    for k in range(40):
+        i, t = rng.choice(items)
+        texts.append(" ".join([prose(rng, rng.randint(0, 6)), edited(rng, t, rng.choice([0, 0, 0.04, 0.08, 0.12])), prose(rng, rng.randint(0, 6))]))
+    raw, offs = text_buffers(pa.array(texts))
+    got = {(row, item): edits for row, item, edits, *_ in decontaminate.Block(items).search(raw, offs)}
+    want = {(row, i): e for row, x in enumerate(texts) for i, t in items if (e := brute_force_hit(t, x)) is not None}
+    assert len(want) > 25 and set(got) <= set(want) and all(got[k] >= want[k] for k in got)
+    assert len(got) >= 0.9 * len(want)
+    assert all(got.get(k) == 0 for k, e in want.items() if e == 0)
 
 
 def test_copies_without_spaces_around_them():
@@ -297,7 +332,7 @@ def test_copies_without_spaces_around_them():
     got = {(row, item): (edits, lo, hi) for row, item, edits, lo, hi in decontaminate.Block(items).search(raw, offs)}
     assert set(got) == {(0, 1), (1, 1), (2, 2), (3, 3), (4, 3), (6, 5)}
     assert got[0, 1] == (0, 153, 273) and 0 < got[1, 1][0] <= 3 and got[3, 3][0] == 1
-    assert got[4, 3][0] == 0
+    assert 0 < got[4, 3][0] <= 7  # its ends move to word boundaries
 
 
 def test_spans_and_odd_rows(spark):
