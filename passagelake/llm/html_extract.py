@@ -2,22 +2,32 @@
 
 A page is cut into blocks at block-level tags. The first pass decides what it can:
 blocks in page furniture (menus, headers, footers, sidebars, adverts, notices,
-forms, comments: by element, role, class or id), blocks outside the article where
-the page marks one, and blocks that are mostly links are out; long blocks with many
+forms, comments: by element, role, class or id), blocks outside the articles where
+the page marks any, and blocks that are mostly links are out; long blocks with many
 stop words are in. Blocks that are short or poor in stop words stay open. The
-second pass gives each open block the label of its nearest decided neighbours in
-the same article (or page): if both sides agree, theirs, else the nearer one's.
+second pass gives each open block the label of its nearest decided neighbours: if
+both sides agree, theirs, else the nearer one's. Where the page's language has none of
+the stop words, length and links alone decide.
+
+What counts as furniture. Attributes are parsed, so a word inside another attribute's
+value means nothing. A class (each on its own) or an id names furniture if all of its
+words are furniture words or neutral ones ("ad-slot", "main-nav"), never because
+one of them is ("related-work", "comments-open"). ``html``, ``body`` and ``main`` are
+never furniture, an ``article`` only as a comment or hidden. Inline elements that name
+furniture (an advert in a ``span``) are cut out of their block. All top-level articles
+of a page are kept, in page order.
 
 Defined cases: null or empty html gives an empty text; unclosed and crossed tags
-are closed by the next enclosing end tag; a page without any decided block keeps its
-open blocks; very long pages are read whole; page_id and url pass through (nulls
-too).
+are closed by the next enclosing end tag; ``main`` ends open furniture; a page without
+any decided block keeps its open blocks; very long pages are read whole; page_id and
+url pass through (nulls too); other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +47,24 @@ STOP_WORDS = frozenset(
 # Element, role and class names of page furniture.
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog button select option datalist noscript template iframe object svg canvas audio video map".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-FURNITURE_NAMES = frozenset(
-    "ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner nav navbar navigation navi menu menubar sidebar "
-    "footer masthead topbar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
-    "subscription signup share sharing social related recommended recommendations comment comments commentlist discussion disqus reply replies "
-    "pager pagination toolbar widget widgets copyright disclaimer login search".split()
+COMMENT_NAMES = frozenset("comment comments commentlist commentform commentbox respond disqus".split())
+FURNITURE_NAMES = COMMENT_NAMES | frozenset(
+    "ad ads adsbygoogle adsense adbox adslot advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo banner nav navbar navigation navi "
+    "topnav subnav sidenav sitenav leftnav menu menubar submenu sidebar footer sitefooter masthead siteheader topbar breadcrumb breadcrumbs cookie cookies consent gdpr "
+    "popup modal overlay newsletter subscribe signup sharing pager pagination toolbar widget widgets".split()
 )
+NEUTRAL = frozenset(
+    "site page main top bottom left right global primary secondary mobile desktop post entry article blog user reader inner outer container wrapper wrap box bar list "
+    "item items block area section panel link links button buttons body text thread form slot unit row col column group content title sticky fixed label message".split()
+)
+#: Names that are as often a topic as furniture: furniture with fewer neutral words, and
+#: as an id only of elements that are no text of their own.
+WEAK_NAMES = frozenset("notice notices notification alert share social related recommended recommendations promotion discussion reply replies subscription copyright disclaimer login search".split())
+WEAK_NEUTRAL = frozenset("container wrapper wrap box bar list links buttons button block panel area widget post posts entry article articles page site icons form".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 section blockquote article li dd dt td th pre a span".split())
 RAW_TAGS = frozenset("script style textarea title xmp".split())
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TAGS}
+PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption".split())
 SECTION_TAGS = frozenset("article main".split())
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -52,55 +73,84 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("hr br img input meta link area base col embed param source track wbr".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_SPLIT_NAME = re.compile(r"[^a-z0-9]+")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_READ = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style"))
+_MAY_NAME = re.compile("|".join(sorted(_READ)), re.I)
+_SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 
 #: Blocks of this many characters are long; shares of stop words and of link text.
 LONG = 140
 STOP_HIGH = 0.25
+#: Below this share of stop words over all long blocks the language is another.
+STOP_NONE = 0.08
 LINK_MOST = 0.5
 
 BAD, OPEN, GOOD = -1, 0, 1
 
 
+@lru_cache(1 << 14)
+def _named(name: str) -> tuple[bool, bool, bool]:
+    """Whether a class or id names furniture for sure, perhaps, or a page header."""
+    words = [w for w in _SPLIT_NAME.split(_CAMEL.sub("-", name).lower()) if w and not w.isdigit()]
+    plain = all(w in FURNITURE_NAMES or w in WEAK_NAMES or w in NEUTRAL or w == "header" for w in words)
+    sure = plain and any(w in FURNITURE_NAMES for w in words)
+    weak = any(w in WEAK_NAMES for w in words) and all(w in WEAK_NAMES or w in WEAK_NEUTRAL for w in words)
+    return sure, weak, plain and "header" in words
+
+
 def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in FURNITURE_TAGS:
         return True
     if tag == "header" and not in_article:
         return True
-    if not attrs or tag in ("html", "body", "main", "article") and "comment" not in attrs:
+    if tag in ("html", "body", "main") or not attrs or not _MAY_NAME.search(attrs):
         return False
-    for name, a, b, c in _NAMED.findall(attrs):
-        value, name = (a or b or c).lower(), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+    for name, a, b, c in _ATTRIBUTE.findall(attrs):
+        name = name.lower()
+        if name not in _READ:
+            continue
+        value = a or b or c
+        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NONE.search(value):
             return True
-        if name == "role" and FURNITURE_ROLES.intersection(value.split()):
+        if name == "role" and tag != "article" and FURNITURE_ROLES.intersection(value.lower().split()):
             return True
         if name in ("class", "id"):
-            words = _SPLIT_NAME.split(value)
-            if FURNITURE_NAMES.intersection(words) or not in_article and "header" in words:
-                return True
+            for one in value.split() if name == "class" else [value]:
+                if tag == "article":
+                    if one.lower() in COMMENT_NAMES:
+                        return True
+                    continue
+                sure, weak, header = _named(one)
+                if sure or weak and not (name == "id" and tag in TEXT_TAGS) or header and not in_article and tag not in TEXT_TAGS:
+                    return True
     return False
 
 
 class _Block:
-    __slots__ = ("text", "links", "furniture", "article", "heading", "label")
+    __slots__ = ("text", "links", "furniture", "article", "tag", "label")
 
-    def __init__(self, text, links, furniture, article, heading):
-        self.text, self.links, self.furniture, self.article, self.heading, self.label = text, links, furniture, article, heading, OPEN
+    def __init__(self, text, links, furniture, article, tag):
+        self.text, self.links, self.furniture, self.article, self.tag, self.label = text, links, furniture, article, tag, OPEN
+
+    @property
+    def heading(self) -> bool:
+        return self.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
 def blocks_of(page: str) -> list[_Block]:
-    """The blocks of a page in order. ``article``: the number of the top article that
-    holds the block, 0 outside; text of an article inside an article (a comment) is
-    furniture."""
+    """The blocks of a page in order. ``article``: the number of the top article (or
+    main) that holds the block, 0 outside; text of an article inside an article (a
+    comment) is furniture."""
     out: list[_Block] = []
     # an open block-level element: (tag, furniture, article number)
     stack: list[tuple[str, bool, int]] = []
+    # open inline furniture: (tag, size of the stack, open elements of that tag)
+    mute: list | None = None
     pieces: list[str] = []
     links = in_link = articles = 0
-    heading = False
     at, n = 0, len(page)
 
     def flush():
@@ -109,14 +159,15 @@ def blocks_of(page: str) -> list[_Block]:
             text = " ".join(_html.unescape("".join(pieces)).split())
             if text:
                 top = stack[-1] if stack else ("", False, 0)
-                out.append(_Block(text, links, top[1], top[2], heading))
+                out.append(_Block(text, links, top[1], top[2], top[0]))
         pieces, links = [], 0
 
     def add(piece):
         nonlocal links
-        pieces.append(piece)
-        if in_link:
-            links += len(piece.strip())
+        if mute is None:
+            pieces.append(piece)
+            if in_link:
+                links += len(piece.strip())
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -133,37 +184,47 @@ def blocks_of(page: str) -> list[_Block]:
         closing = bool(m[1])
         if tag in RAW_TAGS:
             if not closing:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                end = _RAW_ENDS[tag].search(page, at)
                 at = end.end() if end else n
             continue
-        if tag == "a":
-            in_link = 0 if closing else 1
-        elif tag == "br":
-            pieces.append(" ")
-        elif tag in BLOCK_TAGS:
-            flush()
-            heading = False
-            if closing:
-                in_link = 0
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-            elif tag not in VOID_TAGS:
-                if stack and stack[-1][0] == "p" and tag != "span":
-                    stack.pop()  # a block ends an open paragraph
-                if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                    stack.pop()
-                _, bad, article = stack[-1] if stack else ("", False, 0)
-                bad = bad or _furniture(tag, m[3], bool(article)) or tag == "head"
-                if tag in SECTION_TAGS and not bad:
-                    if article and tag == "article" and any(t == "article" for t, _, _ in stack):
-                        bad = True
-                    elif not article:
-                        articles += 1
-                        article = articles
-                stack.append((tag, bad, article))
-                heading = tag[0] == "h" and tag[1:].isdigit()
+        if tag == "br":
+            add(" ")
+            continue
+        if tag not in BLOCK_TAGS:
+            if mute is not None and tag == mute[0]:
+                mute[2] += -1 if closing else 1
+                if not mute[2]:
+                    mute = None
+                    pieces.append(" ")
+            elif mute is None and not closing and tag not in VOID_TAGS and _furniture(tag, m[3], bool(stack and stack[-1][2])):
+                mute = [tag, len(stack), 1]
+                pieces.append(" ")
+            if tag == "a":
+                in_link = 0 if closing else 1
+            continue
+        flush()
+        if closing:
+            in_link = 0
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == tag:
+                    del stack[i:]
+                    break
+            if mute is not None and len(stack) < mute[1]:
+                mute = None
+        elif tag not in VOID_TAGS:
+            if stack and stack[-1][0] == "p":
+                stack.pop()  # a block ends an open paragraph
+            if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
+                stack.pop()
+            _, bad, article = stack[-1] if stack else ("", False, 0)
+            bad = tag != "main" and (bad or mute is not None or _furniture(tag, m[3], bool(article)) or tag == "head")
+            if tag in SECTION_TAGS and not bad:
+                if article and tag == "article" and any(t == "article" for t, _, _ in stack):
+                    bad = True
+                elif not article:
+                    articles += 1
+                    article = articles
+            stack.append((tag, bad, article))
     flush()
     return out
 
@@ -175,22 +236,25 @@ def _stop_share(text: str) -> float:
 
 def classify(blocks: list[_Block]) -> list[_Block]:
     """Both passes; sets ``label`` of every block to GOOD or BAD."""
-    size: dict[int, int] = {}
-    for b in blocks:
-        if b.article and not b.furniture:
-            size[b.article] = size.get(b.article, 0) + len(b.text)
-    main = max(size, key=lambda k: (size[k], -k)) if size else 0
+    inside = sum(len(b.text) for b in blocks if b.article and not b.furniture)
+    outside = sum(len(b.text) - b.links for b in blocks if not b.article and not b.furniture)
+    marked = inside > 0 and inside >= outside / 2  # else the marked articles are but teasers
     scope = []
     for b in blocks:
-        if b.furniture or main and b.article != main:
+        if b.furniture or marked and not b.article:
             b.label = BAD
-            continue
-        scope.append(b)
-        share = b.links / max(1, len(b.text))
+        else:
+            scope.append(b)
+    shares = [b.links / max(1, len(b.text)) for b in scope]
+    stops = [_stop_share(b.text) if len(b.text) >= LONG and share <= LINK_MOST else 0.0 for b, share in zip(scope, shares)]
+    known = [(len(b.text), stop) for b, share, stop in zip(scope, shares, stops) if len(b.text) >= LONG and share <= LINK_MOST]
+    foreign = sum(n * s for n, s in known) < STOP_NONE * sum(n for n, _ in known)
+    for b, share, stop in zip(scope, shares, stops):
         if share > LINK_MOST:
-            b.label = BAD
+            # a linked heading or paragraph of an article is text, a list of links is not
+            b.label = OPEN if marked and b.tag in PROSE_TAGS else BAD
         elif len(b.text) >= LONG:
-            if _stop_share(b.text) >= STOP_HIGH:
+            if stop >= STOP_HIGH or foreign and share <= LINK_MOST / 2:
                 b.label = GOOD
             elif share > LINK_MOST / 2:
                 b.label = BAD
@@ -206,16 +270,21 @@ def classify(blocks: list[_Block]) -> list[_Block]:
         right = decided[k] if k < len(decided) else None
         if left is None and right is None:
             b.label = GOOD
+        elif marked and b.tag in PROSE_TAGS:
+            # lists of links in an article say nothing of its paragraphs
+            b.label = GOOD
         elif left is None or right is None:
-            # a menu at one end of an article says nothing of its short paragraphs
+            # beyond the last decided block only text elements are text
             one = labels[right if left is None else left]
-            b.label = GOOD if main else one
+            b.label = GOOD if marked else one if b.tag in PROSE_TAGS else BAD
         elif labels[left] == labels[right]:
             b.label = labels[left]
-        elif i - left != right - i and not b.heading:
+        elif b.heading:
+            b.label = labels[right]
+        elif i - left != right - i:
             b.label = labels[left] if i - left < right - i else labels[right]
         else:
-            b.label = labels[right] if b.heading else GOOD
+            b.label = GOOD
     return blocks
 
 
@@ -242,7 +311,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: For pages of the test tables: one article element, block tags and four references.
 OP10_SQL = """
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS x FROM pages),
-t AS (SELECT page_id, url, replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM a),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS x FROM a),
 s AS (SELECT page_id, url, trim(regexp_replace(x, '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM t)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM s
 """

@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -36,6 +37,22 @@ def page(body, head=""):
         (page("<div id='cookie-notice'>We use cookies</div><p>" + LONG * 3 + "</p><p>short</p><ul><li><a href=a>link one</a></li><li><a href=b>link two</a></li></ul>"), (LONG * 3).strip() + " short"),
         (page("<article><p>" + LONG * 2 + "</p><p hidden>no</p><p style='display: none'>no</p></article>"), (LONG * 2).strip()),
         ("<p>unclosed <b>bold <p>next", "unclosed bold next"),
+        # names inside other values, names with one furniture word, unquoted values
+        ("<body class='single comments-open'><p>All of it.</p></body>", "All of it."),
+        ("<article class='post comments-open'><p>All of it.</p></article>", "All of it."),
+        ("<main id=menu><p>All of it.</p></main>", "All of it."),
+        ('<p title="a hidden gem">Text</p>', "Text"),
+        ("<section id='related-work'><p>Others</p></section><p class='search-results-intro'>Intro</p>", "Others Intro"),
+        ("<article><p>One.</p></article><div class=ad-slot>no</div><article><p>Two is the larger.</p></article>", "One. Two is the larger."),
+        ("<p title=it's>Yes</p>", "Yes"),
+        ("<p title='a>b' data-x=\"</p>\">Yes</p>", "Yes"),
+        ("<p>We sell<span class='ad'>Buy <span>now</span></span>things.</p>", "We sell things."),
+        ("<article><p>Text.</p></article><article class=comment><p>Mine.</p></article><ol class='comment-list'><li>More</ol>", "Text."),
+        ("<article><h2><a href=x>A linked heading</a></h2><ul><li><a href=y>a link</a></ul><p>Short.</p></article>", "A linked heading Short."),
+        ("<div id=mainNav>no</div><div class='cookieBanner'>no</div><div class='has-sidebar'><p>Yes</p></div><div id='sidebar-2'>no</div>", "Yes"),
+        ("<nav>never closed <main><p>Text</p></main>", "Text"),
+        ("<article>AT&amp;T &ampx</article>", "AT&T &x"),
+        ("<p>cut in a tag <b class='x", "cut in a tag"),
         ("<p>a < b and c > d</p>", "a < b and c > d"),
     ],
 )
@@ -50,6 +67,54 @@ def test_open_blocks_take_the_nearest_label():
     assert "near text" in text and text.endswith("last") and "near menu" not in text
 
 
+WORDS = "river stone market letter window garden engine winter silver doctor yellow simple animal bridge summer corner".split()
+STOPS = "the of and to in a is that for it was on are with as".split()
+POLISH = "się nie jest że oraz przez został było ale dla tego który jako".split()
+
+
+def sentences(rng, n, stops):
+    return " ".join(rng.choice(stops if rng.random() < 0.45 and stops else WORDS) for _ in range(n)) + "."
+
+
+def made_page(rng, stops):
+    """(html, main text): no article, no main, furniture by class or by nothing but its
+    links; short paragraphs and headings among the long ones."""
+    links = lambda n: "".join(f"<li><a href='/{i}'>{sentences(rng, rng.randint(1, 4), [])}</a></li>" for i in range(n))
+    blocks, truth = [], []
+    for _ in range(rng.randint(3, 9)):
+        tag = rng.choice(["p", "p", "p", "blockquote", "h2"])
+        text = sentences(rng, rng.randint(3, 9) if tag == "h2" or rng.random() < 0.3 else rng.randint(30, 90), stops)
+        blocks.append(f"<{tag}>{text}</{tag}>")
+        truth.append(text)
+        if rng.random() < 0.15:
+            blocks.append(f"<div class='{rng.choice(['ad', 'ad-slot', 'newsletter-signup', 'share-buttons'])}'>{sentences(rng, 12, stops)}</div>")
+    menu = rng.choice([f"<div class='menu'><ul>{links(6)}</ul></div>", f"<ul>{links(6)}</ul>", f"<nav>{links(4)}</nav>"])
+    tail = rng.choice([f"<div class='footer'>{sentences(rng, 20, stops)}</div>", f"<div>(c) {sentences(rng, 4, [])}</div>", f"<ul>{links(5)}</ul><div>{sentences(rng, 3, [])}</div>"])
+    side = rng.choice(["", f"<div id='sidebar'><p>{sentences(rng, 40, stops)}</p></div>", f"<div><ul>{links(8)}</ul></div>"])
+    return page(menu + side + f"<div class='{rng.choice(['content', 'post-body', 'x1'])}'>" + "\n".join(blocks) + "</div>" + tail), " ".join(truth)
+
+
+@pytest.mark.parametrize("stops", [STOPS, POLISH])
+def test_pages_without_articles_by_densities(stops):
+    """Word F1 against the known text, for a language with listed stop words and one
+    without."""
+    rng = random.Random(31)
+    hit = got_words = true_words = 0
+    for _ in range(300):
+        html, truth = made_page(rng, stops)
+        got = Counter(html_extract.extract_text(html).split())
+        want = Counter(truth.split())
+        hit, got_words, true_words = hit + (got & want).total(), got_words + got.total(), true_words + want.total()
+    f1 = 2 * hit / (got_words + true_words)
+    assert f1 >= 0.98
+
+
+def test_a_very_long_page():
+    text = " ".join(sentences(random.Random(k), 60, STOPS) for k in range(2000))
+    assert html_extract.extract_text(f"<p class={'x' * 100_000}>{text}</p>" + "<div>" * 20_000) == text
+    assert html_extract.extract_text("<" * 200_000 + "a='" * 50_000) is not None
+
+
 def test_pages_table(spark):
     rows = [(1, "u", page("<article>é ü</article>")), (1, "u", page("<article>é ü</article>")), (None, None, None), (3, "v", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text")
