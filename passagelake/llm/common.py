@@ -25,12 +25,15 @@ BUCKET_BYTES = 8 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Reads ``spark.checkpoint.dir``;
-    only where that is unset (tests, one machine) a temporary one is set."""
+    only on a local master, where that is unset (tests, one machine), a temporary one is
+    set. On a cluster a machine's own folder would lose rows, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         ctx = spark.sparkContext
         found = ctx.getCheckpointDir()
         if not found:
+            if not ctx.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is not set: the operators need a folder that all executors share")
             ctx.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pl_shared_"))
             found = ctx.getCheckpointDir()
     return found.rstrip("/")
@@ -68,6 +71,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"pl_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bounded_batches(spark: SparkSession, nbytes: int = BATCH_BYTES) -> None:
     """Limit Arrow batches by bytes for this session."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(nbytes))

@@ -14,13 +14,21 @@ about one in 39 bytes, stands for all of them. Anchor hashes are counted first
 suffixes whose gram occurs elsewhere go on.
 
 Sorting. Every bucket of documents sorts its suffixes and sends them front-coded: the
-length of the prefix shared with the one before, and the rest. Equal families of a
-bucket are sent once, with their first place. A loser tree merges the runs; each
+length of the prefix shared with the one before, and the rest. Families whose windows
+all start earlier in their bucket stay there. A loser tree merges the runs; each
 stream carries its common prefix with the last winner, so prefixes known to be equal
 are never compared again, and the merged order comes with its common prefix lengths.
-Suffixes with a common gram arrive together, and among them each window finds its
-first place. Members of such a group are distinct texts of distinct buckets, and a
-group is resolved one distance at a time, so memory stays linear in it.
+These decide: two windows at distance d before their anchors are equal if the
+least common prefix between their suffixes in the merged order has the 100 - d bytes from
+the anchor on, and the same holds of the d bytes before it in the order of the reversed
+left contexts. So at every distance the suffixes fall into runs, cut where a prefix
+is too short, and in each run the first place stays (:func:`repeats`). Inside a bucket
+the same function reads the bucket's own sorted suffixes.
+
+Hot grams. A gram with more than ``HOT`` families (a line that a third of all documents
+share, with other text around it) would bring them all into one merge. Its families
+are sent window by window instead, each to the part that a hash of the whole window
+names: equal windows still meet, different ones spread over all parts.
 
 The whole computation is one plan over one exchange of the texts.
 
@@ -34,15 +42,16 @@ of a character that the cut splits.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table, text_buffers, total_text_bytes
+from .common import bounded_batches, fresh, table, text_buffers, total_text_bytes
 
 LENGTH = 100
 GRAM = 24
@@ -50,6 +59,10 @@ GRAM = 24
 BUCKET = 6 << 20
 MERGE = 24 << 20
 CHUNK = 1 << 20
+#: Families of a gram above which each of their windows goes its own way.
+HOT = 20_000
+#: Cells (members x distances) that are resolved at once.
+CELLS = 1 << 21
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -135,49 +148,73 @@ class Families:
         """From the first window to the anchor."""
         return self.data[self.first[i] : self.anchor[i]]
 
-    def classes(self) -> tuple[np.ndarray, list[list[int]]]:
-        """``leader`` of each family (the first equal family of the bucket, itself
-        if none is earlier) and the groups of leaders that share a gram."""
-        leader = np.arange(len(self))
+    def local_repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(family, least, greatest distance) of windows that start earlier in the
+        bucket."""
+        out: list[tuple[int, int, int]] = []
         order = np.argsort(self.gram, kind="stable")
         g = self.gram[order]
         cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
-        groups = []
         for b in np.flatnonzero(np.diff(cuts) > 1):
-            seen: dict = {}
-            for i in order[cuts[b] : cuts[b + 1]]:
-                i = int(i)
-                leader[i] = seen.setdefault((int(self.anchor[i] - self.last[i]), int(self.anchor[i] - self.first[i]), self.data[self.first[i] : self.last[i] + self.length]), i)
-            if len(seen) > 1:
-                groups.append(list(seen.values()))
-        return leader, groups
-
-
-def repeated_distances(members: list[tuple[bytes, bytes, int]], length: int = LENGTH) -> list[list[int]]:
-    """For members (right, left, least distance) in the order of their places: the
-    distances d whose window, left[-d:] + right[: length - d], an earlier member has."""
-    out: list[list[int]] = [[] for _ in members]
-    least = min(m[2] for m in members)
-    most = max(len(m[1]) for m in members)
-    for d in range(least, most + 1):
-        seen: set[bytes] = set()
-        for i, (right, left, low) in enumerate(members):
-            if low <= d <= len(left):
-                window = left[len(left) - d :] + right[: length - d]
-                if window in seen:
-                    out[i].append(d)
-                else:
-                    seen.add(window)
-    return out
-
-
-def _ranges(values: list[int]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for v in values:
-        if out and v == out[-1][1] + 1:
-            out[-1] = (out[-1][0], v)
-        else:
-            out.append((v, v))
+            strings = sorted((self.right(i), i) for i in order[cuts[b] : cuts[b + 1]].tolist())
+            shared = [0, *(common_prefix(x, y) for (x, _), (y, _) in zip(strings, strings[1:]))]
+            members = [i for _, i in strings]
+            lows = [int(self.anchor[i] - self.last[i]) for i in members]
+            found = repeats(shared, [self.left(i) for i in members], lows, members, self.length)
+            out += [(members[k], lo, hi) for k, lo, hi in found]
+        cols = np.array(out, np.int64).reshape(-1, 3)
+        return cols[:, 0], cols[:, 1], cols[:, 2]
+
+
+def repeats(shared: list[int], lefts: list[bytes], lows: list[int], places: list, length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """(member, least, greatest distance) of windows that a member of an earlier place
+    has too. Members come in the order of their suffixes, ``shared`` is the common prefix
+    of each with the one before, ``lefts`` the bytes before the anchor, ``lows`` the least
+    distance; the greatest is the length of the left context."""
+    n = len(lefts)
+    if n == 2:
+        least = max(lows[0], lows[1], length - shared[1])
+        most = common_prefix(lefts[0][::-1], lefts[1][::-1])
+        return [(int(places[1] > places[0]), least, most)] if least <= most else []
+    before = [x[::-1] for x in lefts]
+    by_left = sorted(range(n), key=before.__getitem__)
+    left_shared = np.array([0, *(common_prefix(before[i], before[j]) for i, j in zip(by_left, by_left[1:]))], np.int64)
+    right_shared = np.array(shared, np.int64)
+    low, high = np.array(lows, np.int64), np.array([len(x) for x in lefts], np.int64)
+    rank = np.empty(n, np.int64)
+    rank[sorted(range(n), key=places.__getitem__)] = np.arange(n)
+    place_left = np.array(by_left, np.int64)
+    # members that are equal as a whole: the first stands for all
+    whole = np.empty(n, np.int64)
+    same = left_shared[1:] == np.maximum(high[place_left[1:]], high[place_left[:-1]])
+    whole[place_left] = np.cumsum(np.r_[0, ~same])
+    ends = length - low
+    equal = np.cumsum(np.r_[0, right_shared[1:] != np.maximum(ends[1:], ends[:-1])]) * n + whole
+    order = np.lexsort((rank, equal))
+    first = np.r_[True, equal[order][1:] != equal[order][:-1]]
+    out = [(int(i), int(low[i]), int(high[i])) for i in order[~first]]
+    lead = np.zeros(n, bool)
+    lead[order[first]] = True
+    if first.sum() < 2:
+        return out
+    width = max(1, CELLS // n)
+    marked: list[np.ndarray] = []
+    for start in range(int(low.min()), int(high.max()) + 1, width):
+        d = np.arange(start, min(start + width, int(high.max()) + 1))
+        right = np.cumsum(right_shared[:, None] < length - d, axis=0)
+        left = np.empty_like(right)
+        left[place_left] = np.cumsum(left_shared[:, None] < d, axis=0)
+        member, at = np.nonzero(lead[:, None] & (low[:, None] <= d) & (high[:, None] >= d))
+        run = (at * (n + 1) + right[member, at]) * (n + 1) + left[member, at]
+        order = np.lexsort((rank[member], run))
+        again = order[1:][run[order][1:] == run[order][:-1]]
+        marked.append(np.stack([member[again], d[at[again]]], 1))
+    rows = np.concatenate(marked)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    if len(rows):
+        cut = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 1)) + 1
+        begin, end = np.r_[0, cut], np.r_[cut, len(rows)] - 1
+        out += zip(rows[begin, 0].tolist(), rows[begin, 1].tolist(), rows[end, 1].tolist())
     return out
 
 
@@ -298,31 +335,35 @@ def _families_of(docs: pa.Table) -> tuple[pa.Table, np.ndarray, Families]:
 
 
 def _grams(key: tuple, docs: pa.Table) -> pa.Table:
-    grams = np.unique(_families_of(docs)[2].gram)
-    return pa.table({"bucket": pa.array(np.full(len(grams), key[0].as_py(), np.int32)), "gram": pa.array(grams.view(np.int64))})
+    grams, n = np.unique(_families_of(docs)[2].gram, return_counts=True)
+    return pa.table({"bucket": pa.array(np.full(len(grams), key[0].as_py(), np.int32)), "gram": pa.array(grams.view(np.int64)), "n": pa.array(n.astype(np.int32))})
+
+
+def _shared_grams(hot: int):
+    def run(batches):
+        """Rows sorted by gram; those whose gram comes from several buckets, and whether
+        it has more than ``hot`` families."""
+        held = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32)]
+
+        def out(bucket, gram, n):
+            first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+            size = np.diff(np.r_[first, len(gram)])
+            total = np.repeat(np.add.reduceat(n.astype(np.int64), first), size)
+            several = np.repeat(size > 1, size)
+            return pa.RecordBatch.from_arrays([pa.array(bucket[several]), pa.array(gram[several]), pa.array(total[several] > hot)], ["bucket", "gram", "hot"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = [np.r_[h, batch.column(i).to_numpy()] for i, h in enumerate(held)]
+            cut = int(np.searchsorted(held[1], held[1][-1]))  # the last gram may go on
+            if cut:
+                yield out(*(h[:cut] for h in held))
+                held = [h[cut:] for h in held]
+        if len(held[1]):
+            yield out(*held)
 
-
-def _shared_grams(batches):
-    """Rows sorted by gram; those whose gram comes from several buckets."""
-    bucket, gram, again = np.empty(0, np.int32), np.empty(0, np.int64), False
-
-    def out(b, g, flags):
-        return pa.RecordBatch.from_arrays([pa.array(b[flags]), pa.array(g[flags])], ["bucket", "gram"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        b = np.r_[bucket, batch.column(0).to_numpy()]
-        g = np.r_[gram, batch.column(1).to_numpy()]
-        flags = np.zeros(len(g), bool)
-        same = g[1:] == g[:-1]
-        flags[1:] |= same
-        flags[:-1] |= same
-        flags[0] |= again
-        bucket, gram, again = b[-1:], g[-1:], bool(flags[-1])
-        yield out(b[:-1], g[:-1], flags[:-1])
-    if len(gram):
-        yield out(bucket, gram, np.array([again]))
+    return run
 
 
 RUN_SCHEMA = "part int, bucket int, n int, doc_id binary, place binary, family binary, sizes binary, rests binary, lefts binary"
@@ -334,24 +375,39 @@ def _runs(parts: int):
         bucket = key[0].as_py()
         if docs.num_rows and grams.num_rows:
             docs, offs, fam = _families_of(docs)
-            wanted = np.sort(grams.column("gram").to_numpy().view(np.uint64))
-            at = np.searchsorted(wanted, fam.gram)
-            leader, _ = fam.classes()
-            keep = (wanted[np.minimum(at, len(wanted) - 1)] == fam.gram) & (leader == np.arange(len(fam)))
-            chosen = np.flatnonzero(keep)
-            part = (fam.gram[chosen] % np.uint64(parts)).astype(np.int64)
+            wanted = grams.column("gram").to_numpy().view(np.uint64)
+            order = np.argsort(wanted)
+            wanted, hot = wanted[order], grams.column("hot").to_numpy()[order]
+            at = np.minimum(np.searchsorted(wanted, fam.gram), len(wanted) - 1)
+            keep = wanted[at] == fam.gram
+            again, low, high = fam.local_repeats()
+            whole = (fam.anchor - fam.last)[again] == low
+            whole &= (fam.anchor - fam.first)[again] == high
+            keep[again[whole]] = False
             ids = docs.column("doc_id")
             no_id = ids.is_null().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy()
-            for p in np.unique(part):
-                mine = chosen[part == p].tolist()
-                strings = [(fam.right(i), fam.left(i), i) for i in mine]
+            #: by part: (suffix, left context, least distance, family, distance of the window)
+            sent: dict[int, list[tuple[bytes, bytes, int, int, int]]] = {}
+            for i in np.flatnonzero(keep & ~hot[at]).tolist():
+                sent.setdefault(int(fam.gram[i] % np.uint64(parts)), []).append((fam.right(i), fam.left(i), int(fam.anchor[i] - fam.last[i]), i, 0))
+            inside: dict[int, set[int]] = {}
+            for i, lo, hi in zip(again.tolist(), low.tolist(), high.tolist()):
+                if hot[at[i]]:
+                    inside.setdefault(i, set()).update(range(lo, hi + 1))
+            for i in np.flatnonzero(keep & hot[at]).tolist():
+                anchor = int(fam.anchor[i])
+                for d in range(anchor - int(fam.last[i]), anchor - int(fam.first[i]) + 1):
+                    if d not in inside.get(i, ()):
+                        window = fam.data[anchor - d : anchor - d + fam.length]
+                        sent.setdefault(zlib.crc32(window) % parts, []).append((window, b"", 0, i, d))
+            for p, strings in sorted(sent.items()):
                 strings.sort()
-                order = np.array([i for _, _, i in strings])
-                doc = np.searchsorted(offs, fam.anchor[order], side="right") - 1
-                shared, rests = front_coded([s for s, _, _ in strings])
-                sizes = np.stack([shared, [len(s) for s, _, _ in strings], [len(x) for _, x, _ in strings], fam.anchor[order] - fam.last[order], no_id[doc]], 1).astype(np.uint8)
-                rows.append((int(p), bucket, len(order), ids[doc].astype(np.int64).tobytes(), fam.anchor[order].tobytes(), order.astype(np.int32).tobytes(), sizes.tobytes(), rests, b"".join(x for _, x, _ in strings)))
+                family = np.array([x[3] for x in strings])
+                doc = np.searchsorted(offs, fam.anchor[family], side="right") - 1
+                shared, rests = front_coded([x[0] for x in strings])
+                sizes = np.stack([shared, [len(x[0]) for x in strings], [len(x[1]) for x in strings], [x[2] for x in strings], [x[4] for x in strings], no_id[doc]], 1).astype(np.uint8)
+                rows.append((p, bucket, len(strings), ids[doc].astype(np.int64).tobytes(), fam.anchor[family].tobytes(), family.astype(np.int32).tobytes(), sizes.tobytes(), rests, b"".join(x[1] for x in strings)))
         names = [x.split()[0] for x in RUN_SCHEMA.split(", ")]
         kinds = [pa.int32()] * 3 + [pa.binary()] * 6
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, kinds)], names)
@@ -369,37 +425,40 @@ def _merge_runs(runs: pa.Table) -> pa.Table:
     for i in range(runs.num_rows):
         get = lambda name: runs.column(name)[i].as_py()
         n = get("n")
-        sizes = np.frombuffer(get("sizes"), np.uint8).reshape(n, 5)
-        lefts, ends = get("lefts"), np.cumsum(sizes[:, 2].astype(np.int64))
-        meta.append((get("bucket"), np.frombuffer(get("doc_id"), np.int64).tolist(), np.frombuffer(get("place"), np.int64).tolist(), np.frombuffer(get("family"), np.int32).tolist(), sizes[:, 3].tolist(), sizes[:, 4].tolist(), lefts, ends.tolist(), sizes[:, 2].tolist()))
+        sizes = np.frombuffer(get("sizes"), np.uint8).reshape(n, 6)
+        ends = np.cumsum(sizes[:, 2].astype(np.int64))
+        meta.append((get("bucket"), np.frombuffer(get("doc_id"), np.int64).tolist(), np.frombuffer(get("place"), np.int64).tolist(), np.frombuffer(get("family"), np.int32).tolist(), sizes[:, 2:].tolist(), get("lefts"), ends.tolist()))
         streams.append(decoded(sizes[:, 0].tolist(), sizes[:, 1].tolist(), get("rests")))
     out: list[tuple[int, int, int, int]] = []
     next_of = [0] * len(streams)
-    group: list[tuple] = []
+    # of the members that share a gram: common prefix with the one before, left context,
+    # least distance, place, and (bucket, family, distance of the window)
+    shares: list[int] = []
+    lefts: list[bytes] = []
+    lows: list[int] = []
+    places: list[tuple] = []
+    names: list[tuple[int, int, int]] = []
 
     def resolve():
-        group.sort(key=lambda m: m[0])
-        firsts: dict = {}
-        for _, right, left, low, bucket, family in group:
-            key = (right, left, low)
-            if key in firsts:
-                out.append((bucket, family, low, len(left)))
-            else:
-                firsts[key] = (bucket, family)
-        if len(firsts) > 1:
-            for (bucket, family), ds in zip(firsts.values(), repeated_distances(list(firsts))):
-                out.extend((bucket, family, lo, hi) for lo, hi in _ranges(ds))
+        for k, lo, hi in repeats(shares, lefts, lows, places):
+            bucket, family, shift = names[k]
+            out.append((bucket, family, lo + shift, hi + shift))
 
-    for s, right, shared in merged(streams):
+    for s, _, shared in merged(streams):
         if shared < GRAM:
-            if len(group) > 1:
+            if len(names) > 1:
                 resolve()
-            group = []
-        bucket, ids, places, families, lows, no_id, lefts, ends, sizes = meta[s]
+            shares, lefts, lows, places, names = [], [], [], [], []
+        bucket, ids, at, families, sizes, text, ends = meta[s]
         i = next_of[s]
         next_of[s] = i + 1
-        group.append(((no_id[i], ids[i], bucket, places[i]), right, lefts[ends[i] - sizes[i] : ends[i]], lows[i], bucket, families[i]))
-    if len(group) > 1:
+        size, low, shift, no_id = sizes[i]
+        shares.append(shared)
+        lefts.append(text[ends[i] - size : ends[i]])
+        lows.append(low)
+        places.append((no_id, ids[i], bucket, at[i]))
+        names.append((bucket, families[i], shift))
+    if len(names) > 1:
         resolve()
     cols = list(zip(*out)) if out else [[]] * 4
     return pa.table([pa.array(c, pa.int32()) for c in cols], ["bucket", "family", "low", "high"])
@@ -408,25 +467,12 @@ def _merge_runs(runs: pa.Table) -> pa.Table:
 def removed_bytes(offs: np.ndarray, fam: Families, marks: pa.Table) -> np.ndarray:
     """For every byte of a bucket whether it goes."""
     cover = np.zeros(len(fam.raw) + 1, np.int32)
-    leader, groups = fam.classes()
-    first, last = [], []  # window starts that repeat
-
-    follow = np.flatnonzero(leader != np.arange(len(fam)))
-    first.append(fam.first[follow])
-    last.append(fam.last[follow])
-    for group in groups:
-        group.sort(key=lambda i: fam.anchor[i])
-        found = repeated_distances([(fam.right(i), fam.left(i), int(fam.anchor[i] - fam.last[i])) for i in group], fam.length)
-        for i, ds in zip(group, found):
-            for lo, hi in _ranges(ds):
-                first.append(fam.anchor[i : i + 1] - hi)
-                last.append(fam.anchor[i : i + 1] - lo)
+    family, low, high = fam.local_repeats()
     if marks.num_rows:
-        anchor = fam.anchor[marks.column("family").to_numpy()]
-        first.append(anchor - marks.column("high").to_numpy())
-        last.append(anchor - marks.column("low").to_numpy())
-    np.add.at(cover, np.concatenate(first), 1)
-    np.add.at(cover, np.concatenate(last) + fam.length, -1)
+        family = np.r_[family, marks.column("family").to_numpy()]
+        low, high = np.r_[low, marks.column("low").to_numpy()], np.r_[high, marks.column("high").to_numpy()]
+    np.add.at(cover, fam.anchor[family] - high, 1)
+    np.add.at(cover, fam.anchor[family] - low + fam.length, -1)
     return np.cumsum(cover[:-1]) > 0
 
 
@@ -445,43 +491,49 @@ def _report(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names)
 
 
-def _cut_texts(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
-    docs, offs, fam = _families_of(docs)
-    gone = removed_bytes(offs, fam, marks)
-    texts = docs.column("text").to_pylist()
-    for i, text in enumerate(texts):
-        lo, hi = int(offs[i]), int(offs[i + 1])
-        mine = gone[lo:hi]
-        if mine.any():
-            texts[i] = fam.raw[lo:hi][~mine].tobytes().decode("utf-8", "ignore")
-    return docs.set_column(docs.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["pl_bucket"])
+def _cut_texts(extra: str):
+    def run(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
+        docs, offs, fam = _families_of(docs)
+        gone = removed_bytes(offs, fam, marks)
+        texts = docs.column("text").to_pylist()
+        for i, text in enumerate(texts):
+            lo, hi = int(offs[i]), int(offs[i + 1])
+            mine = gone[lo:hi]
+            if mine.any():
+                texts[i] = fam.raw[lo:hi][~mine].tobytes().decode("utf-8", "ignore")
+        return docs.set_column(docs.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns([extra])
+
+    return run
 
 
-def _planned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with their bucket, marks)."""
+def _planned(docs: DataFrame, bucket: str) -> tuple[GroupedData, GroupedData]:
+    """(documents by bucket, marks by bucket). Partitions are counted by the input, so a
+    task's share does not grow with it."""
     bounded_batches(docs.sparkSession)
     rows, nbytes = total_text_bytes(docs)
     buckets = max(1, -(-nbytes // BUCKET), -(-rows // 200_000))
     parts = max(12, -(-nbytes // MERGE))
-    dealt = docs.withColumn("pl_bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
-    by_bucket = dealt.groupBy("pl_bucket")
-    grams = by_bucket.applyInArrow(_grams, "bucket int, gram bigint")
-    shared = grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared_grams, "bucket int, gram bigint")
-    runs = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(_runs(parts), RUN_SCHEMA)
-    return dealt, runs.groupBy("part").applyInArrow(_merge_runs, MARK_SCHEMA)
+    dealt = docs.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition(buckets, bucket)
+    by_bucket = dealt.groupBy(bucket)
+    grams = by_bucket.applyInArrow(_grams, "bucket int, gram bigint, n int")
+    shared = grams.repartition(max(parts, 1), "gram").sortWithinPartitions("gram").mapInArrow(_shared_grams(HOT), "bucket int, gram bigint, hot boolean")
+    runs = by_bucket.cogroup(shared.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(_runs(parts), RUN_SCHEMA)
+    marks = runs.repartition(parts, "part").groupBy("part").applyInArrow(_merge_runs, MARK_SCHEMA)
+    return by_bucket, marks.repartition(buckets, "bucket").groupBy("bucket")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    dealt, marks = _planned(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return dealt.groupBy("pl_bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_report, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    by_bucket, marks = _planned(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), "bucket")
+    return by_bucket.cogroup(marks).applyInArrow(_report, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (all columns) with the repeated bytes cut out of ``text``."""
-    dealt, marks = _planned(docs)
+    (bucket,) = fresh(docs, "bucket")
+    by_bucket, marks = _planned(docs, bucket)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-    return dealt.groupBy("pl_bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_cut_texts, schema)
+    return by_bucket.cogroup(marks).applyInArrow(_cut_texts(bucket), schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

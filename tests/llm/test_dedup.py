@@ -148,9 +148,10 @@ def tricky_texts(rng):
     return rows + ["ab" * 300, "ab" * 90, "a" * 99, "a" * 100, "a" * 101, "", None, "é" * 80, rows[3], rows[3]]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(4))
 def test_report_against_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(suffix_dedup, "BUCKET", 1500)
+    monkeypatch.setattr(suffix_dedup, "HOT", [20_000, 20_000, 2, 0][seed])
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700 if seed else 1 << 20)
     texts = tricky_texts(random.Random(seed))
     rows = list(enumerate(texts))
@@ -165,13 +166,59 @@ def test_report_against_brute_force(spark, monkeypatch, seed):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()), i
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_repeats_against_brute_force(seed, monkeypatch):
+    """The windows that prefix lengths of the sorted order call repeated."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(suffix_dedup, "CELLS", rng.choice([3, 40, 1 << 21]))
+    length = 12
+    members = []
+    for place in range(rng.randint(2, 14)):
+        left, low = "".join(rng.choice("ab") for _ in range(rng.randint(0, 8))).encode(), rng.randint(0, 3)
+        left = left if len(left) >= low else b"a" * low
+        members.append(("abab" + "".join(rng.choice("ab") for _ in range(length - low - 4)), left, low, place))
+    members = [(r.encode(), x, low, place) for r, x, low, place in members]
+    want, seen = set(), set()
+    for right, left, low, place in members:
+        for d in range(low, len(left) + 1):
+            window = d, left[len(left) - d :] + right[: length - d]
+            if window in seen:
+                want.add((place, d))
+            seen.add(window)
+    members.sort(key=lambda m: (m[0], rng.random()))
+    shared = [0, *(suffix_dedup.common_prefix(a[0], b[0]) for a, b in zip(members, members[1:]))]
+    got = suffix_dedup.repeats(shared, [m[1] for m in members], [m[2] for m in members], [m[3] for m in members], length)
+    marked = [(members[k][3], d) for k, lo, hi in got for d in range(lo, hi + 1)]
+    assert set(marked) == want and len(set(marked)) == len(marked)
+
+
+def test_a_hot_line_is_spread(spark, monkeypatch):
+    """A line in every document, each with other text around it: the families of its grams
+    go window by window to all parts, and the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 20_000)
+    rng = random.Random(5)
+    line = prose(rng, 30)[:150]
+    docs = spark.createDataFrame([(i, prose(rng, 12) + line + prose(rng, 12)) for i in range(600)], "doc_id long, text string")
+    plain = sorted(map(tuple, suffix_dedup.repeat_report(docs).collect()))
+    monkeypatch.setattr(suffix_dedup, "HOT", 50)
+    assert sorted(map(tuple, suffix_dedup.repeat_report(docs).collect())) == plain
+    assert sum(r[2] > 0 for r in plain) == 599
+    bucket = pa.table({"doc_id": list(range(600)), "text": [r["text"] for r in docs.orderBy("doc_id").collect()]})
+    _, _, fam = suffix_dedup._families_of(bucket)
+    grams, n = np.unique(fam.gram, return_counts=True)
+    shared = pa.table({"gram": grams[n > 1].view(np.int64), "hot": n[n > 1] > 50})
+    runs = suffix_dedup._runs(12)((pa.scalar(0),), bucket, shared)
+    sizes = runs.column("n").to_pylist()
+    assert runs.num_rows == 12 and max(sizes) < 2 * sum(sizes) / 12
+
+
 def test_cut_texts_keep_columns_and_null_ids_come_last(spark):
     p = prose(random.Random(3), 60)
-    docs = spark.createDataFrame([(None, p, "x", 1), (4, "start " + p, "y", 2), (4, None, "z", 3), (9, "é" + p[1:], None, 4)], "doc_id long, text string, bucket string, family int")
+    docs = spark.createDataFrame([(None, p, "x", 1), (4, "start " + p, "y", 2), (4, None, "z", 3), (9, "é" + p[1:], None, 4)], "doc_id long, text string, bucket string, family int").selectExpr("*", "7 as pl_bucket", "8 as part", "9 as gram")
     got = {r["family"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
     assert suffix_dedup.remove_repeats(docs).columns == docs.columns
     assert got[2]["text"] == "start " + p and got[1]["text"] == "" and got[3]["text"] is None
-    assert got[4]["text"] == "é" and got[4]["bucket"] is None
+    assert got[4]["text"] == "é" and got[4]["bucket"] is None and got[4]["pl_bucket"] == 7
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
     assert suffix_dedup.repeat_report(docs.limit(0)).count() == 0
 
