@@ -25,7 +25,7 @@ left contexts. So at every distance the suffixes fall into runs, cut where a pre
 is too short, and in each run the first place stays (:func:`repeats`). Inside a bucket
 the same function reads the bucket's own sorted suffixes.
 
-Hot grams. A gram with more than ``HOT`` families (a line that a third of all documents
+Hot grams. A gram with more than ``HOT`` contexts (a line that a third of all documents
 share, with other text around it) would bring them all into one merge. Its families
 are sent window by window instead, each to the part that a hash of the whole window
 names: equal windows still meet, different ones spread over all parts.
@@ -59,7 +59,7 @@ GRAM = 24
 BUCKET = 6 << 20
 MERGE = 24 << 20
 CHUNK = 1 << 20
-#: Families of a gram above which each of their windows goes its own way.
+#: Contexts of a gram above which each of their windows goes its own way.
 HOT = 20_000
 #: Cells (members x distances) that are resolved at once.
 CELLS = 1 << 21
@@ -85,13 +85,14 @@ def gram_hashes(x: np.ndarray) -> np.ndarray:
 
 class Families:
     """Runs of windows with one anchor in a bucket. Arrays, in order of place:
-    ``anchor``, ``first`` and ``last`` window start, ``gram`` (hash)."""
+    ``anchor``, ``first`` and ``last`` window start, ``gram`` (hash), and ``ends``, a
+    mixture of the hashes of the first and the last gram."""
 
     def __init__(self, raw: np.ndarray, offs: np.ndarray, length: int = LENGTH):
         self.raw, self.data, self.length = raw, raw.tobytes(), length
         parts = [self._chunk(lo, hi) for lo, hi in self._chunks(offs)]
         self.anchor, self.first, self.last = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3))
-        self.gram = np.concatenate([p[3] for p in parts]) if parts else np.empty(0, np.uint64)
+        self.gram, self.ends = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64) for i in (3, 4))
 
     def _chunks(self, offs) -> Iterator[tuple[int, np.ndarray]]:
         """(start, document ends inside) of chunks that bound the memory; a long
@@ -114,7 +115,7 @@ class Families:
         n = int(bounds[-1]) - start
         empty = np.empty(0, np.int64)
         if n < self.length:
-            return empty, empty, empty, np.empty(0, np.uint64)
+            return empty, empty, empty, np.empty(0, np.uint64), np.empty(0, np.uint64)
         h = gram_hashes(np.ascontiguousarray(self.raw[start : start + n]))
         low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
         width, span = self.length - GRAM + 1, 1
@@ -135,7 +136,7 @@ class Families:
         first = np.flatnonzero(valid & ~same[:-1])
         last = np.flatnonzero(valid & ~same[1:])
         anchor = named[first]
-        return anchor + start, first + start, last + start, h[anchor]
+        return anchor + start, first + start, last + start, h[anchor], h[first] * _B ^ h[last + self.length - GRAM]
 
     def __len__(self):
         return len(self.anchor)
@@ -148,74 +149,128 @@ class Families:
         """From the first window to the anchor."""
         return self.data[self.first[i] : self.anchor[i]]
 
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(grams, about how many different contexts each has in the bucket): families
+        with the same extent and the same grams at both ends count once."""
+        mixed = self.ends * _A + (self.anchor - self.first).astype(np.uint64) * _B + (self.last - self.anchor + self.length).astype(np.uint64) * _C
+        order = np.lexsort((mixed, self.gram))
+        g, m = self.gram[order], mixed[order]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (m[1:] != m[:-1])
+        return np.unique(g[new], return_counts=True)
+
     def local_repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(family, least, greatest distance) of windows that start earlier in the
         bucket."""
         out: list[tuple[int, int, int]] = []
         order = np.argsort(self.gram, kind="stable")
         g = self.gram[order]
-        cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
-        for b in np.flatnonzero(np.diff(cuts) > 1):
-            strings = sorted((self.right(i), i) for i in order[cuts[b] : cuts[b + 1]].tolist())
-            shared = [0, *(common_prefix(x, y) for (x, _), (y, _) in zip(strings, strings[1:]))]
-            members = [i for _, i in strings]
-            lows = [int(self.anchor[i] - self.last[i]) for i in members]
-            found = repeats(shared, [self.left(i) for i in members], lows, members, self.length)
-            out += [(members[k], lo, hi) for k, lo, hi in found]
+        cut = np.ones(len(g) + 1, bool)
+        cut[1:-1] = g[1:] != g[:-1]
+        cuts = np.flatnonzero(cut)
+        low, high = (self.anchor - self.last).tolist(), (self.anchor - self.first).tolist()
+        anchor, data, length = self.anchor.tolist(), self.data, self.length
+        many = np.flatnonzero(np.diff(cuts) > 1)
+        order = order.tolist()
+        for lo, hi in zip(cuts[many].tolist(), cuts[many + 1].tolist()):
+            strings = sorted((data[anchor[i] : anchor[i] - low[i] + length], data[anchor[i] - high[i] : anchor[i]], i) for i in order[lo:hi])
+            shared, before = [], b""
+            for x, _, _ in strings:
+                shared.append(len(x) if x == before else common_prefix(before, x))
+                before = x
+            members = [i for _, _, i in strings]
+            out += [(members[k], a, b) for k, a, b in repeats(shared, [x for _, x, _ in strings], [low[i] for i in members], members, length)]
         cols = np.array(out, np.int64).reshape(-1, 3)
         return cols[:, 0], cols[:, 1], cols[:, 2]
 
 
+#: Up to so many different contexts of a gram are compared two by two.
+FEW = 6
+
+
 def repeats(shared: list[int], lefts: list[bytes], lows: list[int], places: list, length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(member, least, greatest distance) of windows that a member of an earlier place
     has too. Members come in the order of their suffixes, ``shared`` is the common prefix
     of each with the one before, ``lefts`` the bytes before the anchor, ``lows`` the least
-    distance; the greatest is the length of the left context."""
+    distance (a suffix has ``length`` - low bytes); the greatest is the length of the
+    left context."""
+    n = len(lefts)
+    if n == 2 and (shared[1] < length - lows[0] or shared[1] < length - lows[1] or lefts[0] != lefts[1]):
+        later = int(places[1] > places[0])
+        least, most = max(lows[0], lows[1], length - shared[1]), common_suffix(lefts[0], lefts[1])
+        return [(later, least, most)] if least <= most else []
+    # runs of equal suffixes, and in them of equal left contexts: the first place of
+    # such members stands for all
+    runs, run = [0], 0
+    for i in range(1, n):
+        if not shared[i] == length - lows[i] == length - lows[i - 1]:
+            run += 1
+        runs.append(run)
+    order = sorted(range(n), key=lambda i: (runs[i], lefts[i], places[i]))
+    out, leads, lead = [], [], -1
+    for i in order:
+        if lead >= 0 and runs[i] == runs[lead] and lefts[i] == lefts[lead]:
+            out.append((i, lows[i], len(lefts[i])))
+        else:
+            leads.append(i)
+            lead = i
+    if len(leads) == 1:
+        return out
+    opens: dict[int, int] = {}
+    for i in range(n):
+        opens.setdefault(runs[i], i)
+    right = [shared[opens[runs[j]]] if runs[i] != runs[j] else length - lows[j] for i, j in zip(leads, leads[1:])]
+    if len(leads) <= FEW:
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for x, i in enumerate(leads[:-1]):
+            common = length
+            for y in range(x + 1, len(leads)):
+                j, common = leads[y], min(common, right[y - 1])
+                least, most = max(lows[i], lows[j], length - common), common_suffix(lefts[i], lefts[j])
+                if least <= most:
+                    spans.setdefault(j if places[j] > places[i] else i, []).append((least, most))
+        for i, mine in spans.items():
+            mine.sort()
+            lo, hi = mine[0]
+            for a, b in mine[1:]:
+                if a > hi + 1:
+                    out.append((i, lo, hi))
+                    lo = a
+                hi = max(hi, b)
+            out.append((i, lo, hi))
+        return out
+    return out + [(leads[k], lo, hi) for k, lo, hi in _repeats_of_many(right, [lefts[i] for i in leads], [lows[i] for i in leads], [places[i] for i in leads], length)]
+
+
+def _repeats_of_many(shared: list[int], lefts: list[bytes], lows: list[int], places: list, length: int) -> list[tuple[int, int, int]]:
+    """:func:`repeats` of different members; ``shared`` between neighbours."""
     n = len(lefts)
-    if n == 2:
-        least = max(lows[0], lows[1], length - shared[1])
-        most = common_prefix(lefts[0][::-1], lefts[1][::-1])
-        return [(int(places[1] > places[0]), least, most)] if least <= most else []
     before = [x[::-1] for x in lefts]
     by_left = sorted(range(n), key=before.__getitem__)
-    left_shared = np.array([0, *(common_prefix(before[i], before[j]) for i, j in zip(by_left, by_left[1:]))], np.int64)
-    right_shared = np.array(shared, np.int64)
+    left_shared = np.array([length, *(common_prefix(before[i], before[j]) for i, j in zip(by_left, by_left[1:]))], np.int64)
+    right_shared = np.array([length, *shared], np.int64)
     low, high = np.array(lows, np.int64), np.array([len(x) for x in lefts], np.int64)
     rank = np.empty(n, np.int64)
     rank[sorted(range(n), key=places.__getitem__)] = np.arange(n)
-    place_left = np.array(by_left, np.int64)
-    # members that are equal as a whole: the first stands for all
-    whole = np.empty(n, np.int64)
-    same = left_shared[1:] == np.maximum(high[place_left[1:]], high[place_left[:-1]])
-    whole[place_left] = np.cumsum(np.r_[0, ~same])
-    ends = length - low
-    equal = np.cumsum(np.r_[0, right_shared[1:] != np.maximum(ends[1:], ends[:-1])]) * n + whole
-    order = np.lexsort((rank, equal))
-    first = np.r_[True, equal[order][1:] != equal[order][:-1]]
-    out = [(int(i), int(low[i]), int(high[i])) for i in order[~first]]
-    lead = np.zeros(n, bool)
-    lead[order[first]] = True
-    if first.sum() < 2:
-        return out
     width = max(1, CELLS // n)
     marked: list[np.ndarray] = []
     for start in range(int(low.min()), int(high.max()) + 1, width):
         d = np.arange(start, min(start + width, int(high.max()) + 1))
         right = np.cumsum(right_shared[:, None] < length - d, axis=0)
         left = np.empty_like(right)
-        left[place_left] = np.cumsum(left_shared[:, None] < d, axis=0)
-        member, at = np.nonzero(lead[:, None] & (low[:, None] <= d) & (high[:, None] >= d))
+        left[by_left] = np.cumsum(left_shared[:, None] < d, axis=0)
+        member, at = np.nonzero((low[:, None] <= d) & (high[:, None] >= d))
         run = (at * (n + 1) + right[member, at]) * (n + 1) + left[member, at]
         order = np.lexsort((rank[member], run))
         again = order[1:][run[order][1:] == run[order][:-1]]
         marked.append(np.stack([member[again], d[at[again]]], 1))
     rows = np.concatenate(marked)
+    if not len(rows):
+        return []
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    if len(rows):
-        cut = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 1)) + 1
-        begin, end = np.r_[0, cut], np.r_[cut, len(rows)] - 1
-        out += zip(rows[begin, 0].tolist(), rows[begin, 1].tolist(), rows[end, 1].tolist())
-    return out
+    cut = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 1)) + 1
+    begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(rows)]]) - 1
+    return list(zip(rows[begin, 0].tolist(), rows[begin, 1].tolist(), rows[end, 1].tolist()))
 
 
 # --- runs and their merge -----------------------------------------------------------
@@ -236,6 +291,10 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return lo
 
 
+def common_suffix(a: bytes, b: bytes) -> int:
+    return common_prefix(a[::-1], b[::-1])
+
+
 def front_coded(strings: list[bytes]) -> tuple[np.ndarray, bytes]:
     """(shared prefix lengths, concatenated rests) of sorted strings."""
     shared, rests, before = [], [], b""
@@ -335,14 +394,14 @@ def _families_of(docs: pa.Table) -> tuple[pa.Table, np.ndarray, Families]:
 
 
 def _grams(key: tuple, docs: pa.Table) -> pa.Table:
-    grams, n = np.unique(_families_of(docs)[2].gram, return_counts=True)
+    grams, n = _families_of(docs)[2].contexts()
     return pa.table({"bucket": pa.array(np.full(len(grams), key[0].as_py(), np.int32)), "gram": pa.array(grams.view(np.int64)), "n": pa.array(n.astype(np.int32))})
 
 
 def _shared_grams(hot: int):
     def run(batches):
         """Rows sorted by gram; those whose gram comes from several buckets, and whether
-        it has more than ``hot`` families."""
+        it has more than ``hot`` contexts."""
         held = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32)]
 
         def out(bucket, gram, n):
