@@ -566,19 +566,19 @@ def _cut_texts(extra: str):
 
 
 def _planned(docs: DataFrame, bucket: str) -> tuple[GroupedData, GroupedData]:
-    """(documents by bucket, marks by bucket). Partitions are counted by the input, so a
-    task's share does not grow with it."""
+    """(documents by bucket, marks by bucket). One partition a bucket and one a part, both
+    counted by the input, so a task's share does not grow with it."""
     bounded_batches(docs.sparkSession)
     rows, nbytes = total_text_bytes(docs)
     buckets = max(1, -(-nbytes // BUCKET), -(-rows // 200_000))
     parts = max(12, -(-nbytes // MERGE))
-    dealt = docs.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition(buckets, bucket)
+    dealt = docs.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartitionById(buckets, F.col(bucket))
     by_bucket = dealt.groupBy(bucket)
     grams = by_bucket.applyInArrow(_grams, "bucket int, gram bigint, n int")
     shared = grams.repartition(max(parts, 1), "gram").sortWithinPartitions("gram").mapInArrow(_shared_grams(HOT), "bucket int, gram bigint, hot boolean")
-    runs = by_bucket.cogroup(shared.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(_runs(parts), RUN_SCHEMA)
-    marks = runs.repartition(parts, "part").groupBy("part").applyInArrow(_merge_runs, MARK_SCHEMA)
-    return by_bucket, marks.repartition(buckets, "bucket").groupBy("bucket")
+    runs = by_bucket.cogroup(shared.repartitionById(buckets, F.col("bucket")).groupBy("bucket")).applyInArrow(_runs(parts), RUN_SCHEMA)
+    marks = runs.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(_merge_runs, MARK_SCHEMA)
+    return by_bucket, marks.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
