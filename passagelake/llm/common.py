@@ -118,6 +118,17 @@ def total_text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     return int(row["n"]), int(row["b"] or 0)
 
 
-def xor_key(*columns: str):
-    """A deterministic 64-bit hash of a row."""
-    return F.xxhash64(*columns)
+#: About so many keys at most are looked up by broadcast in :func:`hub_join`.
+HUBS = 4096
+
+
+def hub_join(rows: DataFrame, lookup: DataFrame, key: str, total: int, least: int = 256) -> DataFrame:
+    """``rows`` joined with ``lookup`` by ``key`` where some keys may have a large share
+    of the rows. ``lookup`` has one row a key and, in the column ``many``, the number of
+    its rows; ``total`` is the number of all. The keys with more than total / HUBS rows
+    are fewer than HUBS whatever the input, so they are broadcast and their rows stay where
+    they are; the others are shuffled."""
+    hot = F.col("many") > max(least, total // HUBS)
+    hubs, others = lookup.where(hot).drop("many"), lookup.where(~hot).drop("many")
+    apart = rows.join(F.broadcast(hubs.select(key)), key, "left_anti")
+    return apart.join(others, key).unionByName(rows.join(F.broadcast(hubs), key))

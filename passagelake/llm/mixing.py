@@ -11,9 +11,10 @@ on the cut is taken in part, so each source meets its budget exactly (rounded do
 to whole words).
 
 Defined cases: null text has size 0; null source is a source of its own, sorted
-last; equal ids share a key and are ordered by size; an empty table gives an empty
-result; a source of size 0 has target 0. Only the named columns are read, so extra
-columns cannot clash.
+last; equal ids share a key and are ordered by size; a null id gets the key of its text;
+an empty table gives an empty result; a source of size 0 has target 0. Extra columns are
+not read unless kept; kept ones never clash with helpers, and those with a result's
+name are renamed.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,6 +64,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, max_e
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+RESULT = ("doc_id", "size", "source_size", "target", "taken")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
@@ -72,33 +76,37 @@ def mix_sources(
     rows_per_range: int = 2_000,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and the columns in ``keep``).
-
-    ``keep`` columns ride along through the sort; leave long texts out of it and
-    join them afterwards.
-    """
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), random_key("doc_id", seed).alias("key"), *[c for c in keep if c != "source"])
-    sized = written(sized, "mix-sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    """doc_id, size, source_size, target, taken, and the columns in ``keep``, which pass
+    through one shuffle with their row. A kept column that has the name of a result is
+    called ``docs_<name>``."""
+    key, band, upto, no_source, source = fresh(docs, "key", "band", "upto", "no_source", "source")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    helpers = [size.alias("size"), random_key(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")))), seed).alias(key)]
+    # the source without nulls: then one partitioning serves the sums and the join
+    helpers += [F.col("source").isNull().alias(no_source), F.coalesce(F.col("source").cast("string"), F.lit("")).alias(source)]
+    sized = written(docs.select("doc_id", *helpers), "mix-sizes")
+    per_source = sized.groupBy(no_source, source).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     n = per_source.agg(F.sum("n")).first()[0] or 0
     digits = 1
     while 16**digits * rows_per_range < n and digits < 8:
         digits += 1
-    ranged = sized.withColumn("range", F.substring("key", 1, digits))
-    targets = source_targets(per_source.select("source", "source_size"), weights, share, max_epochs)
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("offset", F.coalesce(F.sum("range_size").over(ahead), F.lit(0))).drop("range_size")
-    offsets = offsets.alias("o").join(targets.alias("t"), F.expr("o.source <=> t.source")).select("o.source", "o.range", "o.offset", "t.source_size", "t.target")
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = ranged.withColumn("upto", F.sum("size").over(inside))
-    placed = placed.alias("d").join(offsets.alias("o"), F.expr("d.source <=> o.source and d.range = o.range"))
-    before = F.col("offset") + F.col("upto") - F.col("size")
+    named = {c: f"docs_{c}" if c in RESULT else c for c in keep}
+    rows = docs.select("doc_id", *helpers, *[F.col(f"`{c}`").alias(f"{band}{i}") for i, c in enumerate(keep)]) if keep else sized
+    names = F.when(F.col(no_source), F.lit(None)).otherwise(F.col(source))
+    targets = source_targets(per_source.select(names.alias("source"), "source_size"), weights, share, max_epochs)
+    targets = targets.select(F.col("source").isNull().alias(no_source), F.coalesce("source", F.lit("")).alias(source), "source_size", "target")
+    sums = sized.groupBy(no_source, source, F.substring(key, 1, digits).alias(band)).agg(F.sum("size").alias("band_size"))
+    ahead = Window.partitionBy(no_source, source).orderBy(band).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("offset", F.coalesce(F.sum("band_size").over(ahead), F.lit(0))).drop("band_size").join(targets, [no_source, source])
+    inside = Window.partitionBy(no_source, source, band).orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn(band, F.substring(key, 1, digits)).withColumn(upto, F.sum("size").over(inside))
+    placed = placed.join(offsets, [no_source, source, band])
+    before = F.col("offset") + F.col(upto) - F.col("size")
     goal = F.floor("target").cast("bigint")
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size")).cast("bigint")).otherwise(F.lit(0))
     rest = goal - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    return placed.select("d.doc_id", "d.size", "o.source_size", "o.target", (epochs * F.col("size") + part).cast("bigint").alias("taken"), *[f"d.{c}" for c in keep])
+    return placed.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("bigint").alias("taken"), *[F.col(f"{band}{i}").alias(named[c]) for i, c in enumerate(keep)])
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +117,7 @@ OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS key
+         substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 15) AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3) + 1]::BIGINT AS weight,

@@ -9,12 +9,14 @@ Defined cases: null text counts as empty, and empty texts get a score like any
 other; null labels are left out; without any label every score is 0.5; a null
 doc_id counts as held out; repeated rows repeat; extra columns pass through
 :func:`classify` untouched (its own columns are ``quality_score`` and
-``quality_keep``, which replace any of that name).
+``quality_keep`` unless named otherwise, which replace any of that name) and through
+:func:`accepted`, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 from operator import eq
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, text_buffers
+from .common import bounded_batches, fresh, table, text_buffers
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
@@ -208,31 +210,40 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **options)
     return train_trees(np.array([r["x"] for r in rows], np.float64).reshape(-1, len(FEATURES)), np.array([r["label"] for r in rows], np.float64), **options)
 
 
-def _score_batches(shared, with_rest: bool, threshold: float):
+def _score_batches(shared, threshold: float, names: Sequence[str] = ()):
+    """Scores with the ids or, with ``names`` for them and the verdicts, with all columns."""
+
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             scores = shared.value.score(statistics_matrix(batch.column(at)))
-            if with_rest:
+            if names:
                 ok = pa.array(scores >= threshold)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), ok], [*batch.schema.names, "quality_score", "quality_keep"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), ok], [*batch.schema.names, *names])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
-    """All columns of ``docs`` plus quality_score and quality_keep."""
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, names: Sequence[str] = ("quality_score", "quality_keep")) -> DataFrame:
+    """All columns of ``docs`` plus the score and the verdict under ``names``, which replace
+    any of those names."""
     spark = docs.sparkSession
-    docs = docs.drop("quality_score", "quality_keep")
+    docs = docs.drop(*names)
     shared = spark.sparkContext.broadcast(fit(docs, labels, max_rows))
-    schema = docs.withColumn("quality_score", F.lit(0.0)).withColumn("quality_keep", F.lit(True)).schema
-    return docs.mapInArrow(_score_batches(shared, True, threshold), schema)
+    schema = docs.withColumn(names[0], F.lit(0.0)).withColumn(names[1], F.lit(True)).schema
+    return docs.mapInArrow(_score_batches(shared, threshold, names), schema)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The documents that the classifier keeps, with their columns as they are."""
+    names = fresh(docs, "score", "keep")
+    return classify(docs, labels, threshold, max_rows, names).where(F.col(names[1])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     shared = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
-    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_score_batches(shared, False, THRESHOLD), "doc_id bigint, score double")
+    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_score_batches(shared, THRESHOLD), "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -33,8 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, table, text_buffers, written
+from .common import bounded_batches, fresh, hub_join, table, text_buffers, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -83,8 +84,8 @@ def _fingerprint_batches(batches):
 
 
 def row_key() -> Column:
-    """What names a row: its doc_id, or without one its text."""
-    return F.when(F.col("doc_id").isNotNull(), F.col("doc_id").cast("bigint").cast("string")).otherwise(F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+    """What names a row: its doc_id and a digest of its text."""
+    return F.concat(F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("-")), F.lit(":"), F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")))
 
 
 def fingerprints(docs: DataFrame, with_key: bool = False) -> DataFrame:
@@ -219,22 +220,23 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): alternating large-star and
     small-star. Large-star hangs every larger neighbour on the smallest one,
-    small-star every smaller one; the edge count never grows. Each round is a table
+    small-star every smaller one; the edge count never grows. Each star is a table
     in the shared folder; the end is when a round changes nothing. If that takes more than
-    ``max_rounds`` it is an error: unfinished roots are never returned."""
+    ``max_rounds`` it is an error: unfinished roots are never returned. The nodes of most
+    edges are looked up by broadcast (:func:`hub_join`), so a hub is no hot task."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    seen = None
+    total, seen = now.count(), None
     for done in count():
         if max_rounds is not None and done >= max_rounds:
             raise RuntimeError(f"components: not finished after {max_rounds} rounds")
         # large star
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many")).select("u", F.least("u", "m").alias("m"), "many")
+        large = written(hub_join(both, low, "u", total).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
         # small star
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = written(small, "cc")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many"))
+        small = hub_join(large, low, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -243,32 +245,43 @@ def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, radius: int, with_key: bool) -> tuple[DataFrame, DataFrame]:
-    """(prints, classes): one row per document, and one per fingerprint with its
-    component's root, id and the key of the row that stands for the component."""
+    """(prints, classes): one row per document, and one per fingerprint with the number of
+    its documents, its component's root, the row that leads its documents (``own``) and the
+    one that leads the component (``lead``): (no_id, doc_id, key), smallest id first."""
     prints = written(fingerprints(docs, with_key), "simhash")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("key").alias("least_key")), "simhash-classes")
+    lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    classes = written(prints.groupBy("fp").agg(F.min(lead).alias("own"), F.count(F.lit(1)).alias("many")), "simhash-classes")
     roots = components(fingerprint_links(classes.select("fp"), radius))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "least_key")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min("least_key").alias("any_key"))
-    ids = ids.select("root", "component_id", F.coalesce(F.col("component_id").cast("string"), "any_key").alias("lead_key"))
-    return prints, named.join(ids, "root").select("fp", "root", "component_id", "lead_key")
+    linked = written(classes.join(roots, classes.fp == roots.node).select("fp", "root", "own"), "simhash-linked")
+    heads = linked.groupBy("root").agg(F.min("own").alias("lead"), F.count(F.lit(1)).alias("many"))
+    members = hub_join(linked.select("fp", "root"), heads, "root", linked.count())
+    named = classes.join(members, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "own", F.coalesce("lead", "own").alias("lead"), "many")
+    return prints, written(named, "simhash-named")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (signed), component_id: smallest doc_id reachable over links."""
     prints, classes = _grouped(docs, radius, False)
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    found = classes.select("fp", F.col("lead.doc_id").alias("component_id"), "many")
+    return hub_join(prints.select("doc_id", "fp"), found, "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stand for their group: the smallest
-    id; of rows that repeat it the first by text; in a group without any id, the
-    least text by hash."""
+    """The rows of ``docs`` (all columns as they are) that stand for their group: the
+    smallest id; of rows that repeat that id the least by digest of the text, of rows that
+    repeat both one by hash of the row; in a group without any id the least by digest."""
     _, classes = _grouped(docs, radius, True)
-    leads = classes.groupBy("root").agg(F.first("lead_key").alias("pl_key")).select("pl_key")
-    first = Window.partitionBy("pl_key").orderBy(F.col("text").isNull(), "text")
-    kept = docs.withColumn("pl_key", row_key()).join(leads, "pl_key", "left_semi")
-    return kept.withColumn("pl_rank", F.row_number().over(first)).where("pl_rank = 1").select(*docs.columns)
+    key, rank = fresh(docs, "key", "rank")
+    leads = classes.where("own <=> lead").select(F.col("lead.key").alias(key))
+    hashed = [f.name for f in docs.schema.fields if not _has_map(f.dataType)]
+    first = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]))
+    # one row a key before the shuffle and after it; then the join, on the same keys
+    kept = docs.withColumn(key, row_key()).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+    return kept.join(leads, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _has_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

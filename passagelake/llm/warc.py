@@ -14,8 +14,8 @@ pages is not gathered anywhere.
 Defined cases: null html is an empty payload; null url becomes ``urn:x-none``; a null
 page_id never leads a group unless all its ids are null (then all are responses);
 rows that repeat the smallest id of a group are responses too; an empty table gives
-an empty result. Files are named by partition and moved into place when complete, so
-a task that runs again replaces its own files with the same bytes.
+an empty result. Files are named by partition and attempt and listed in a manifest table,
+so what a lost task left behind is never read and nothing is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, table, written
+from .common import bounded_batches, hub_join, new_path, table, written
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -119,39 +119,30 @@ def parse_record(record: bytes) -> dict:
     return fields
 
 
-class _Archive:
-    """A file under a temporary name, moved into place when complete."""
-
-    def __init__(self, base: str, name: str):
-        self.fs, root = _open(base)
-        self.fs.create_dir(root, recursive=True)
-        self.final = f"{root}/{name}"
-        self.temp = f"{root}/.{name}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.temp, compression=None)
-
-    def close(self):
-        self.out.close()
-        self.fs.move(self.temp, self.final)
+def _create(base: str, name: str):
+    fs, root = _open(base)
+    fs.create_dir(root, recursive=True)
+    return fs.open_output_stream(f"{root}/{name}", compression=None)
 
 
 def _write_batches(base: str):
     def run(batches):
-        part = TaskContext.get().partitionId()
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         made, archive, gz, size = [], None, None, 0
 
         def finish():
-            archive.out.write(gz.flush())
+            archive.write(gz.flush())
             archive.close()
 
         for batch in batches:
             ids, urls, pages, digests, refers = (batch.column(i).to_pylist() for i in range(5))
             for page_id, url, page, digest, to in zip(ids, urls, pages, digests, refers):
                 if archive is None:
-                    name = f"part-{part:06d}-{len(made):04d}.warc.gz"
-                    archive, gz, size = _Archive(base, name), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0
+                    name = f"part-{part:06d}-{attempt}-{len(made):04d}.warc.gz"
+                    archive, gz, size = _create(base, name), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0
                     made.append(name)
                 record = make_record(page_id, url, (page or "").encode(), base32(digest), to)
-                archive.out.write(gz.compress(record))
+                archive.write(gz.compress(record))
                 size += len(record)
                 if size >= FILE_BYTES:
                     finish()
@@ -166,29 +157,28 @@ def _write_batches(base: str):
 
 def normalise(fs, source: str, target_base: str, name: str) -> int:
     """One monolithic archive: inflated once, every record a member, sidecar index."""
-    archive, index = _Archive(target_base, name), _Archive(target_base, name + ".idx")
     at = n = 0
-    with fs.open_input_stream(source, compression=None) as stream:
+    with fs.open_input_stream(source, compression=None) as stream, _create(target_base, name) as archive, _create(target_base, name + ".idx") as index:
         for record in read_records(inflate(stream)):
             gz = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
             member = gz.compress(record) + gz.flush()
             fields = parse_record(record[: record.index(CRLF * 2)] + CRLF * 2)
-            index.out.write(f"{at}\t{len(member)}\t{fields['warc-record-id']}\t{fields['warc-type']}\n".encode())
-            archive.out.write(member)
+            index.write(f"{at}\t{len(member)}\t{fields['warc-record-id']}\t{fields['warc-type']}\n".encode())
+            archive.write(member)
             at += len(member)
             n += 1
-    archive.close()
-    index.close()
     return n
 
 
 def _normalise_batches(base: str, target: str):
     def run(batches):
         fs, root = _open(base)
+        attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             names = batch.column(0).to_pylist()
-            counts = [normalise(fs, f"{root}/{name}", target, name) for name in names]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts, pa.int64())], ["name", "records"])
+            made = [f"{name.removesuffix('.warc.gz')}-{attempt}.warc.gz" for name in names]
+            counts = [normalise(fs, f"{root}/{name}", target, to) for name, to in zip(names, made)]
+            yield pa.RecordBatch.from_arrays([pa.array(made), pa.array(counts, pa.int64())], ["name", "records"])
 
     return run
 
@@ -233,8 +223,9 @@ def with_revisits(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     full = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     full = full.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
     keys = full.where(F.octet_length("html") >= revisit_from).select("page_id", "digest")
-    leads = keys.groupBy("digest").agg(F.min("page_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "lead")
-    revisits = keys.distinct().join(leads, "digest").where("page_id is null or page_id <> lead").where("lead is not null").select(F.col("page_id").alias("p"), F.col("digest").alias("g"), F.col("lead").alias("refers_to"))
+    leads = keys.groupBy("digest").agg(F.min("page_id").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    # a payload that many pages share (the empty one) is looked up by broadcast
+    revisits = hub_join(keys.distinct(), leads, "digest", pages.count()).where("page_id is null or page_id <> lead").where("lead is not null").select(F.col("page_id").alias("p"), F.col("digest").alias("g"), F.col("lead").alias("refers_to"))
     return full.join(revisits, F.expr("page_id <=> p and digest = g"), "left").select("page_id", "url", "html", "digest", "refers_to")
 
 

@@ -107,9 +107,17 @@ def test_groups_against_brute_force(spark):
 
 
 def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
+    edges = spark.range(20_000).selectExpr("id as a", "id + 1 as b").unionByName(spark.createDataFrame([(50_000, 50_001), (7, 7)], "a long, b long"))
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
-    assert all(got[i] == 0 for i in range(201)) and got[501] == 500
+    assert all(got[i] == 0 for i in range(20_001)) and got[50_001] == 50_000
+
+
+def test_a_star_of_many_nodes(spark):
+    """A hub with 10^5 edges, both as the smallest node and in the middle."""
+    for hub in (0, 50_000):
+        edges = spark.range(100_001).where(f"id <> {hub}").selectExpr(f"cast({hub} as bigint) as a", "id as b")
+        got = simhash.components(edges)
+        assert got.count() == 100_001 and got.where("root <> 0").count() == 0
 
 
 def test_components_never_returns_unfinished_roots(spark):

@@ -10,7 +10,9 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from passagelake.llm import html_extract, mixing, warc, wordpiece
+from passagelake.llm.common import hub_join, shared_dir
 
 LONG = "The light of the river was on the stones and the people of the town walked by it in the morning. "
 
@@ -316,3 +318,67 @@ def test_pipeline(spark, tmp_path):
     last = kept[names[4]]
     assert last and all(0 < r["taken"] <= 2 * r["size"] for r in last.values())
     assert sorted(map(str, (r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()))) == sorted(map(str, last))
+
+
+CLASHING = "key range upto size target source_size taken pl_key pl_rank pl_bucket pl_score pl_keep bucket quality_score quality_keep own lead fp root many band".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, tmp_path_factory):
+    """Documents with columns of all helpers' names, repeated rows, null ids, nulls."""
+    path = tmp_path_factory.mktemp("clashing")
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice("the a river stone of walks under bright hills and towns with people in it".split()) for _ in range(n)) + "."
+    rows = [(i, prose(60), "en", "s1") for i in range(12)]
+    rows += [rows[0], rows[0], (None, prose(30), None, None), (None, None, None, None), (None, None, None, None), (7, prose(40), "en", "s2"), (30, "", "en", "s1"), (31, "word " * 30_000, "en", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "cast(char_length(text) as bigint) as n_chars", *[f"{k} as {c}" for k, c in enumerate(CLASHING)], "map('a', 1) as m", "array(named_struct('x', 1)) as nested")
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "an item that no document has at all"), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return docs, str(path)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_leave_other_columns_alone(spark, clashing, name):
+    docs, path = clashing
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, path)
+    rows = out.collect()
+    last = name == corpus_pipeline.STAGES[-1][0]
+    renamed = {c: f"docs_{c}" if last and c in mixing.RESULT else c for c in CLASHING}
+    assert last or out.columns == docs.columns
+    assert rows and all(r[renamed[c]] == k for r in rows for k, c in enumerate(CLASHING))
+    assert all(r["m"] == {"a": 1} and r["nested"][0]["x"] == 1 for r in rows)
+    ids = [r["doc_id"] for r in rows]
+    if name == "simhash_near_dedup":
+        # both texts of id 7 lead a group, repeated rows one row, one row without text
+        assert ids.count(7) == 2 and ids.count(0) == 1 and sum(not r["text"] for r in rows) == 1
+    elif last:
+        assert ids.count(0) == 3 and all(r["taken"] <= 2 * r["size"] for r in rows)
+    elif name in ("quality_classifier", "benchmark_decontamination"):
+        assert len(rows) == docs.count()
+    empty = stage(spark, docs.limit(0), path)
+    assert empty.count() == 0 and empty.columns == out.columns
+
+
+def test_hub_join(spark):
+    """A key with most of the rows: the same rows as a plain join."""
+    rows = spark.range(3000).selectExpr("if(id % 3 > 0, 0, id) as k", "id as x")
+    lookup = rows.groupBy("k").count().selectExpr("k", "k * 2 as y", "count as many").where("k <> 9")
+    got = hub_join(rows, lookup, "k", 3000)
+    assert got.columns == ["k", "x", "y"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(lookup.drop("many"), "k").collect()))
+
+
+def test_shared_folder_only_on_local_masters(spark, monkeypatch):
+    class Context:
+        master = "yarn"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)
