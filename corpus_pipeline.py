@@ -16,8 +16,7 @@ from passagelake.llm.common import table, written
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality trees do not reject."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.where("quality_keep").select(*docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     cut = suffix_dedup.remove_repeats(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.where(F.col("text").rlike(mixing.WORD)).select(*docs.columns)
+    return cut.where(F.col("text").rlike(mixing.WORD))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +40,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: doc_id, size, source_size, target, taken, and the other columns of
-    the documents of which it takes words."""
-    mixed = mixing.mix_sources(docs, keep=[c for c in docs.columns if c not in ("doc_id", "size", "source_size", "target", "taken", "source", "key", "range", "upto")] + ["source"])
+    the documents of which it takes words (``docs_<name>`` for a column that has the name
+    of one of these)."""
+    mixed = mixing.mix_sources(docs, keep=[c for c in docs.columns if c != "doc_id"])
     return mixed.where("taken > 0")
 
 
