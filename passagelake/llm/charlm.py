@@ -1,24 +1,22 @@
 """A character n-gram model: counted by Spark, modified Kneser-Ney, sorted key arrays.
 
-Symbols are 12 bits wide (code points up to 3839 as they are, the rest folded into
-256 classes), so five of them pack into one 64-bit key without loss. Every task
+Symbols are 12 bits wide: code points below ``DIRECT`` as they are, all others as two
+symbols (a lead and 12 bits more), so no two characters are one to the model and five
+symbols pack into one 64-bit key without loss. Every task
 counts the keys of its texts by sorting; Spark adds the counts up, derives the lower
 orders' continuation counts, the discounts and the interpolated probabilities
 with DataFrame operations. The model is a file of sorted keys with log probabilities
 and back-off weights: every counted n-gram has its own entry and a look-up compares
 whole keys, so an n-gram that was not counted always backs off. The file grows with
-the number of distinct n-grams (12 bytes each and by context); it comes to the driver
-part by part, Spark carries it to each executor once, and the workers map it.
+the number of distinct n-grams (12 bytes each and by context). It is written to the
+shared folder part by part; Spark has each executor fetch it once, and the workers map it.
 """
 
 from __future__ import annotations
 
-import atexit
 import mmap
 import os
 import re
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -27,11 +25,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, create_file, new_path, written
 
 ORDER = 5
 SYMBOL_BITS = 12
 SYMBOLS = 1 << SYMBOL_BITS
+#: From here on code points take two symbols, the first of them a lead from here on.
+DIRECT = SYMBOLS - (0x10FFFF >> SYMBOL_BITS) - 1
 #: Keys that a task holds before it merges them.
 HELD = 3_000_000
 #: Entries of the model in one row on their way to the driver.
@@ -42,12 +42,17 @@ _SPACES = re.compile(r"\s+")
 
 
 def symbols(code_points: np.ndarray) -> np.ndarray:
-    """12-bit symbols of code points; 0 is the padding before a text."""
+    """12-bit symbols of code points, one or two each; 0 is the padding before a text."""
     cp = code_points.astype(np.int64)
-    high = cp >= 3840
-    if high.any():
-        cp[high] = 3840 + (cp[high] * 2654435761 >> 16) % 256
-    return cp
+    high = cp >= DIRECT
+    if not high.any():
+        return cp
+    at = np.arange(len(cp)) + np.cumsum(high) - high
+    out = np.empty(len(cp) + int(high.sum()), np.int64)
+    more = cp - DIRECT
+    out[at] = np.where(high, DIRECT + (more >> SYMBOL_BITS), cp)
+    out[at[high] + 1] = more[high] & _MASK
+    return out
 
 
 def squeeze(text: str) -> str:
@@ -59,18 +64,22 @@ _DIGITS = re.compile(r"[0-9]")
 
 
 def packed(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, lengths): the key at each character holds it and the order - 1 symbols
-    before it."""
+    """(keys, lengths): the key at each symbol holds it and the order - 1 symbols
+    before it; lengths in symbols."""
     pad = "\0" * (order - 1)
-    joined = pad + pad.join(texts)
-    s = symbols(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
+    cp = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = symbols(cp)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    if len(s) > len(cp):  # characters of two symbols
+        double = np.concatenate([[0], np.cumsum(cp >= DIRECT)])
+        begin = np.cumsum(lengths + order - 1) - lengths
+        lengths = lengths + double[begin + lengths] - double[begin]
     n = len(s) - order + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.array([len(t) for t in texts], np.int64)
+        return np.empty(0, np.int64), lengths
     keys = np.zeros(n, np.int64)
     for i in range(order):
         keys = keys << SYMBOL_BITS | s[i : i + n]
-    lengths = np.array([len(t) for t in texts], np.int64)
     # windows that end in the padding between two texts are dropped
     starts = np.cumsum(lengths + order - 1) - lengths - (order - 1)
     keep = np.zeros(n + 1, np.int64)
@@ -93,7 +102,8 @@ def key_blocks(texts: list[str], order: int = ORDER, most: int = 1 << 20):
         if len(text) > most:
             for at in range(0, len(text), most):
                 low = max(0, at - order + 1)
-                keys = packed([text[low : at + most]], order)[0][at - low :]
+                before = at - low + sum(ord(c) >= DIRECT for c in text[low:at])
+                keys = packed([text[low : at + most]], order)[0][before:]
                 yield keys, np.full(len(keys), i, np.int64)
             continue
         group.append(i)
@@ -194,34 +204,26 @@ def _packed_rows(batches):
 def _model_file(tables: list[DataFrame]) -> tuple[str, list[tuple[int, int, int]]]:
     """The tables (key, v), sorted, in one file that every executor gets: its name, and
     the places of the keys and of the values and the number of entries by table. One
-    job sorts and packs them; the packed rows pass the driver a few at a time."""
+    job sorts and packs them; the packed rows pass the driver a few at a time on their way
+    to the file in the shared folder, first all keys, then all values."""
     spark = tables[0].sparkSession
     rows = None
     for i, x in enumerate(tables):
         x = x.select(F.lit(i).alias("t"), "key", "v")
         rows = x if rows is None else rows.unionByName(x)
     packed = written(rows.sort("t", "key").mapInArrow(_packed_rows, "t int, first bigint, n bigint, keys binary, vals binary"), "model")
-    parts: list[list[tuple[int, int]]] = [[] for _ in tables]
-    for r in packed.select("t", "first", "n").collect():
-        parts[r["t"]].append((r["first"], r["n"]))
-    end, places, where = 0, [], {}
-    for i, part in enumerate(parts):
-        n = sum(m for _, m in part)
-        places.append((end, end + 8 * n, n))
-        before = 0
-        for first, m in sorted(part):
-            where[i, first] = (end + 8 * before, end + 8 * n + 4 * before)
-            before += m
-        end += 12 * n + 4 * (n % 2)
-    folder = tempfile.mkdtemp(prefix="pl_model_")
-    atexit.register(shutil.rmtree, folder, True)
-    name = f"ngrams-{uuid.uuid4().hex}.bin"
-    with open(f"{folder}/{name}", "wb") as out:
-        out.truncate(end)
-        for r in packed.toLocalIterator():
-            for place, data in zip(where[r["t"], r["first"]], (r["keys"], r["vals"])):
-                out.seek(place)
-                out.write(data)
+    sizes = [0] * len(tables)
+    for r in packed.groupBy("t").agg(F.sum("n").alias("n")).collect():
+        sizes[r["t"]] = r["n"]
+    total, before, places = sum(sizes), 0, []
+    for n in sizes:
+        places.append((8 * before, 8 * total + 4 * before, n))
+        before += n
+    folder, name = new_path(spark, "ngrams"), f"ngrams-{uuid.uuid4().hex}.bin"
+    with create_file(folder, name) as out:
+        for column in ("keys", "vals"):
+            for r in packed.select("t", "first", column).sort("t", "first").toLocalIterator():
+                out.write(r[column])
     spark.sparkContext.addFile(f"{folder}/{name}")
     return name, places
 

@@ -15,6 +15,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,18 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def open_folder(uri: str):
+    """(file system, path) of a folder; local, HDFS or S3."""
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else "file:" + uri.removeprefix("file:"))
+
+
+def create_file(folder: str, name: str):
+    """A new file for writing in a folder that is made if need be."""
+    files, root = open_folder(folder)
+    files.create_dir(root, recursive=True)
+    return files.open_output_stream(f"{root}/{name}", compression=None)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read again: a cut in the lineage
     that survives the loss of an executor."""

@@ -3,7 +3,8 @@
 A written token is taken as a noisy copy of a word: letters replaced by look-alike
 digits and signs, letters repeated, letters spaced or dotted apart. Its possible
 readings form a lattice; a Viterbi search over the lattice under a character model
-of the whole corpus (:mod:`charlm`, lower case) finds the likeliest one. A plain
+of the whole corpus (:mod:`charlm`, lower case) finds the likeliest one, over all paths
+and for tokens of any length, look-alikes alone included (but digits alone are a number). A plain
 token has one reading, so it needs no search. A doubled letter is common in any
 language: it becomes an arc only where its collapsed form is in the lexicon below.
 
@@ -41,12 +42,11 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 CLASSES = str.maketrans({"1": "i", "!": "i", "|": "i", "l": "i", "0": "o", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "2": "z", "€": "e"})
 #: Bits of the channel.
 COST_LEET, COST_COLLAPSE, COST_DOUBLE, COST_DROP, COST_JOIN = 1.5, 1.0, 3.0, 3.0, 0.5
-BEAM = 16
 TRAILING = ".,;:!?\"'()[]{}#*%&<>~^»«…"
 _SPACED = re.compile(r"(?<!\S)[\w@$!|+](?:[ .\-_*]{1,2}[\w@$!|+]){2,}[.,;:!?]?(?!\S)")
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
 _TAIL_RUN = re.compile(r"([^\w\s])\1\1+$")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]|[@$!|+€]")
 _DOUBLE = re.compile(r"(.)\1+")
 #: Tokens a worker remembers before it starts anew.
 REMEMBERED = 300_000
@@ -72,26 +72,41 @@ class Decoder:
             got = self.known[context, symbol] = -float(self.model.log2_probs(key)[0])
         return got
 
-    def best(self, lattice: list[list[tuple[str, float]]]) -> str:
-        """The likeliest reading of a lattice of (written, bits) arcs."""
+    def _read(self, context: int, text: str) -> tuple[float, int]:
+        """(bits, next context) of a text after a context."""
         mask = (1 << charlm.SYMBOL_BITS * (self.model.order - 1)) - 1
-        space = ord(" ")
-        states = {space: (0.0, "")}
-        for arcs in [*lattice, [(" ", 0.0)]]:
-            after: dict[int, tuple[float, str]] = {}
-            for context, (cost, out) in states.items():
+        total = 0.0
+        for ch in text:
+            code = ord("0") if ch.isdigit() else ord(ch)
+            for symbol in (code,) if code < charlm.DIRECT else charlm.symbols(np.array([code])).tolist():
+                total += self._bits(context, symbol)
+                context = (context << charlm.SYMBOL_BITS | symbol) & mask
+        return total, context
+
+    def best(self, lattice: list[list[tuple[str, float]]]) -> str:
+        """The likeliest reading of a lattice of (written, bits) arcs, over all paths: each
+        context keeps its cheapest path. Costs only grow, so a path dearer than the whole
+        of the first arcs' path is dropped without loss."""
+        lattice = [*lattice, [(" ", 0.0)]]
+        most, context = 1e-6, ord(" ")
+        for (text, bits), *_ in lattice:
+            more, context = self._read(context, text)
+            most += bits + more
+        states: dict[int, tuple[float, tuple]] = {ord(" "): (0.0, ())}
+        for arcs in lattice:
+            after: dict[int, tuple[float, tuple]] = {}
+            for context, (cost, path) in states.items():
                 for text, bits in arcs:
-                    at, total = context, cost + bits
-                    for ch in text:
-                        code = ord("0") if ch.isdigit() else ord(ch)
-                        symbol = code if code < 3840 else int(charlm.symbols(np.array([code]))[0])
-                        total += self._bits(at, symbol)
-                        at = (at << charlm.SYMBOL_BITS | symbol) & mask
-                    old = after.get(at)
-                    if old is None or (total, out + text) < old:
-                        after[at] = (total, out + text)
-            states = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda x: x[1])[:BEAM])
-        return min(states.values())[1].strip()
+                    more, at = self._read(context, text)
+                    total = cost + bits + more
+                    if total <= most and (at not in after or total < after[at][0]):
+                        after[at] = (total, (path, text))
+            states = after
+        path, out = min(states.values(), key=lambda x: x[0])[1], []
+        while path:
+            path, text = path
+            out.append(text)
+        return "".join(reversed(out)).strip()
 
 
 def lattice_of(unit: str, doubles: bool = False, spaced: bool = False) -> list[list[tuple[str, float]]]:
@@ -128,10 +143,11 @@ def trimmed(token: str) -> str:
 
 
 def suspicious(core: str) -> bool:
-    """Whether a trimmed token has more than one reading (doubled letters apart)."""
+    """Whether a trimmed token has more than one reading (doubled letters apart). One
+    without a letter needs a sign that looks like one: digits alone are a number."""
     if core.isalpha():
         return _LONG_RUN.search(core) is not None
-    if len(core) > 40 or not _LETTER.search(core):
+    if not _LETTER.search(core):
         return False
     return any(c in LEET or c in ".-_*" for c in core) or _LONG_RUN.search(core) is not None
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hub_join, new_path, table, written
+from .common import bounded_batches, create_file, hub_join, new_path, open_folder, table, written
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,12 +41,6 @@ FILE_BYTES = 64 << 20
 LEVEL = 1
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def record_id(page_id) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
@@ -119,12 +113,6 @@ def parse_record(record: bytes) -> dict:
     return fields
 
 
-def _create(base: str, name: str):
-    fs, root = _open(base)
-    fs.create_dir(root, recursive=True)
-    return fs.open_output_stream(f"{root}/{name}", compression=None)
-
-
 def _write_batches(base: str):
     def run(batches):
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
@@ -139,7 +127,7 @@ def _write_batches(base: str):
             for page_id, url, page, digest, to in zip(ids, urls, pages, digests, refers):
                 if archive is None:
                     name = f"part-{part:06d}-{attempt}-{len(made):04d}.warc.gz"
-                    archive, gz, size = _create(base, name), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0
+                    archive, gz, size = create_file(base, name), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0
                     made.append(name)
                 record = make_record(page_id, url, (page or "").encode(), base32(digest), to)
                 archive.write(gz.compress(record))
@@ -158,7 +146,7 @@ def _write_batches(base: str):
 def normalise(fs, source: str, target_base: str, name: str) -> int:
     """One monolithic archive: inflated once, every record a member, sidecar index."""
     at = n = 0
-    with fs.open_input_stream(source, compression=None) as stream, _create(target_base, name) as archive, _create(target_base, name + ".idx") as index:
+    with fs.open_input_stream(source, compression=None) as stream, create_file(target_base, name) as archive, create_file(target_base, name + ".idx") as index:
         for record in read_records(inflate(stream)):
             gz = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
             member = gz.compress(record) + gz.flush()
@@ -172,7 +160,7 @@ def normalise(fs, source: str, target_base: str, name: str) -> int:
 
 def _normalise_batches(base: str, target: str):
     def run(batches):
-        fs, root = _open(base)
+        fs, root = open_folder(base)
         attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             names = batch.column(0).to_pylist()
@@ -185,7 +173,7 @@ def _normalise_batches(base: str, target: str):
 
 def _read_batches(base: str):
     def run(batches):
-        fs, root = _open(base)
+        fs, root = open_folder(base)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows = []

@@ -2,7 +2,9 @@
 
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from passagelake.llm import charlm, perplexity, quality, toxicity
@@ -110,13 +112,27 @@ def test_base_counts():
     assert spoken == 6 and repeats == 0
 
 
+def symbols_of(text):
+    out = []
+    for c in map(ord, text):
+        out += [c] if c < charlm.DIRECT else [charlm.DIRECT + (c - charlm.DIRECT) // 4096, (c - charlm.DIRECT) % 4096]
+    return out
+
+
+def test_symbols_tell_all_characters_apart():
+    points = np.array([0, 1, 97, charlm.DIRECT - 1, charlm.DIRECT, charlm.DIRECT + 1, 0x3042, 0x4E00, 0x4E01, 0xAC00, 0x1F600, 0x10FFFF], np.uint32)
+    got = charlm.symbols(points).tolist()
+    assert got == symbols_of("".join(map(chr, points))) and max(got) < charlm.SYMBOLS
+    assert len({tuple(symbols_of(chr(c))) for c in range(0x110000)}) == 0x110000
+
+
 def brute_kneser_ney(texts, order):
     """Interpolated modified Kneser-Ney over plain dictionaries."""
     from collections import Counter, defaultdict
 
     counts = Counter()
     for t in texts:
-        s = [0] * (order - 1) + [ord(c) for c in t]
+        s = [0] * (order - 1) + symbols_of(t)
         for i in range(order - 1, len(s)):
             counts[tuple(s[i - order + 1 : i + 1])] += 1
     tables = {order: counts}
@@ -151,14 +167,14 @@ def brute_kneser_ney(texts, order):
 
 
 def test_model_against_brute_force(spark):
-    texts = ["abracadabra", "abra abra", "cabbage", "a", "", "bad cab"]
+    texts = ["abracadabra", "abra abra", "cabbage", "a", "", "bad cab", "日本語の日本", "本日は…ok", "한국 😀😀"]
     docs = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
     model = charlm.kneser_ney(charlm.count_ngrams(docs).cache())
     p = brute_kneser_ney(texts, charlm.ORDER)
-    for t in ["abra", "cab", "xyz", "dab abra", ""]:
+    for t in ["abra", "cab", "xyz", "dab abra", "", "日本", "語本", "an 😀 한日"]:
         keys, _ = charlm.packed([t])
         got = model.log2_probs(keys)
-        s = [0] * 4 + [ord(c) for c in t]
+        s = [0] * 4 + symbols_of(t)
         want = [np.log2(p(tuple(s[i - 4 : i + 1]))) for i in range(4, len(s))]
         assert np.allclose(got, want, atol=1e-5), t
     assert np.allclose(model.text_bits(["abra", "", "cab"])[1], 0)
@@ -193,7 +209,7 @@ def test_packed_keeps_texts_apart():
 
 def test_blocks_hold_the_same_keys():
     rng = random.Random(2)
-    texts = ["".join(rng.choice("abc é") for _ in range(n)) for n in (0, 5, 300, 3, 90, 0, 1)]
+    texts = ["".join(rng.choice("abc é日😀") for _ in range(n)) for n in (0, 5, 300, 3, 90, 0, 1)]
     want, lengths = charlm.packed(texts)
     for most in (1, 4, 50, 10_000):
         blocks = list(charlm.key_blocks(texts, most=most))
@@ -204,6 +220,24 @@ def test_blocks_hold_the_same_keys():
         assert keys[order].tolist() == want.tolist() and np.bincount(owners, minlength=7).tolist() == lengths.tolist()
 
 
+def test_base_columns_against_sql(spark):
+    """The five base counts as SQL has them."""
+    rng = random.Random(12)
+    texts = [None, "", " \n ", "a", "a b c d e a b c d e"] + ["".join(rng.choice(["a", "b#", "\n", " ", "\t", "é|", "日", "\n\n", "x y z v w "]) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    want = con.execute(r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        g AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM d)),
+        r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g) WHERE n > 1),
+        c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, range(5) AS x(o) GROUP BY doc_id)
+        SELECT len(w), length(array_to_string(w, '')), length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')), coalesce(dup.n, 0), coalesce(c.n, 0)
+        FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN c USING (doc_id) ORDER BY doc_id""").fetchall()
+    assert [perplexity.base_counts(t or "")[:5] for t in texts] == want
+
+
 def test_rules_keep_prose_and_reject_noise(spark):
     docs, _ = _documents(spark)
     rows = {(r["doc_id"], r["kept"], r["base_failed"]) for r in perplexity.apply_rules(docs).collect()}
@@ -256,19 +290,31 @@ def test_viterbi_equals_all_paths(scorer):
     import itertools
 
     decoder = scorer[0].restore.decoder
-    for unit in ("d1m", "w1t", "n!tt", "s0"):
-        lattice = toxicity.lattice_of(unit)
+    rng = random.Random(4)
+    lattices = [toxicity.lattice_of(u) for u in ("d1m", "w1t", "n!tt", "s0", "$1|00", "9+6*5", "1|1|")] + [toxicity.lattice_of("n i t w", spaced=True)]
+    lattices += [[[("".join(rng.choice("nitwd 0日") for _ in range(rng.randint(0, 2))), rng.choice([0.0, 0.5, 1.5])) for _ in range(rng.randint(1, 3))] for _ in range(7)] for _ in range(12)]
+    for lattice in lattices:
 
         def cost(path):
             at, total = ord(" "), sum(b for _, b in path)
             for ch in "".join(t for t, _ in path) + " ":
-                symbol = ord("0") if ch.isdigit() else ord(ch)
-                total += decoder._bits(at, symbol)
-                at = (at << 12 | symbol) & ((1 << 48) - 1)
-            return total
+                for symbol in symbols_of("0" if ch.isdigit() else ch):
+                    total += decoder._bits(at, symbol)
+                    at = (at << 12 | symbol) & ((1 << 48) - 1)
+            return round(total, 6)
+
+        paths = list(itertools.product(*lattice))
+        least = min(map(cost, paths))
+        assert decoder.best(lattice) in {"".join(t for t, _ in p).strip() for p in paths if cost(p) <= least + 1e-5}
 
-        best = min(itertools.product(*lattice), key=lambda p: (cost(p), "".join(t for t, _ in p)))
-        assert decoder.best(lattice) == "".join(t for t, _ in best).strip()
+
+def test_long_tokens_and_look_alikes_alone(scorer):
+    """Tokens of any length are decoded, and those without any letter."""
+    assert toxicity.suspicious("sh1t" * 11) and toxicity.suspicious("$0|") and not toxicity.suspicious("101")
+    s = scorer[0]
+    assert s.score(s.restore("n1tw1" + "t" * 80)) > 0.5
+    assert s.score(s.restore("n1tw1t.n1tw1t.n1tw1t.n1tw1t.n1tw1t.n1tw1t.n1tw1t")) >= s.lexicon.base
+    assert len(s.restore("a1b2" * 5000 + " end")) > 10_000
 
 
 def test_scores_held_out_rows_and_odd_rows(spark, scorer):
