@@ -18,6 +18,7 @@ import mmap
 import os
 import re
 import uuid
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -235,10 +236,10 @@ class NgramModel:
 
     def __init__(self, order: int, name: str, probs, backs, unseen: float = -float(SYMBOL_BITS)):
         self.order, self.name, self.probs, self.backs, self.unseen = order, name, probs, backs, unseen
-        self._mapped = None
+        self._mapped = self._views = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_mapped": None}
+        return {**self.__dict__, "_mapped": None, "_views": None}
 
     def _tables(self):
         if self._mapped is None:
@@ -286,6 +287,26 @@ class NgramModel:
                     break
         return out
 
+    def log2_prob(self, key: int) -> float:
+        """:meth:`log2_probs` of one key."""
+        if self._views is None:
+            view = lambda table: (memoryview(table[0]), memoryview(table[1])) if table else ((), ())
+            self._views = [[view(t) for t in tables] for tables in self._tables()]
+        probs, backs = self._views
+        weight = 0.0
+        for k in range(self.order, 0, -1):
+            key &= (1 << SYMBOL_BITS * k) - 1
+            entries, values = probs[k - 1]
+            at = bisect_left(entries, key)
+            if at < len(entries) and entries[at] == key:
+                return weight + values[at]
+            if k > 1:
+                entries, values = backs[k - 2]
+                at = bisect_left(entries, key >> SYMBOL_BITS)
+                if at < len(entries) and entries[at] == key >> SYMBOL_BITS:
+                    weight += values[at]
+        return weight + self.unseen
+
     def text_bits(self, texts: list[str]) -> np.ndarray:
         """Bits of each text."""
         out = np.zeros(len(texts))

@@ -68,8 +68,7 @@ class Decoder:
         if got is None:
             if len(self.known) > 1_000_000:
                 self.known.clear()
-            key = np.array([context << charlm.SYMBOL_BITS | symbol], np.int64)
-            got = self.known[context, symbol] = -float(self.model.log2_probs(key)[0])
+            got = self.known[context, symbol] = -self.model.log2_prob(context << charlm.SYMBOL_BITS | symbol)
         return got
 
     def _read(self, context: int, text: str) -> tuple[float, int]:

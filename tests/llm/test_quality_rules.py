@@ -177,6 +177,7 @@ def test_model_against_brute_force(spark):
         s = [0] * 4 + symbols_of(t)
         want = [np.log2(p(tuple(s[i - 4 : i + 1]))) for i in range(4, len(s))]
         assert np.allclose(got, want, atol=1e-5), t
+        assert np.allclose(got, [model.log2_prob(k) for k in keys.tolist()], atol=1e-6), t
     assert np.allclose(model.text_bits(["abra", "", "cab"])[1], 0)
 
 
