@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import time
-from collections.abc import Sequence
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -50,6 +54,42 @@ class ExtractiveGenerator:
         return f"{line} [1]" if line else "not found"
 
 
+#: (status, body) of a POST request: address, headers, body, seconds.
+ChatTransport = Callable[[str, dict, bytes, float], tuple[int, bytes]]
+
+
+def http_post(url: str, headers: dict, body: bytes, timeout: float) -> tuple[int, bytes]:
+    request = urllib.request.Request(url, data=body, headers=headers, method="POST")
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as r:
+            return r.status, r.read()
+    except urllib.error.HTTPError as e:
+        return e.code, e.read()
+
+
+class ChatGenerator:
+    """A chat model behind the common ``/chat/completions`` interface. The key is read
+    from the environment of the worker that calls, so it travels in no plan."""
+
+    def __init__(self, url: str, model: str, key_variable: str = "CHAT_API_KEY", temperature: float = 0.0, max_tokens: int = 1024, timeout: float = 60.0, transport: ChatTransport = http_post):
+        self.url, self.name, self.key_variable, self.transport = url.rstrip("/"), model, key_variable, transport
+        self.temperature, self.max_tokens, self.timeout = temperature, max_tokens, timeout
+
+    def generate(self, prompt: str) -> str:
+        headers = {"Content-Type": "application/json"}
+        key = os.environ.get(self.key_variable, "").strip()
+        if key:
+            headers["Authorization"] = f"Bearer {key}"
+        body = {"model": self.name, "messages": [{"role": "user", "content": prompt}], "temperature": self.temperature, "max_tokens": self.max_tokens}
+        status, answer = self.transport(f"{self.url}/chat/completions", headers, json.dumps(body).encode(), self.timeout)
+        if status == 429:
+            raise RateLimit(f"429: {answer[:200].decode(errors='replace')}")
+        if status >= 400:
+            raise RuntimeError(f"status {status}: {answer[:200].decode(errors='replace')}")
+        choices = json.loads(answer).get("choices") or [{}]
+        return (choices[0].get("message") or {}).get("content") or ""
+
+
 @dataclass(frozen=True)
 class PlaceRule:
     """Evidence for a place: all words in the passages give the answer; the first

@@ -51,15 +51,29 @@ def dense_hits(questions: DataFrame, index: dict[str, DataFrame], embedder: Embe
 KEYWORD_BLOCK = 4096
 
 
+def _finder(words: Sequence[str]):
+    """The keywords that a text holds: one pass of an Aho-Corasick automaton, or one
+    search a keyword where that package is missing."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda body: [k for k in words if k in body]
+    automaton = ahocorasick.Automaton()
+    for k in words:
+        automaton.add_word(k, k)
+    automaton.make_automaton()
+    return lambda body: {k for _, k in automaton.iter(body)}
+
+
 def _occurrences(shared):
     def run(batches):
+        find = _finder(shared.value)
         for batch in batches:
             rows = ([], [], [], [])
             for chapter, number, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for k in shared.value:
-                    if k in body:
-                        for out, value in zip(rows, (chapter, number, k, body.count(k))):
-                            out.append(value)
+                for k in find(body):
+                    for out, value in zip(rows, (chapter, number, k, body.count(k))):
+                        out.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], batch.column(1).type), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.int64())], ["chapter", "chapter_no", "keyword", "n"])
 
     return run

@@ -12,9 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions import chunk, lang, text
+from ..schema import INDEX_INFO
 
 
 def split_chapters(chapters: DataFrame, size: int, overlap: int, searched_starts: bool = False) -> DataFrame:
@@ -86,6 +88,13 @@ def lengths(passages: DataFrame, column: str = "text") -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
 
 
+def stats_of(post: DataFrame, passages: DataFrame) -> DataFrame:
+    """The row of :func:`lengths` from written postings: the texts are not read again."""
+    n = passages.agg(F.count(F.lit(1)).alias("n"))
+    total = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    return n.join(F.broadcast(total)).select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(F.lit(1.0)).alias("avgdl"))
+
+
 def terms(post: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf). ``stats`` is one row."""
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -219,10 +228,15 @@ def build_index(chunks: DataFrame, embedder: Embedder, path: str, info: dict | N
     chunks = spark.read.parquet(f"{path}/chunks")
     embedded(chunks.select("chunk_pos", "text"), embedder).select("chunk_pos", "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
     postings(chunks).write.mode("overwrite").parquet(f"{path}/postings")
-    lengths(chunks).write.mode("overwrite").parquet(f"{path}/stats")
-    terms(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")).write.mode("overwrite").parquet(f"{path}/terms")
-    row = {"num_chunks": chunks.count(), "embedding_model": embedder.name, **(info or {})}
-    spark.createDataFrame([row]).write.mode("overwrite").parquet(f"{path}/info")
+    post = spark.read.parquet(f"{path}/postings")
+    stats_of(post, chunks).write.mode("overwrite").parquet(f"{path}/stats")
+    stats = spark.read.parquet(f"{path}/stats")
+    terms(post, stats).write.mode("overwrite").parquet(f"{path}/terms")
+    row = {"num_chunks": int(stats.first()["n"]), "embedding_model": embedder.name, **(info or {})}
+    known = [f"{name} {kind}" for name, kind in (x.split(" ") for x in INDEX_INFO.split(", ")) if name in row]
+    more = [k for k in row if f" {k} " not in f" {INDEX_INFO} ".replace(", ", " , ")]
+    schema = T.StructType([*T._parse_datatype_string(", ".join(known)).fields, *(spark.createDataFrame([{k: row[k] for k in more}]).schema.fields if more else [])])
+    spark.createDataFrame([tuple(row[f.name] for f in schema.fields)], schema).write.mode("overwrite").parquet(f"{path}/info")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -19,6 +19,8 @@ from .index import Embedder, embedded
 DIGITS = 9
 #: Query vectors that one pass over the passages holds in a worker.
 QUERY_BLOCK = 4096
+#: Numbers that a worker holds at once while it compares.
+CELLS = 1 << 22
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
@@ -42,20 +44,21 @@ def _block_search(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: i
         for pdf in batches:
             if not len(pdf):
                 continue
-            v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            # exact differences in slices: the expansion would round differently
-            d = np.empty((len(q), len(v)))
-            step = max(1, (1 << 22) // max(1, len(v) * v.shape[1]))
-            for lo in range(0, len(q), step):
-                diff = q[lo : lo + step, None, :] - v[None, :, :]
-                d[lo : lo + step] = np.einsum("qvd,qvd->qv", diff, diff)
-            d = np.round(d, DIGITS)
-            p = pdf[pos].to_numpy()
-            best_d = np.concatenate([best_d, d], 1)
-            best_p = np.concatenate([best_p, np.broadcast_to(p, d.shape)], 1)
-            if best_d.shape[1] > k:
-                order = np.lexsort((best_p, best_d), axis=1)[:, :k]
-                best_d, best_p = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_p, order, 1)
+            every, places = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf[pos].to_numpy()
+            width = max(1, CELLS // len(q))  # passages whose distances are held at once
+            for at in range(0, len(every), width):
+                v, p = every[at : at + width], places[at : at + width]
+                # exact differences in slices: the expansion would round differently
+                d = np.empty((len(q), len(v)))
+                step = max(1, CELLS // max(1, len(v) * v.shape[1]))
+                for lo in range(0, len(q), step):
+                    diff = q[lo : lo + step, None, :] - v[None, :, :]
+                    d[lo : lo + step] = np.einsum("qvd,qvd->qv", diff, diff)
+                best_d = np.concatenate([best_d, np.round(d, DIGITS)], 1)
+                best_p = np.concatenate([best_p, np.broadcast_to(p, d.shape)], 1)
+                if best_d.shape[1] > k:
+                    order = np.lexsort((best_p, best_d), axis=1)[:, :k]
+                    best_d, best_p = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_p, order, 1)
         n = best_d.shape[1]
         if n:
             yield pd.DataFrame({"q_id": np.repeat(q_ids, n), "pos": best_p.ravel(), "dist": best_d.ravel()})
@@ -91,7 +94,10 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, pos: str = "chunk
 
 
 def dense_topk_native(queries: DataFrame, vectors: DataFrame, k: int, pos: str = "chunk_pos") -> DataFrame:
-    """The same in DataFrame operations only, for small query sets."""
+    """The same in DataFrame operations only, for query sets of one block; larger ones
+    go the way of :func:`dense_topk`."""
+    if len(queries.select("q_id").take(QUERY_BLOCK + 1)) > QUERY_BLOCK:
+        return dense_topk(queries, vectors, k, pos)
     v = vectors.select(F.col(pos).cast("bigint").alias("chunk_pos"), F.col("embedding").cast("array<double>").alias("v"))
     q = queries.select(F.col("q_id").cast("bigint").alias("q_id"), F.col("embedding").cast("array<double>").alias("q"))
     squares = F.zip_with("q", "v", lambda a, b: (a - b) * (a - b))

@@ -16,8 +16,9 @@ from ..operators import answer as A
 from ..operators import evaluate as E
 from ..operators import index as I
 from ..operators import retrieve as R
-from ..sources import wiki
+from ..sources import files, wiki
 from . import build
+from .chunk_sql import chunk_ctes
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -59,6 +60,7 @@ def q_list(xs) -> str:
 
 
 SPACE = text.SPACE
+STRIP = f"'^[{SPACE}]+|[{SPACE}]+$', '', 'g'"
 
 
 def sql_norm(x: str) -> str:
@@ -219,11 +221,21 @@ def text_keys(spark, d):
 
 
 def _bm25(spark, d):
-    p, qs = passages(spark, d), questions(spark, d)
-    post, stats = I.postings(p), I.lengths(p)
+    """Passages, questions and scores; the postings are written once and read again."""
+    p, qs, path = passages(spark, d), questions(spark, d), files.scratch(spark, "postings")
+    I.postings(p).write.parquet(path)
+    post = spark.read.parquet(path)
+    stats = I.stats_of(post, p)
     return p, qs, R.bm25(R.question_terms(qs), post, I.terms(post, stats), stats)
 
 
+def _index(spark, d, embedder):
+    """The index of the passages, written and loaded."""
+    path = files.scratch(spark, "index")
+    I.build_index(passages(spark, d), embedder, path)
+    return I.load_index(spark, path, embedder)
+
+
 @query("bm25_topk", f"WITH {BM25} SELECT q_id, chunk_pos, round(bm25, 6) AS bm25, rank::BIGINT AS rank FROM lex")
 def bm25_topk(spark, d):
     p, qs, scores = _bm25(spark, d)
@@ -289,8 +301,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, c
 SELECT q_id, rank::BIGINT AS rank, chunk_pos, round(score, 6) AS score, round(sem, 6) AS semantic_score, round(lexical, 6) AS lexical_score, round(hint, 6) AS hint_score FROM ranked WHERE rank <= 8""",
 )
 def hybrid_fusion(spark, d):
-    index = I.memory_index(passages(spark, d), I.HashingEmbedder(DIM))
-    out = R.retrieve(questions(spark, d), index, I.HashingEmbedder(DIM))
+    e = I.HashingEmbedder(DIM)
+    out = R.retrieve(questions(spark, d), _index(spark, d, e), e)
     return out.select("q_id", "rank", "chunk_pos", *[F.round(c, 6).alias(c) for c in ("score", "semantic_score", "lexical_score", "hint_score")])
 
 
@@ -318,9 +330,29 @@ def page_links(spark, d):
     return t(spark, d, "pages").select("page_id", F.explode(html.page_links("html")).alias("a")).select("page_id", "a.pos", "a.href")
 
 
-@query("url_parts", "SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) AS title FROM pages")
-def url_parts(spark, d):
-    return t(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("host"), F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1).alias("title"))
+HOST = "https://h"
+H1 = "'Book/' || regexp_extract(html, '<h1>([^<]*)', 1)"
+
+
+def sql_address(title: str) -> str:
+    return f"'{HOST}/wiki/' || replace(replace(replace(replace(replace(url_encode(replace({title}, ' ', '_')), '%2F', '/'), '%3A', ':'), '%28', '('), '%29', ')'), '*', '%2A')"
+
+
+@query("page_addresses", f"SELECT page_id, title, {sql_address('title')} AS url, replace(title, ' ', '_') AS back, regexp_extract(title, '[^/]*$') AS chapter FROM (SELECT page_id, regexp_replace(replace(nfc_normalize({H1}), '_', ' '), '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS title FROM pages)")
+def page_addresses(spark, d):
+    rows = t(spark, d, "pages").select("page_id", text.normalize_title(F.concat(F.lit("Book/"), F.regexp_extract("html", "<h1>([^<]*)", 1))).alias("title"))
+    rows = rows.withColumn("url", text.page_url(HOST, "title"))
+    return rows.select("page_id", "title", "url", text.url_title("url").alias("back"), text.chapter_name("title").alias("chapter"))
+
+
+@query(
+    "page_titles",
+    "WITH l AS (SELECT page_id % 50 AS n FROM pages) SELECT 0::BIGINT AS pos, 'B/' || n AS title FROM l GROUP BY n UNION ALL SELECT 3::BIGINT, 'B/last one' FROM (SELECT count(*) AS n FROM l) WHERE n > 0",
+)
+def page_titles(spark, d):
+    """Links of contents pages: dead ones and those of other books go."""
+    body = F.concat(F.lit('<ul><li><a href="/a" title="B/'), (F.col("page_id") % 50).cast("string"), F.lit('">x</a><li><a class="x new" href="/b" title="B/dead">y</a><a href="/c" title="C/other">z</a><a href="/d" title=" B/last_one ">w</a><a title="B/no address">v</a></ul>'))
+    return wiki.page_titles(t(spark, d, "pages").select(body.alias("html")), "B/")
 
 
 @query(
@@ -330,8 +362,7 @@ def url_parts(spark, d):
 def anti_join_new_titles(spark, d):
     p = t(spark, d, "pages")
     found = p.select(F.explode(html.page_links("html")).alias("a")).select(F.substring("a.href", 2, 1_000_000).alias("title")).distinct()
-    known = p.select(F.regexp_extract("html", "<h1>([^ <]*)", 1).alias("title")).distinct()
-    return found.join(known, "title", "left_anti")
+    return wiki.missing_titles(found, p.select(F.regexp_extract("html", "<h1>([^ <]*)", 1).alias("requested_title")))
 
 
 @query("html_blocks")
@@ -339,15 +370,34 @@ def html_blocks(spark, d):
     return t(spark, d, "pages").select("page_id", html.html_text("html").alias("text"))
 
 
-@query("short_chapters", "SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE length(text) >= 30")
-def short_chapters(spark, d):
-    return t(spark, d, "documents").where(F.char_length("text") >= 30).select("doc_id", F.char_length("text").cast("bigint").alias("n"))
+CHAPTER_LINES = f"list_transform(string_split(translate(translate(body, {q(text.INVISIBLE)}, ''), chr(160) || chr(13), ' '), chr(10)), lambda s: {CLEAN_LINE})"
+
+
+@query(
+    "chapters_of_pages",
+    f"""WITH b AS (SELECT doc_id, regexp_replace(text, {STRIP}) || chr(10) || chr(10) || 'Head & tail' || chr(10) || 'more' || chr(10) || chr(10) || 'point' AS body FROM documents WHERE regexp_matches(text, '[^{SPACE}]')
+  UNION ALL SELECT doc_id, 'Head & tail' || chr(10) || 'more' || chr(10) || chr(10) || 'point' FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^{SPACE}]')),
+l AS (SELECT doc_id, list_filter({CHAPTER_LINES}, lambda s: s = '' OR NOT (s = 'Chapter ' || doc_id OR regexp_matches(s, '^{text.DIGIT}+$|^{text.DIGIT}+[{SPACE}]*[-–—][{SPACE}]*{text.DIGIT}+$'))) AS x FROM b),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(array_to_string(x, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), {STRIP}) AS text FROM l)
+SELECT 'Bk/Chapter ' || doc_id AS title, 'Chapter ' || doc_id AS chapter, doc_id::INT AS chapter_no, '{HOST}/wiki/Bk/Chapter_' || doc_id AS url, text FROM c WHERE length(text) >= 30""",
+)
+def chapters_of_pages(spark, d):
+    """Rendered pages with every kind of noise, to chapters."""
+    safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    before = F.lit("<body><p>outside</p><div class='mw-parser-output'><table><tr><td><p>no</p></table><div class='noprint'><p>no</p></div><div id='toc'><li>no</div><style>p{}</style><p>")
+    after = F.lit("</p><h2>Head &amp; tail<span class='mw-editsection'>edit</span><br>more<sup class='reference'>[1]</sup></h2>bare<ul><li>point</li></ul><ol class='references'><li>no</ol></div>")
+    pages = t(spark, d, "documents").select(F.concat(F.lit("Bk/Chapter "), "doc_id").alias("title"), F.concat(before, safe, after).alias("html"))
+    return wiki.chapters_of(pages, "Bk of none", "Nobody", HOST).select("title", "chapter", "chapter_no", "url", "text")
 
 
 # --- chunks -------------------------------------------------------------------------
 
 
-@query("chunk_documents")
+CONF = Config()
+CHUNKS = chunk_ctes("SELECT doc_id, text AS whole FROM documents", CONF.chunk_size, CONF.chunk_overlap)
+
+
+@query("chunk_documents", f"WITH {CHUNKS} SELECT doc_id, pos AS chunk_index, parts AS chunks_in_chapter, start AS start_index, text FROM chunk")
 def chunk_documents(spark, d):
     c = Config()
     return I.chunk_documents(t(spark, d, "documents"), c.chunk_size, c.chunk_overlap)
@@ -368,9 +418,82 @@ def chunk_invariants(spark, d):
     return per.agg(F.count(F.lit(1)).alias("documents"), *[F.sum(x).alias(x) for x in ("too_long", "blank", "misplaced", "misnumbered")])
 
 
-@query("chunk_size_stats")
+@query("chunk_size_stats", f"WITH {CHUNKS} SELECT count(*)::BIGINT AS chunks, round(avg(length(text)), 6) AS mean, max(length(text))::BIGINT AS max FROM chunk")
 def chunk_size_stats(spark, d):
-    return build.chunk_totals(chunk_documents(spark, d))
+    return build.chunk_totals(chunk_documents(spark, d)).withColumn("mean", F.round("mean", 6))
+
+
+def _chapters(spark, d):
+    return t(spark, d, "documents").select(F.lit("b").alias("book"), F.lit("a").alias("author"), F.concat(F.lit("b/d"), "doc_id").alias("title"), F.concat(F.lit("d"), "doc_id").alias("chapter"), F.col("doc_id").cast("int").alias("chapter_no"), F.col("source").alias("url"), "text")
+
+
+PLACED = f"""{CHUNKS},
+placed AS (SELECT doc_id, pos, parts, start, text, row_number() OVER (ORDER BY coalesce(nullif(doc_id, 0), 1000000), doc_id, pos)::BIGINT AS chunk_pos FROM chunk)"""
+LABELLED = f"'d' || doc_id AS chapter, 'd' || doc_id || ' — {lang.LABEL_PART} ' || pos || '/' || parts AS section, format('ch{{:02d}}-{{:03d}}', doc_id, pos) AS chunk_id"
+
+
+@query("chapter_chunks", f"WITH {PLACED} SELECT chunk_pos, {LABELLED}, pos::INT AS chunk_index, parts::INT AS chunks_in_chapter, start::INT AS start_index, text FROM placed")
+def chapter_chunks(spark, d):
+    rows = I.with_positions(I.split_chapters(_chapters(spark, d), CONF.chunk_size, CONF.chunk_overlap))
+    return rows.select("chunk_pos", "chapter", "section", "chunk_id", "chunk_index", "chunks_in_chapter", "start_index", "text")
+
+
+@query(
+    "index_round_trip",
+    f"""WITH {PLACED}, known AS (SELECT 'd' || doc_id AS chapter, doc_id FROM documents)
+SELECT chunk_pos, {LABELLED}, (SELECT count(*) FROM placed)::BIGINT AS num_chunks, 'hashing-{DIM}' AS embedding_model, (SELECT count(*) FROM known)::INT AS num_chapters,
+       (SELECT min_by(chapter, doc_id) FROM known) AS first_chapter, {DIM} AS dim, len(regexp_extract_all(lower(text), {q(text.TOKEN)}))::BIGINT AS dl FROM placed""",
+)
+def index_round_trip(spark, d):
+    """Chapters chunked, embedded, stored, found again by probing, and loaded with its guards."""
+    base = files.scratch(spark, "store")
+    build.build(spark, _chapters(spark, d), f"{base}/index", Config(embedding_model=f"hashing-{DIM}"), "b")
+    path = I.find_index(spark, "", [f"{base}/nothing", f"{base}/index"])
+    e = I.make_embedder(Config(embedding_model=f"hashing-{DIM}"))
+    ix, info = I.load_index(spark, path, e), I.index_info(spark, path)
+    rows = ix["chunks"].join(ix["vectors"], "chunk_pos").join(ix["postings"].groupBy("chunk_pos").agg(F.max("dl").alias("dl")), "chunk_pos", "left")
+    facts = [F.lit(info[k]).alias(k) for k in ("num_chunks", "embedding_model", "num_chapters")]
+    return rows.select("chunk_pos", "chapter", "section", "chunk_id", *facts, F.lit(info["chapters"][0] if info["chapters"] else None).alias("first_chapter"), F.size("embedding").alias("dim"), F.coalesce("dl", F.lit(0)).alias("dl"))
+
+
+@query("chapter_files", "SELECT 'd' || doc_id AS chapter, doc_id::INT AS chapter_no, source AS url, text FROM documents")
+def chapter_files(spark, d):
+    path = files.scratch(spark, "chapters")
+    files.write_chapters(_chapters(spark, d), path)
+    return files.read_chapters(spark, path).select("chapter", "chapter_no", "url", "text")
+
+
+@query("chunk_files", f"WITH {PLACED} SELECT {LABELLED}, pos::INT AS chunk_index, start::INT AS start_index, text FROM placed")
+def chunk_files(spark, d):
+    path = files.scratch(spark, "chunks")
+    files.write_chunks(I.split_chapters(_chapters(spark, d), CONF.chunk_size, CONF.chunk_overlap), path)
+    return files.read_chunks(spark, path).select("chapter", "section", "chunk_id", "chunk_index", "start_index", "text")
+
+
+@query("page_cache", "SELECT url AS requested_title, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE html END AS html FROM pages")
+def page_cache(spark, d):
+    """Pages fetched, some of them fetched again later: the last one counts."""
+    path = files.scratch(spark, "pages")
+    rows = lambda p, html, at: p.select(F.col("url").alias("title"), F.col("url").alias("requested_title"), html.alias("html"), F.lit(at).cast("timestamp").alias("fetched_at"))
+    p = t(spark, d, "pages")
+    files.append_pages(rows(p, F.col("html"), "2024-01-01 00:00:00"), path)
+    files.append_pages(rows(p.where("page_id % 3 = 0"), F.lit("new"), "2024-01-02 00:00:00"), path)
+    return files.latest_pages(files.read_pages(spark, path)).select("requested_title", "html")
+
+
+@query("question_files", f"SELECT item_id::INT AS id, text AS question, (item_id % 2 = 0) AS answerable, array_to_string([nfc_normalize(text)], '') AS keyword, 0 AS n_sources FROM benchmark")
+def question_files(spark, d):
+    """A question set written as one JSON array and read again."""
+    import pathlib
+    import tempfile
+
+    rows = questions(spark, d).select(F.col("q_id").cast("int").alias("id"), "question", F.lit("").alias("expected_answer"), (F.col("q_id") % 2 == 0).alias("answerable"), F.array("question").alias("evidence_keywords"), F.lit(None).cast("array<string>").alias("expected_source"))
+    with tempfile.TemporaryDirectory() as folder:
+        files.write_questions(rows, f"{folder}/questions.json")
+        body = pathlib.Path(f"{folder}/questions.json").read_text(encoding="utf-8")
+    path = files.scratch(spark, "questions")
+    spark.createDataFrame([(body,)], "value string").coalesce(1).write.text(path)
+    return files.read_questions(spark, path).select("id", "question", "answerable", F.array_join("evidence_keywords", "").alias("keyword"), F.size("expected_source").alias("n_sources"))
 
 
 @query("chapter_totals", "SELECT count(*)::BIGINT AS chapters, sum(length(text))::BIGINT AS characters FROM documents")
@@ -410,12 +533,12 @@ def percent_labels(spark, d):
     return E.hit_rates(_neighbours(spark, d)).select("k", text.percent("rate").alias("label"))
 
 
-KEYS = f"keys AS (SELECT item_id AS q_id, unnest({sql_terms('text')}[1:3]) AS keyword FROM benchmark)"
-FOUND = f"{KEYS}, found AS (SELECT q_id, doc_id, keyword, ((length(text) - length(replace(text, keyword, ''))) // length(keyword))::BIGINT AS n FROM keys JOIN documents ON contains(text, keyword))"
+KEYS = "keys AS (SELECT item_id AS q_id, nfc_normalize(text) AS keyword FROM benchmark UNION SELECT item_id, unnest(string_split(nfc_normalize(text), '. ')) FROM benchmark)"
+FOUND = f"{KEYS}, found AS (SELECT q_id, doc_id, keyword, ((length(text) - length(replace(text, keyword, ''))) // length(keyword))::BIGINT AS n FROM keys JOIN documents ON contains(text, keyword) WHERE keyword <> '')"
 
 
 def _located(spark, d):
-    qs = questions(spark, d).select("q_id", F.lit(True).alias("answerable"), F.slice(text.query_terms("question"), 1, 3).alias("evidence_keywords"))
+    qs = questions(spark, d).select("q_id", F.lit(True).alias("answerable"), F.array_union(F.array(text.nfc("question")), F.split(text.nfc("question"), "[.] ")).alias("evidence_keywords"))
     chapters = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chapter"), F.col("doc_id").alias("chapter_no"), "text")
     return E.locate(qs, chapters)
 
@@ -430,10 +553,25 @@ def suggested_sources(spark, d):
     return E.suggested_sources(_located(spark, d)).withColumn("suggested", F.array_join("suggested", ","))
 
 
-@query("compare_chunking")
+def _compared(size: int, overlap: int) -> str:
+    return f"""SELECT 'chunk_size={size}, overlap={overlap}' AS approach, (SELECT n FROM (WITH {chunk_ctes('SELECT doc_id, text AS whole FROM documents', size, overlap)} SELECT count(*)::BIGINT AS n FROM chunk)) AS n_chunks,
+  count(*) FILTER (r <= 1) / count(*)::DOUBLE AS hit_at_1, count(*) FILTER (r <= 3) / count(*)::DOUBLE AS hit_at_3, count(*) FILTER (r <= 5) / count(*)::DOUBLE AS hit_at_5
+FROM (WITH {chunk_ctes('SELECT doc_id, text AS whole FROM documents', size, overlap)},
+  pc AS (SELECT row_number() OVER (ORDER BY coalesce(nullif(doc_id, 0), 1000000), doc_id, pos) AS cp, text FROM chunk),
+  kc AS (SELECT cp, ('0x' || substr(md5(unnest({sql_tokens('text')})), 1, 8))::BIGINT % {DIM} AS b FROM pc),
+  mc AS (SELECT cp, map_from_entries(list((b, c))) AS m, sqrt(sum(c * c)) AS norm FROM (SELECT cp, b, count(*)::DOUBLE AS c FROM kc GROUP BY ALL) GROUP BY cp),
+  vc AS (SELECT cp, text, list_transform(range({DIM}), lambda i: coalesce(m[i], 0.0::DOUBLE) / coalesce(norm, 1.0::DOUBLE)) AS v FROM pc LEFT JOIN mc USING (cp)),
+  kq AS (SELECT item_id, ('0x' || substr(md5(unnest({sql_tokens('nfc_normalize(text)')})), 1, 8))::BIGINT % {DIM} AS b FROM benchmark),
+  mq AS (SELECT item_id, map_from_entries(list((b, c))) AS m, sqrt(sum(c * c)) AS norm FROM (SELECT item_id, b, count(*)::DOUBLE AS c FROM kq GROUP BY ALL) GROUP BY item_id),
+  vq AS (SELECT item_id, list_transform(range({DIM}), lambda i: coalesce(m[i], 0.0::DOUBLE) / norm) AS v FROM mq),
+  nq AS (SELECT item_id, cp, text, row_number() OVER (PARTITION BY item_id ORDER BY dist, cp) AS rank FROM (SELECT item_id, cp, vc.text, {sql_square('vq.v', 'vc.v')} AS dist FROM vq CROSS JOIN vc))
+  SELECT b.item_id, min(CASE WHEN contains(n.text, b.text) THEN rank END) AS r FROM benchmark b LEFT JOIN (SELECT * FROM nq WHERE rank <= 5) n USING (item_id) GROUP BY b.item_id)"""
+
+
+@query("compare_chunking", " UNION ALL ".join(f"SELECT * FROM ({_compared(*x)})" for x in ((400, 80), (800, 150), (1200, 200))))
 def compare_chunking(spark, d):
     chapters = t(spark, d, "documents").select(F.lit("b").alias("book"), F.concat(F.lit("d"), "doc_id").alias("chapter"), F.col("doc_id").cast("int").alias("chapter_no"), F.col("source").alias("url"), "text")
-    qs = questions(spark, d).select("q_id", "question", F.lit(True).alias("answerable"), F.array(F.left("question", F.lit(40))).alias("evidence_keywords"), F.array().cast("array<string>").alias("expected_source"))
+    qs = questions(spark, d).select("q_id", "question", F.lit(True).alias("answerable"), F.array("question").alias("evidence_keywords"), F.array().cast("array<string>").alias("expected_source"))
     return E.compare_chunkings(chapters, qs, ["400:80", "800:150", "1200:200"], I.HashingEmbedder(DIM))
 
 
@@ -449,7 +587,6 @@ def extract_citations(spark, d):
 
 
 RAW = f"CASE role WHEN 'user' THEN '```text' || chr(10) || text || chr(10) || '```' WHEN 'system' THEN {q(lang.ANSWER_PREFIXES[0])} || ' : ' || text ELSE '  answer: ' || text END"
-STRIP = f"'^[{SPACE}]+|[{SPACE}]+$', '', 'g'"
 
 
 @query("clean_answer", f"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({RAW}, {STRIP}), '(?i)^```(?:text|markdown)?[{SPACE}]*', ''), '[{SPACE}]*```$', ''), '(?i)^(?:{'|'.join(lang.ANSWER_PREFIXES)})[{SPACE}]*:[{SPACE}]*', ''), {STRIP}) AS answer FROM conversations")
@@ -487,11 +624,11 @@ def citation_label(spark, d):
     return rows.select("conv_id", A.citation_label(F.col("s")).alias("label"))
 
 
-@query("source_join", f"WITH {TOP5} SELECT q_id, (i - 1)::BIGINT AS pos, rank::BIGINT AS citation, chunk_pos FROM top5 JOIN (SELECT item_id, unnest([3, 1, 7]) AS c, unnest([1, 2, 3]) AS i FROM benchmark) ON item_id = q_id AND c = rank")
+@query("source_join", f"WITH {TOP5}, c AS (SELECT q_id, i, rank, chapter, section, text FROM top5 JOIN (SELECT item_id, unnest([3, 1, 7]) AS c, unnest([1, 2, 3]) AS i FROM benchmark) ON item_id = q_id AND c = rank) SELECT q_id, (row_number() OVER (PARTITION BY q_id ORDER BY i) - 1)::BIGINT AS pos, rank::BIGINT AS citation, chapter, coalesce(nullif(section, ''), '') AS section, text FROM c")
 def source_join(spark, d):
-    top = _top5(spark, d)
-    cited = questions(spark, d).select("q_id", F.posexplode(F.array(F.lit(3), F.lit(1), F.lit(7))).alias("pos", "citation"))
-    return cited.join(top.withColumnRenamed("rank", "citation"), ["q_id", "citation"]).select("q_id", F.col("pos").cast("bigint").alias("pos"), F.col("citation").cast("bigint").alias("citation"), "chunk_pos")
+    cited = questions(spark, d).select("q_id", F.array(F.lit(3), F.lit(1), F.lit(7)).alias("citations"))
+    rows = A.source_rows(cited, _top5(spark, d)).select("q_id", F.posexplode("sources").alias("pos", "s"))
+    return rows.select("q_id", F.col("pos").cast("bigint").alias("pos"), F.col("s.citation").cast("bigint").alias("citation"), "s.chapter", F.coalesce("s.section", F.lit("")).alias("section"), "s.text")
 
 
 STEMMED = STEM.replace("(w,", "(x,").replace("(w)", "(x)").replace(" w ", " x ").replace("left(w", "left(x").replace("ELSE w", "ELSE x")
@@ -503,26 +640,64 @@ def evidence_check(spark, d):
     return A.evidence_flags(questions(spark, d), _top5(spark, d))
 
 
-@query(
-    "qa_behaviour",
-    f"""WITH {TOP5}, top AS (SELECT * FROM top5 WHERE rank = 1),
+BEHAVED = f"""WITH {TOP5}, top AS (SELECT * FROM top5 WHERE rank = 1),
 held AS (SELECT item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id),
-r AS (SELECT b.item_id, h.doc_id IS NOT NULL AS answerable, contains(top.text, b.text) AS found, top.chapter, d.source AS expected
-  FROM benchmark b JOIN top ON top.q_id = b.item_id LEFT JOIN held h USING (item_id) LEFT JOIN documents d ON d.doc_id = h.doc_id)
-SELECT item_id AS q_id, (found = answerable AND (expected IS NULL OR NOT found OR chapter = expected)) AS ok FROM r""",
-)
-def qa_behaviour(spark, d):
+r AS (SELECT b.item_id, b.text AS question, h.doc_id IS NOT NULL AS answerable, contains(top.text, b.text) AS found, top.chapter, coalesce(nullif(top.section, ''), top.chapter) AS section, d.source AS expected
+  FROM benchmark b JOIN top ON top.q_id = b.item_id LEFT JOIN held h USING (item_id) LEFT JOIN documents d ON d.doc_id = h.doc_id),
+done AS (SELECT item_id AS q_id, question, section, (found = answerable AND (expected IS NULL OR NOT found OR chapter = expected)) AS ok FROM r)"""
+
+
+def _behaviour(spark, d):
     b = questions(spark, d)
-    docs = t(spark, d, "documents")
-    held = b.join(docs, F.contains(docs.text, b.question)).groupBy("q_id").agg(F.min_by("source", "doc_id").alias("expected"))
+    whole = b.select("q_id", F.lit(True).alias("answerable"), F.array("question").alias("evidence_keywords"))
+    docs = t(spark, d, "documents").select(F.col("source").alias("chapter"), F.col("doc_id").alias("chapter_no"), "text")
+    held = E.locate(whole, docs).groupBy("q_id").agg(F.min_by("chapter", "chapter_no").alias("expected"))
     qs = b.join(held, "q_id", "left").select("q_id", "question", F.lit("").alias("expected_answer"), F.col("expected").isNotNull().alias("answerable"), F.when(F.col("expected").isNotNull(), F.array("expected")).alias("expected_source"))
     top = _top5(spark, d).where("rank = 1").join(b, "q_id")
     source = F.struct(F.lit(1).alias("citation"), "chapter", "section", "source", "text")
     responses = top.select("q_id", F.lit("").alias("answer"), F.contains("text", F.col("question")).alias("found"), F.array(source).alias("sources"))
-    return E.behaviour(responses, qs).select("q_id", "ok")
+    return E.behaviour(responses, qs)
+
+
+@query("qa_behaviour", f"{BEHAVED} SELECT q_id, ok FROM done")
+def qa_behaviour(spark, d):
+    return _behaviour(spark, d).select("q_id", "ok")
+
+
+@query("qa_totals", f"{BEHAVED} SELECT count(*) FILTER (ok)::BIGINT AS passed, count(*)::BIGINT AS n FROM done")
+def qa_totals(spark, d):
+    return E.passed(_behaviour(spark, d))
+
+
+@query(
+    "qa_report",
+    f"""{BEHAVED}, line AS (SELECT q_id, '| ' || q_id || ' | ' || replace(replace(question, '|', '\\|'), chr(10), ' ') || ' |  | [1] ' || section || ' |  | ' || CASE WHEN ok THEN 'yes' ELSE 'no' END || ' |' AS line FROM done)
+SELECT array_to_string(list_concat(['# QA results', '', 'all', '', '| # | Question | Answer | Cited | Expected | OK |', '|---|---|---|---|---|---|'], (SELECT list(line ORDER BY q_id) FROM line),
+  ['', '**' || (SELECT count(*) FILTER (ok) FROM done) || '/' || (SELECT count(*) FROM done) || '** as expected.']), chr(10)) || chr(10) AS report""",
+)
+def qa_report(spark, d):
+    path = files.scratch(spark, "report")
+    spark.createDataFrame([(E.qa_table(_behaviour(spark, d), "all"),)], "report string").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("console_lines", f"WITH {TOP5} SELECT q_id, rank::BIGINT AS rank, format('#{{:d}} score={{:.4f}} sem=0.0000 lex={{:.4f}} hint=0.0000', rank, rank / 8.0::DOUBLE, rank / 16.0::DOUBLE) || chr(10) || left(text, 2500) AS line FROM top5")
+def console_lines(spark, d):
+    none = F.lit(None).cast("double")
+    rows = _top5(spark, d).withColumns({"score": F.col("rank") / 8.0, "lexical_score": F.col("rank") / 16.0, "semantic_score": none, "hint_score": none})
+    return files.console_lines(rows)
+
 
+NO_ANSWER = A.Messages().no_answer
+ANSWERED = f"""WITH {TOP5}, one AS (SELECT q_id, regexp_replace(string_split(regexp_replace(text, {STRIP}), chr(10))[1], {STRIP}) AS line, (SELECT count(*) FROM top5 n WHERE n.q_id = t.q_id) AS n FROM top5 t WHERE rank = 1),
+cut AS (SELECT q_id, n, CASE WHEN contains(line, '।') THEN left(line, strpos(line, '।')) WHEN contains(line, '. ') THEN left(line, strpos(line, '. ')) WHEN contains(line, '? ') THEN left(line, strpos(line, '? ')) WHEN contains(line, '! ') THEN left(line, strpos(line, '! ')) ELSE line END AS line FROM one),
+raw AS (SELECT q_id, n, CASE WHEN line = '' THEN {q(NO_ANSWER)} ELSE line || ' [1]' END AS raw FROM cut),
+said AS (SELECT q_id, n, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, {STRIP}), '(?i)^```(?:text|markdown)?[{SPACE}]*', ''), '[{SPACE}]*```$', ''), '(?i)^(?:{'|'.join(lang.ANSWER_PREFIXES)})[{SPACE}]*:[{SPACE}]*', ''), {STRIP}) AS answer FROM raw),
+cited AS (SELECT q_id, answer, {sql_any(sql_norm('nfc_normalize(answer)'), lang.ABSTENTION)} AS abstains, list_filter(list_transform(flatten(list_transform(regexp_extract_all(answer, {q(text.CITATION)}, 1), lambda b: string_split(translate(b, {q(lang.BENGALI_DIGITS)}, '0123456789'), ','))), lambda p: try_cast(trim(p) AS INT)), lambda c: c BETWEEN 1 AND n) AS l FROM said),
+final AS (SELECT q_id, CASE WHEN NOT abstains AND len(l) = 0 THEN rtrim(answer) || ' [1]' ELSE answer END AS answer, CASE WHEN NOT abstains AND len(l) = 0 THEN [1] ELSE list_filter(l, lambda x, i: list_position(l, x) = i) END AS l, NOT abstains AS found FROM cited)"""
 
-@query("answers")
+
+@query("answers", f"{ANSWERED} SELECT q_id, answer, array_to_string(l, ',') AS citations, found, NULL::VARCHAR AS error FROM final")
 def answers(spark, d):
     """The whole way from questions to cited answers, with an extractive generator."""
     top = _top5(spark, d)
@@ -530,6 +705,57 @@ def answers(spark, d):
     return out.select("q_id", "answer", F.array_join(F.transform("citations", lambda n: n.cast("string")), ",").alias("citations"), "found", "error")
 
 
+class _Moody:
+    """Extracts, but is out of quota for prompts of questions with a z, cites nothing for
+    those with a y, and abstains first for those with an x."""
+
+    name = "moody"
+
+    def generate(self, prompt: str) -> str:
+        asked = prompt.rpartition("QUESTION:\n")[2].partition("\n\nCONTEXT:")[0]
+        if asked == prompt:  # asked once more, evidence first
+            return "Second thought [2]"
+        if "z" in asked:
+            raise A.RateLimit("429")
+        return "Plain" if "y" in asked else "not found" if "x" in asked else "```text\nAnswer: One [1], [9].\n```"
+
+
+@query(
+    "guarded_answers",
+    f"""WITH {TOP5}, asked AS (SELECT item_id AS q_id, regexp_replace(text, {STRIP}) AS question FROM benchmark UNION ALL SELECT 1000000, '' UNION ALL SELECT 1000001, ''),
+have AS (SELECT q_id, list(rank ORDER BY rank) AS ranks FROM top5 WHERE q_id % 4 > 0 AND rank <= 3 GROUP BY q_id),
+ev AS (SELECT t.q_id, bool_or({EVIDENCE}) AS evidence FROM top5 t JOIN benchmark b ON b.item_id = t.q_id WHERE t.rank <= 3 GROUP BY t.q_id),
+k AS (SELECT a.q_id, question, ranks, CASE WHEN question = '' THEN 'empty' WHEN ranks IS NULL THEN 'none' WHEN contains(question, 'z') THEN 'limit' WHEN contains(question, 'y') THEN 'plain'
+  WHEN contains(question, 'x') THEN CASE WHEN evidence AND len(ranks) >= 2 THEN 'again' ELSE 'no' END ELSE 'yes' END AS kind FROM asked a LEFT JOIN have USING (q_id) LEFT JOIN ev USING (q_id))
+SELECT q_id, CASE kind WHEN 'empty' THEN {q(A.Messages().empty_question)} WHEN 'none' THEN {q(NO_ANSWER)} WHEN 'limit' THEN {q(A.Messages().rate_limited)} WHEN 'plain' THEN 'Plain [1]' WHEN 'again' THEN 'Second thought [2]' WHEN 'no' THEN 'not found' ELSE 'One [1], [9].' END AS answer,
+  CASE kind WHEN 'plain' THEN '1' WHEN 'again' THEN '2' WHEN 'yes' THEN '1' ELSE '' END AS citations, kind IN ('plain', 'again', 'yes') AS found, CASE WHEN kind = 'limit' THEN 'rate_limit' END AS error, len(coalesce(ranks, []))::INT AS n_ranks FROM k""",
+)
+def guarded_answers(spark, d):
+    """Empty questions, questions without passages, quota, missing citations, retries."""
+    b = questions(spark, d)
+    asked = b.unionByName(spark.createDataFrame([(1_000_000, ""), (1_000_001, None)], "q_id long, question string"))
+    out = A.answer_questions(asked, _top5(spark, d).where("q_id % 4 > 0 and rank <= 3"), _Moody())
+    return out.select("q_id", "answer", F.array_join(F.transform("citations", lambda n: n.cast("string")), ",").alias("citations"), "found", "error", F.size("retrieved_ranks").alias("n_ranks"))
+
+
+@query("normalized_questions", f"SELECT conv_id, turn, trim(regexp_replace(translate(nfc_normalize(text), {q(text.INVISIBLE)}, ''), '[{SPACE}]+', ' ', 'g')) AS question FROM conversations")
+def normalized_questions(spark, d):
+    return t(spark, d, "conversations").select("conv_id", "turn", text.normalize_query("text").alias("question"))
+
+
+@query(
+    "prefixed_vectors",
+    f"""WITH k AS (SELECT item_id, ('0x' || substr(md5(unnest({sql_tokens("'passage: ' || text")})), 1, 8))::BIGINT % {DIM} AS bucket FROM benchmark),
+c AS (SELECT item_id, bucket, count(*)::DOUBLE AS c FROM k GROUP BY ALL)
+SELECT item_id, bucket::BIGINT AS bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY item_id)), 6) AS weight FROM c""",
+)
+def prefixed_vectors(spark, d):
+    """Vectors of an embedder that wants a prefix before passages, as the factory wraps it."""
+    e = I.PrefixEmbedder(I.make_embedder(Config(embedding_model=f"hashing-{DIM}")))
+    rows = I.embedded(t(spark, d, "benchmark").select("item_id", "text"), e).select("item_id", F.posexplode("embedding").alias("bucket", "weight"))
+    return rows.where("weight <> 0").select("item_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("weight", 6).alias("weight"))
+
+
 # --- questions in Bengali -----------------------------------------------------------
 
 ASKED = lang.nfc(
@@ -601,7 +827,12 @@ def chapter_number_sort(spark, d):
     return c.withColumn("pos", F.row_number().over(order).cast("bigint"))
 
 
-@query("titles_with_extras")
+EXTRAS_SQL = f"""WITH toc AS (SELECT unnest([0, 1]) AS pos, unnest({q_list(['B/প্রথম', 'B/দ্বিতীয়'])}) AS title), found AS (SELECT unnest({q_list(['B/দ্বিতীয়', 'B/ষোড়শ', 'B/ভূমিকা'])}) AS title),
+x AS (SELECT title, regexp_extract(title, '[^/]*$') AS c FROM found WHERE title NOT IN (SELECT title FROM toc))
+SELECT 0 AS src, pos::BIGINT AS n, title FROM toc UNION ALL SELECT 1, coalesce(nullif({NUMBER}, 0), 1000000)::BIGINT, title FROM x"""
+
+
+@query("titles_with_extras", EXTRAS_SQL)
 def titles_with_extras(spark, d):
     toc = spark.createDataFrame([(0, "B/প্রথম"), (1, "B/দ্বিতীয়")], "pos long, title string")
     found = spark.createDataFrame([("B/দ্বিতীয়",), ("B/ষোড়শ",), ("B/ভূমিকা",)], "title string")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,34 @@ from ..functions import text
 from ..schema import CHAPTERS, CHUNKS, QUESTIONS, RAW_PAGES
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path in the folder that driver and executors share
+    (``spark.checkpoint.dir``); only a local master may do without that setting. It is
+    removed when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: no folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pl_shared_"))
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base.rstrip('/')}/passagelake/{what}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_scratch() -> None:
+    for spark, path in _scratch:
+        try:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # the session may be gone; its folder goes with it
+            return
+
+
 def read_chapters(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; blank lines are skipped, a missing file raises."""
     return spark.read.schema(CHAPTERS).json(path).where("chapter is not null or text is not null")

@@ -294,3 +294,40 @@ def test_compare(spark):
     assert "100%" in md and evaluate.parse_sizes("400:80") == (400, 80)
     two = evaluate.compare_embedders(ch, qs, [index.HashingEmbedder(16), index.HashingEmbedder(64)])
     assert two.count() == 2
+
+
+def test_chat_generator(monkeypatch):
+    """The request that a chat model gets, its answer, quota and other errors."""
+    import json
+
+    sent = []
+
+    def transport(url, headers, body, timeout):
+        sent.append((url, headers, json.loads(body)))
+        asked = sent[-1][2]["messages"][0]["content"]
+        if asked == "quota":
+            return 429, b"later"
+        if asked == "bad":
+            return 400, b"no"
+        return 200, json.dumps({"choices": [{"message": {"content": asked.upper()}}]}).encode() if asked else b"{}"
+
+    g = answer.ChatGenerator("https://h/v1/", "some-model", "A_KEY", transport=transport)
+    monkeypatch.setenv("A_KEY", " secret ")
+    assert g.generate("hello") == "HELLO" and g.generate("") == ""
+    url, headers, body = sent[0]
+    assert url == "https://h/v1/chat/completions" and headers["Authorization"] == "Bearer secret" and body["model"] == "some-model"
+    with pytest.raises(answer.RateLimit):
+        g.generate("quota")
+    with pytest.raises(RuntimeError, match="400"):
+        g.generate("bad")
+
+
+def test_many_queries_leave_the_native_way(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieve, "CELLS", 8)
+    v = spark.createDataFrame([(i, [float(i % 5), float(i % 3)]) for i in range(20)], "chunk_pos long, embedding array<double>")
+    q = v.select(F.col("chunk_pos").alias("q_id"), "embedding")
+    few = sorted(map(tuple, retrieve.dense_topk_native(q.where("q_id < 3"), v, 4).collect()))
+    assert few == sorted(map(tuple, retrieve.dense_topk(q.where("q_id < 3"), v, 4).collect()))
+    assert len(retrieve.dense_topk_native(q, v, 4).collect()) == 80
+
