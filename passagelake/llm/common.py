@@ -103,7 +103,13 @@ def bounded_batches(spark: SparkSession, nbytes: int = BATCH_BYTES) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder. A small one that lies in fewer files than there are cores
+    would be worked on by as few tasks: its rows are dealt out first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * (64 << 20) and len(df.inputFiles()) < cores // 2:
+        return df.repartition(cores)
+    return df
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
