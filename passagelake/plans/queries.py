@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return files.read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:

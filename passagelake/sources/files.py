@@ -42,6 +42,16 @@ def _remove_scratch() -> None:
             return
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. A small one that lies in fewer files than there are cores would be
+    read, and worked on, by as few tasks: its rows are dealt out first."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * (64 << 20) and len(df.inputFiles()) < cores // 2:
+        return df.repartition(cores)
+    return df
+
+
 def read_chapters(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; blank lines are skipped, a missing file raises."""
     return spark.read.schema(CHAPTERS).json(path).where("chapter is not null or text is not null")
