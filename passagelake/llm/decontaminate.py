@@ -3,14 +3,14 @@
 Texts are compared as lower-case words (ASCII letters folded, runs of other ASCII
 characters one space). A document holds an item if a stretch of it that begins and
 ends at word boundaries lies within :func:`limit` edits of the item. One formula sets
-the limit for all lengths: ``accept`` (20 %) of the bytes beyond the first
-``FLOOR`` (20), so short items must be closer and items of less than 25 bytes exact.
-
-1. Gate: each item votes by its rarer half of 4-byte grams (rare among the items of its
-   block). By the q-gram lemma a stretch within the limit keeps a known share of the
-   item's grams; a place is kept for an item if its window has half of that share of
-   the votes. Unlike grams of whole words, 4-byte grams survive edits as dense as the
-   limit allows.
+the limit for all lengths: ``accept`` (15 %) of the bytes beyond the first
+``FLOOR`` (20), so short items must be closer and items of less than 27 bytes exact.
+
+1. Gate: each item votes by the rarest quarter of its 5-byte grams (rare among the items
+   of its block), 16 at least. By the q-gram lemma a stretch within the limit keeps a
+   known share of the item's grams; a place is kept for an item if its window has three
+   fifths of that share of the votes. Unlike grams of whole words, 5-byte grams survive
+   edits as dense as the limit allows.
 2. At the starts that remain (word starts, and every character boundary next to or
    inside non-ASCII characters, since not every script parts its words), a window of
    the item's size is embedded by the CGK random walk: coordinate j is the current
