@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, mixing, perplexity, quality, simhash, suffix_dedup, toxicity, warc, wordpiece
+from . import decontaminate, filter_audit, html_extract, mixing, perplexity, quality, simhash, suffix_dedup, toxicity, warc, wordpiece
 
 QUERIES = {
     "op1_quality_trees": quality.op1_quality_trees,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_html_main_text": html_extract.op10_html_main_text,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op6_warc_round_trip": warc.OP6_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
     "op10_html_main_text": html_extract.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
