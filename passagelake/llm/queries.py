@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, html_extract, mixing, perplexity, quality, simhash, suffix_dedup, toxicity, warc, wordpiece
+from . import decontaminate, filter_audit, html_extract, mixing, perplexity, prefix_prints, quality, simhash, suffix_dedup, toxicity, warc, wordpiece
 
 QUERIES = {
     "op1_quality_trees": quality.op1_quality_trees,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_html_main_text": html_extract.op10_html_main_text,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_prefix_prints": prefix_prints.op12_prefix_prints,
 }
 
 SQL = {
