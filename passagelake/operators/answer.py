@@ -4,22 +4,19 @@ from __future__ import annotations
 
 import json
 import os
-import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import lang, text
-
-RATE_LIMITED = "rate_limit"
-
+from ..sources import files
+from .responses import RATE_LIMITED, Pace, RateLimit, call_once, is_rate_limit  # noqa: F401
 
 class Generator(Protocol):
     """What answers prompts."""
@@ -29,15 +26,6 @@ class Generator(Protocol):
     def generate(self, prompt: str) -> str: ...
 
 
-class RateLimit(RuntimeError):
-    """The generator is out of quota for now."""
-
-
-def is_rate_limit(error: BaseException) -> bool:
-    message = str(error).lower()
-    return isinstance(error, RateLimit) or "429" in message or "rate limit" in message or "rate_limit_exceeded" in message
-
-
 class ExtractiveGenerator:
     """Answers with the first sentence of the first passage and cites it; abstains
     without passages. Deterministic, for tests and offline use."""
@@ -153,32 +141,6 @@ def prompt_column(question: Column, context: Column, messages: Messages = Messag
     return F.concat(F.lit(rules + "\n\n"), kind, F.lit("\n\nQUESTION:\n"), question, F.lit("\n\nCONTEXT:\n"), context)
 
 
-def generated(rows: DataFrame, generator: Generator, prompt: str = "prompt", delay: float = 0.0, catch: bool = True) -> DataFrame:
-    """``rows`` with ``raw`` and ``error``. One partition paces the calls; a rate
-    limit becomes an error value if ``catch``, any other error is raised."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, raw string, error string"
-
-    def run(batches):
-        last = None
-        for pdf in batches:
-            raws, errors = [], []
-            for p in pdf[prompt]:
-                if delay and last is not None:
-                    time.sleep(max(0.0, delay - (time.monotonic() - last)))
-                last = time.monotonic()
-                try:
-                    raws.append(generator.generate(p))
-                    errors.append(None)
-                except Exception as e:
-                    if not (catch and is_rate_limit(e)):
-                        raise
-                    raws.append(None)
-                    errors.append(RATE_LIMITED)
-            yield pdf.assign(raw=raws, error=errors)
-
-    return (rows.coalesce(1) if delay else rows).mapInPandas(run, schema)
-
-
 def evidence_flags(questions: DataFrame, retrieved: DataFrame, subjects: Sequence[str] = ()) -> DataFrame:
     """(q_id, evidence): whether a passage among the first eight has a term of the
     question, exact or by stem; for where-questions also a subject with a place."""
@@ -225,20 +187,28 @@ def source_rows(cited: DataFrame, retrieved: DataFrame) -> DataFrame:
     return got.groupBy("q_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias("sources"))
 
 
-def answer_questions(questions: DataFrame, retrieved: DataFrame, generator: Generator, messages: Messages = Messages(), subjects: Sequence[str] = (), conf: Config = Config(), delay: float = 0.0) -> DataFrame:
+def answer_questions(questions: DataFrame, retrieved: DataFrame, generator: Generator, messages: Messages = Messages(), subjects: Sequence[str] = (), conf: Config = Config(), delay: float = 0.0, log: str | None = None, lanes: int = 1) -> DataFrame:
     """q_id, question, answer, citations, sources, retrieved_ranks, found, error.
 
+    The generator is called here, once a different prompt, and its answers go to ``log`` (a
+    path; without one to a table of this call): all columns of a row come from the same
+    answer, and a second run with the same log calls for nothing that it has. ``lanes`` tasks
+    share the quota of one call each ``delay`` seconds.
+
     ``retrieved`` is what retrieval gave for the questions. Empty questions and those
     without passages get fixed answers; rate limits become errors; where-questions
     that miss their target may take a rule's answer; an abstention in the face of
     evidence is asked once more with a shorter prompt, outside the rate-limit guard.
     """
     q = questions.select(F.col("q_id").cast("bigint").alias("q_id"), text.strip(F.coalesce("question", F.lit(""))).alias("question"))
+    retrieved = files.kept(retrieved, "retrieved")
+    log = log or files.scratch(q.sparkSession, "responses")
+    pace = Pace(delay, lanes)
     context = contexts(retrieved)
     counts = retrieved.groupBy("q_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     ready = q.join(context, "q_id", "left").join(counts, "q_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     asked = ready.where("question <> '' and n > 0").withColumn("prompt", prompt_column(F.col("question"), F.col("context"), messages))
-    first = generated(asked, generator, delay=delay).withColumn("answer", text.clean_answer("raw"))
+    first = call_once(asked, generator, log, pace=pace).withColumn("answer", text.clean_answer("raw"))
     first = first.withColumn("citations", text.extract_citations("answer", F.col("n"))).withColumn("abstained", text.abstains("answer"))
     flags = evidence_flags(q, retrieved, subjects)
     first = first.join(flags, "q_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit(False)))
@@ -248,9 +218,9 @@ def answer_questions(questions: DataFrame, retrieved: DataFrame, generator: Gene
         use = (text.question_type("question") == "where") & (F.col("abstained") | wrong) & F.col("place_answer").isNotNull() & F.col("error").isNull()
         first = first.withColumns({"answer": F.when(use, F.col("place_answer")).otherwise(F.col("answer")), "citations": F.when(use, F.array(F.col("place_rank").cast("int"))).otherwise(F.col("citations")), "abstained": ~use & F.col("abstained")}).drop("place_answer", "place_rank")
     answer, citations = with_default_citation(F.col("answer"), F.col("citations"), F.col("abstained") | F.col("error").isNotNull())
-    first = first.withColumns({"answer": answer, "citations": citations})
+    first = files.kept(first.withColumns({"answer": answer, "citations": citations}), "first")
     again = first.where("abstained and evidence and error is null").select("q_id", "n", F.concat(F.col("question"), F.lit(f"\n\n{messages.evidence_first}\n\n"), F.col("context")).alias("prompt"))
-    second = generated(again, generator, delay=delay, catch=False).withColumn("retry", text.clean_answer("raw")).withColumn("retry_cites", text.extract_citations("retry", F.col("n")))
+    second = call_once(again, generator, log, pace=pace, catch=False).withColumn("retry", text.clean_answer("raw")).withColumn("retry_cites", text.extract_citations("retry", F.col("n")))
     second = second.where((F.col("retry") != "") & ~text.abstains("retry"))
     retry, cites = with_default_citation(F.col("retry"), F.col("retry_cites"), F.lit(False))
     second = second.select("q_id", retry.alias("retry"), cites.alias("retry_cites"))
@@ -259,7 +229,7 @@ def answer_questions(questions: DataFrame, retrieved: DataFrame, generator: Gene
     none = F.array().cast("array<int>")
     done = done.select("q_id", "question", F.when(limited, F.lit(messages.rate_limited)).otherwise(F.col("answer")).alias("answer"), F.when(limited, none).otherwise(F.col("citations")).alias("citations"), (~limited & F.col("ok")).alias("found"), "error")
     rest = ready.where("question = '' or n = 0").select("q_id", "question", F.when(F.col("question") == "", F.lit(messages.empty_question)).otherwise(F.lit(messages.no_answer)).alias("answer"), none.alias("citations"), F.lit(False).alias("found"), F.lit(None).cast("string").alias("error"))
-    both = done.unionByName(rest)
+    both = files.kept(done.unionByName(rest), "answered")
     ranks = retrieved.groupBy("q_id").agg(F.sort_array(F.collect_list(F.col("rank").cast("int"))).alias("retrieved_ranks"))
     out = both.join(source_rows(both, retrieved), "q_id", "left").join(ranks, "q_id", "left")
     return out.select("q_id", "question", "answer", "citations", F.coalesce("sources", F.array().cast(f"array<{_SOURCE}>")).alias("sources"), F.coalesce("retrieved_ranks", none).alias("retrieved_ranks"), "found", "error")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..config import Config
 from ..functions import chunk, lang, text
 from ..schema import INDEX_INFO
+from ..sources import files
 
 
 def split_chapters(chapters: DataFrame, size: int, overlap: int, searched_starts: bool = False) -> DataFrame:
@@ -239,13 +240,8 @@ def build_index(chunks: DataFrame, embedder: Embedder, path: str, info: dict | N
     spark.createDataFrame([tuple(row[f.name] for f in schema.fields)], schema).write.mode("overwrite").parquet(f"{path}/info")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
-
-
 def index_exists(spark: SparkSession, path: str) -> bool:
-    return all(_exists(spark, f"{path}/{t}") for t in ("vectors", "info"))
+    return all(files.exists(spark, f"{path}/{t}") for t in ("vectors", "info"))
 
 
 # Places where an index is looked for.
@@ -262,7 +258,7 @@ def find_index(spark: SparkSession, configured: str = "", places: Sequence[str]
 
 
 def index_info(spark: SparkSession, path: str) -> dict:
-    return spark.read.parquet(f"{path}/info").first().asDict(recursive=True) if _exists(spark, f"{path}/info") else {}
+    return spark.read.parquet(f"{path}/info").first().asDict(recursive=True) if files.exists(spark, f"{path}/info") else {}
 
 
 def load_index(spark: SparkSession, path: str, embedder: Embedder | None = None) -> dict[str, DataFrame]:

@@ -10,21 +10,18 @@ from pyspark.sql import functions as F
 
 from ..config import Config, from_environment
 from ..operators import index
-from ..sources import files, wiki
-
-
-def fetch_book(spark: SparkSession, book: str, cache: str, conf: Config, main_page_html: str | None = None, refresh: bool = False) -> DataFrame:
-    """The pages of a book: titles of its contents page and of its prefix, fetched
-    where the cache lacks them."""
-    client = wiki.WikiClient(conf.wiki_api, conf.min_delay, conf.max_retries)
-    main = main_page_html if main_page_html is not None else client.page(book)["html"]
-    toc = [(i, t) for i, t in enumerate(wiki.toc_titles(main, book))]
-    found = [(t,) for t in client.titles_with_prefix(f"{book}/")]
-    ordered = wiki.with_extras(spark.createDataFrame(toc, "pos long, title string"), spark.createDataFrame(found, "title string"))
-    have = files.read_pages(spark, cache) if index._exists(spark, cache) else None
-    wanted = [r["title"] for r in wiki.missing_titles(ordered, have, refresh).collect()]
-    if wanted:
-        files.append_pages(wiki.read_titles(spark, wanted, conf), cache)
+from ..sources import crawl, files, wiki
+
+
+def fetch_book(spark: SparkSession, book: str, cache: str, conf: Config, main_page_html: str | None = None, refresh: bool = False, lanes: int = 1, transport: str = "http") -> DataFrame:
+    """The pages of a book: titles of its contents page and of its prefix, fetched where the
+    cache lacks them. A run that was cut off goes on with what it had."""
+    main = main_page_html if main_page_html is not None else crawl.client_of({"api": conf.wiki_api, "min_delay": conf.min_delay, "max_retries": conf.max_retries, "transport": transport}).page(book)["html"]
+    toc = spark.createDataFrame(list(enumerate(wiki.toc_titles(main, book))), "pos long, title string")  # the links of one page
+    listed = files.scratch(spark, "titles") if refresh else f"{cache}-titles"
+    found = crawl.crawl_titles(spark, f"{book}/", f"{listed}/list", f"{listed}/checkpoint", conf, transport)
+    ordered = files.kept(wiki.with_extras(toc, found.select("title")), "ordered")
+    crawl.crawl_pages(spark, ordered.select("title"), cache, conf, lanes, transport=transport, refresh=refresh)
     pages = files.latest_pages(files.read_pages(spark, cache))
     return pages.join(ordered.select(F.col("title").alias("requested_title"), "src", "pos"), "requested_title")
 
@@ -56,6 +53,7 @@ def main(args: Sequence[str] | None = None) -> None:
     p.add_argument("--index", default="index")
     p.add_argument("--skip-crawl", action="store_true", help="use the chapters that are there")
     p.add_argument("--refresh", action="store_true", help="fetch pages again")
+    p.add_argument("--lanes", type=int, default=1, help="tasks that share the pause between requests")
     p.add_argument("--chunk-size", type=int)
     p.add_argument("--chunk-overlap", type=int)
     a = p.parse_args(args)
@@ -64,7 +62,7 @@ def main(args: Sequence[str] | None = None) -> None:
     conf = Config(**{**conf.__dict__, **over})
     spark = SparkSession.builder.getOrCreate()
     if not a.skip_crawl:
-        pages = fetch_book(spark, a.book, f"{a.data}/pages", conf, refresh=a.refresh)
+        pages = fetch_book(spark, a.book, f"{a.data}/pages", conf, refresh=a.refresh, lanes=a.lanes)
         files.write_chapters(wiki.chapters_of(pages, a.book, a.author, conf.wiki_host), f"{a.data}/chapters")
     chapters = files.read_chapters(spark, f"{a.data}/chapters")
     build(spark, chapters, a.index, conf, a.book)

@@ -14,17 +14,41 @@ from ..functions import text
 from ..schema import CHAPTERS, CHUNKS, QUESTIONS, RAW_PAGES
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that driver and executors share
-    (``spark.checkpoint.dir``); only a local master may do without that setting. It is
-    removed when the driver ends."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); only a local
+    master may do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: no folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pl_shared_"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/passagelake/{what}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to a fresh path of the shared folder and read again: computed once,
+    whatever is built on it."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path is one file, in whatever store it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.exists(place) and store.getFileStatus(place).isFile()
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path in the shared folder; it is removed when the driver ends."""
+    path = f"{shared_folder(spark)}/passagelake/{what}-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
     return path
 

@@ -38,6 +38,10 @@ class ApiError(RuntimeError):
     """The API refused a request, or retries ran out."""
 
 
+class NoAnswer(ApiError):
+    """Retries ran out without an answer."""
+
+
 def http_get(url: str, timeout: float) -> tuple[int, dict, bytes]:
     request = urllib.request.Request(url, headers={"User-Agent": "passagelake/0.1"})
     try:
@@ -63,8 +67,13 @@ class WikiClient:
         self.api, self.min_delay, self.max_retries = api, min_delay, max_retries
         self.transport, self.sleep, self.clock, self.rng = transport, sleep, clock, random.Random(seed)
         self._last: float | None = None
+        #: Waits for the moment of the next request, in place of the pause since the last.
+        self.wait: Callable[[], None] | None = None
 
     def _pace(self) -> None:
+        if self.wait is not None:
+            self.wait()
+            return
         if self._last is not None:
             wait = self.min_delay - (self.clock() - self._last)
             wait += self.rng.uniform(0, 0.5)
@@ -101,7 +110,7 @@ class WikiClient:
                     trouble = error["code"]
             if attempt < self.max_retries:
                 self.sleep(pause_before_retry(attempt, after, self.rng))
-        raise ApiError(f"no answer after {self.max_retries} attempts: {trouble}")
+        raise NoAnswer(f"no answer after {self.max_retries} attempts: {trouble}")
 
     def titles_with_prefix(self, prefix: str) -> Iterator[str]:
         """All titles of the main namespace that begin with a prefix."""
