@@ -108,16 +108,20 @@ def expanded_queries(x: Column | str, most: int = 3) -> Column:
     return F.slice(F.transform(distinct, lambda v: v["text"]), 1, most)
 
 
+def _marker_share(content: Column, markers: list[str]) -> Column:
+    hits = sum((F.contains(content, F.lit(m)).cast("int") for m in markers), F.lit(0))
+    return F.least(hits / F.lit(3.0), F.lit(1.0))
+
+
+def hint_scores(normalized: Column | str) -> Column:
+    """By question type, :func:`hint_score` of a text that is normalised already."""
+    return F.create_map(*[x for kind, markers in lang.MARKERS.items() for x in (F.lit(kind), _marker_share(col(normalized), markers))])
+
+
 def hint_score(kind: Column, text: Column | str) -> Column:
     """Markers of the question's type in the text, three or more count as 1."""
-    content = normalize_text(text)
-    out = None
-    for name, markers in lang.MARKERS.items():
-        hits = sum((F.contains(content, F.lit(m)).cast("int") for m in markers), F.lit(0))
-        value = F.least(hits / F.lit(3.0), F.lit(1.0))
-        out = F.when(kind == name, value) if out is None else out.when(kind == name, value)
-    hits = sum((F.contains(content, F.lit(m)).cast("int") for m in lang.MARKERS[lang.DEFAULT_TYPE]), F.lit(0))
-    return out.otherwise(F.least(hits / F.lit(3.0), F.lit(1.0)))
+    scores = hint_scores(normalize_text(text))
+    return F.coalesce(scores[kind], scores[F.lit(lang.DEFAULT_TYPE)])
 
 
 def stem(x: Column | str) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
+import uuid
 from collections import Counter
 from collections.abc import Sequence
 from typing import Protocol
@@ -45,12 +47,24 @@ def chunk_documents(docs: DataFrame, size: int, overlap: int, key: str = "doc_id
 
 
 def with_positions(chunks: DataFrame) -> DataFrame:
-    """``chunk_pos``: dense reading order. The order is global, but only a count per
-    chapter passes the single window; rows add their place in the chapter."""
+    """``chunk_pos``: dense reading order over all chapters.
+
+    Chapters are sorted into ranges; each range adds up its own, and what comes before a
+    range is added from the totals of the ranges, one number each. No task sees all
+    chapters; rows add their place in the chapter."""
+    spark = chunks.sparkSession
     keys = ("chapter_no", "chapter", "source")
-    chapters = chunks.groupBy(*keys).agg(F.max("chunks_in_chapter").alias("n"))
-    order = Window.orderBy(F.coalesce(F.nullif("chapter_no", F.lit(0)), F.lit(1_000_000)), "chapter", "source").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chapters.select(*[F.col(c).alias(f"pl_{c}") for c in keys], F.coalesce(F.sum("n").over(order), F.lit(0)).alias("pl_before"))
+    order = [F.coalesce(F.nullif("chapter_no", F.lit(0)), F.lit(1_000_000)), F.col("chapter"), F.col("source")]
+    chapters = chunks.groupBy(*keys).agg(F.max("chunks_in_chapter").cast("bigint").alias("n"))
+    ranges = files.kept(chapters.repartitionByRange(*order).withColumn("pl_range", F.spark_partition_id()), "chapter-order")
+    totals, before = [], 0
+    for r in ranges.groupBy("pl_range").agg(F.sum("n").alias("n")).orderBy("pl_range").collect():
+        totals.append((r["pl_range"], before))
+        before += r["n"]
+    starts = spark.createDataFrame(totals, "pl_range int, pl_start bigint")
+    within = Window.partitionBy("pl_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.withColumn("pl_within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(starts), "pl_range")
+    offsets = placed.select(*[F.col(c).alias(f"pl_{c}") for c in keys], (F.col("pl_start") + F.col("pl_within")).alias("pl_before"))
     joined = chunks.join(offsets, F.expr(" and ".join(f"{c} <=> pl_{c}" for c in keys)))
     return joined.select(*chunks.columns, (F.col("pl_before") + F.col("chunk_index")).cast("bigint").alias("chunk_pos"))
 
@@ -214,34 +228,99 @@ def embedded(rows: DataFrame, embedder: Embedder, column: str = "text", query: b
     return rows.mapInPandas(run, schema)
 
 
+# --- forward rows -------------------------------------------------------------------
+
+
+def forward(passages: DataFrame, embedder: Embedder | None = None, pos: str = "chunk_pos", column: str = "text") -> DataFrame:
+    """(chunk_pos, dl, terms, tfs, embedding): what lexical and dense search know of a
+    passage, in one row, from one pass over its text. Without an embedder the vector is
+    null. Postings and vectors are views of it (:func:`postings_of`, :func:`vectors_of`)."""
+    rows = passages.select(F.col(pos).cast("bigint").alias("chunk_pos"), F.col(column).cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            tokens = [plain_tokens(x) for x in texts]
+            counts = [Counter(t) for t in tokens]
+            if embedder is None:
+                vectors = pa.nulls(len(texts), pa.list_(pa.float64()))
+            else:
+                found = embedder.embed_tokens(tokens) if hasattr(embedder, "embed_tokens") else embedder.embed_documents(texts)
+                vectors = pa.array(list(np.asarray(found, np.float64).reshape(len(texts), -1)), pa.list_(pa.float64()))
+            columns = [batch.column(0), pa.array(map(len, tokens), pa.int64()), pa.array(map(list, counts), pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64())), vectors]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk_pos", "dl", "terms", "tfs", "embedding"])
+
+    return rows.mapInArrow(run, "chunk_pos bigint, dl bigint, terms array<string>, tfs array<bigint>, embedding array<double>")
+
+
+def postings_of(rows: DataFrame) -> DataFrame:
+    """(chunk_pos, term, tf, dl) of forward rows."""
+    return rows.select("chunk_pos", F.explode(F.arrays_zip("terms", "tfs")).alias("p"), "dl").select("chunk_pos", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"), "dl")
+
+
+def vectors_of(rows: DataFrame) -> DataFrame:
+    return rows.select("chunk_pos", "embedding")
+
+
+def lengths_of(rows: DataFrame) -> DataFrame:
+    """The row of :func:`lengths` from forward rows."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+
+
+def terms_of(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """:func:`terms` from forward rows; only the terms are read."""
+    return terms(rows.select(F.explode("terms").alias("term")), stats)
+
+
+def _views(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {**tables, "vectors": vectors_of(tables["forward"]), "postings": postings_of(tables["forward"])}
+
+
 # --- store --------------------------------------------------------------------------
 
-TABLES = ("chunks", "vectors", "postings", "terms", "stats", "info")
+TABLES = ("chunks", "forward", "terms", "stats", "info")
+
 
+def build_index(chunks: DataFrame, embedder: Embedder, path: str, info: dict | None = None) -> str:
+    """Writes a version of the index: chunks, forward rows, terms, stats and one row of info
+    (``num_chunks`` and what the caller adds; the caller wins); returns its name.
 
-def build_index(chunks: DataFrame, embedder: Embedder, path: str, info: dict | None = None) -> None:
-    """Writes the index: chunks, vectors, postings, terms, stats and one row of info
-    (``num_chunks`` and what the caller adds; the caller wins)."""
+    A version is a folder of its own. Readers find it by the last row of ``path``/current,
+    which is added when all tables are there: until then, and if the build fails, they read
+    the version before."""
     spark = chunks.sparkSession
     if "chunk_pos" not in chunks.columns:
         chunks = with_positions(chunks)
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    chunks = spark.read.parquet(f"{path}/chunks")
-    embedded(chunks.select("chunk_pos", "text"), embedder).select("chunk_pos", "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
-    postings(chunks).write.mode("overwrite").parquet(f"{path}/postings")
-    post = spark.read.parquet(f"{path}/postings")
-    stats_of(post, chunks).write.mode("overwrite").parquet(f"{path}/stats")
-    stats = spark.read.parquet(f"{path}/stats")
-    terms(post, stats).write.mode("overwrite").parquet(f"{path}/terms")
+    version = uuid.uuid4().hex
+    at = f"{path}/{version}"
+    chunks.write.parquet(f"{at}/chunks")
+    chunks = spark.read.parquet(f"{at}/chunks")
+    forward(chunks, embedder).write.parquet(f"{at}/forward")
+    rows = spark.read.parquet(f"{at}/forward")
+    lengths_of(rows).write.parquet(f"{at}/stats")
+    stats = spark.read.parquet(f"{at}/stats")
+    terms_of(rows, stats).write.parquet(f"{at}/terms")
     row = {"num_chunks": int(stats.first()["n"]), "embedding_model": embedder.name, **(info or {})}
     known = [f"{name} {kind}" for name, kind in (x.split(" ") for x in INDEX_INFO.split(", ")) if name in row]
     more = [k for k in row if f" {k} " not in f" {INDEX_INFO} ".replace(", ", " , ")]
     schema = T.StructType([*T._parse_datatype_string(", ".join(known)).fields, *(spark.createDataFrame([{k: row[k] for k in more}]).schema.fields if more else [])])
-    spark.createDataFrame([tuple(row[f.name] for f in schema.fields)], schema).write.mode("overwrite").parquet(f"{path}/info")
+    spark.createDataFrame([tuple(row[f.name] for f in schema.fields)], schema).write.parquet(f"{at}/info")
+    spark.createDataFrame([(version, time.time())], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/current")
+    return version
+
+
+VERSIONS = "version string, built_at double"
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The finished versions of an index, the current one first."""
+    if not files.exists(spark, f"{path}/current"):
+        return []
+    return [r["version"] for r in spark.read.schema(VERSIONS).parquet(f"{path}/current").orderBy(F.desc("built_at"), "version").collect()]
 
 
 def index_exists(spark: SparkSession, path: str) -> bool:
-    return all(files.exists(spark, f"{path}/{t}") for t in ("vectors", "info"))
+    return bool(versions(spark, path))
 
 
 # Places where an index is looked for.
@@ -258,22 +337,26 @@ def find_index(spark: SparkSession, configured: str = "", places: Sequence[str]
 
 
 def index_info(spark: SparkSession, path: str) -> dict:
-    return spark.read.parquet(f"{path}/info").first().asDict(recursive=True) if files.exists(spark, f"{path}/info") else {}
+    found = versions(spark, path)
+    return spark.read.parquet(f"{path}/{found[0]}/info").first().asDict(recursive=True) if found else {}
 
 
 def load_index(spark: SparkSession, path: str, embedder: Embedder | None = None) -> dict[str, DataFrame]:
-    """The tables of an index. Raises if it is missing or made by another embedder."""
-    if not index_exists(spark, path):
+    """The tables of an index's current version, with vectors and postings as views. Raises
+    if it is missing or made by another embedder."""
+    found = versions(spark, path)
+    if not found:
         raise FileNotFoundError(f"no index at {path}")
     made_by = index_info(spark, path).get("embedding_model")
     if embedder is not None and made_by != embedder.name:
         raise ValueError(f"the index was made with {made_by}, not with {embedder.name}")
-    return {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
+    return _views({t: spark.read.parquet(f"{path}/{found[0]}/{t}") for t in TABLES})
 
 
 def memory_index(passages: DataFrame, embedder: Embedder, pos: str = "chunk_pos", column: str = "text") -> dict[str, DataFrame]:
-    """The same tables, not written. Column names as in a written index."""
+    """The same tables for the use of this session: forward rows and terms are written to the
+    shared folder once, and go when the driver ends."""
     chunks = passages.withColumn("chunk_pos", F.col(pos).cast("bigint")).withColumn("text", F.col(column))
-    post = postings(chunks)
-    stats = lengths(chunks)
-    return {"chunks": chunks, "vectors": embedded(chunks.select("chunk_pos", "text"), embedder).select("chunk_pos", "embedding"), "postings": post, "stats": stats, "terms": terms(post, stats)}
+    rows = files.kept(forward(chunks, embedder), "forward")
+    stats = files.kept(lengths_of(rows), "stats")
+    return _views({"chunks": chunks, "forward": rows, "stats": stats, "terms": files.kept(terms_of(rows, stats), "terms")})

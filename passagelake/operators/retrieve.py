@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import text
+from ..functions import lang, text
+from ..sources import files
 from .index import Embedder, embedded
 
 DIGITS = 9
@@ -147,6 +150,146 @@ def lexical_topk(questions: DataFrame, scores: DataFrame, passages: DataFrame, m
     return out.select("q_id", "chunk_pos", "bm25", F.col("rank").cast("bigint").alias("rank"))
 
 
+# --- one pass -----------------------------------------------------------------------
+
+
+def _least(values: np.ndarray, places: np.ndarray, k: int, keep: np.ndarray | None = None):
+    """Per row the k least values (ties by place): (row, place, value) arrays, sorted. Only
+    columns that may be among them are sorted."""
+    cut = np.partition(values, k - 1, 1)[:, k - 1 : k] if values.shape[1] > k else np.full((len(values), 1), np.inf)
+    near = values <= cut if keep is None else (values <= cut) & keep
+    row, col = np.nonzero(near)
+    value, place = values[row, col], places[col]
+    order = np.lexsort((place, value, row))
+    row, place, value = row[order], place[order], value[order]
+    first = np.searchsorted(row, row)  # where each row begins
+    fit = np.arange(len(row)) - first < k
+    return row[fit], place[fit], value[fit]
+
+
+class _Block:
+    """A block of questions as a worker holds it."""
+
+    def __init__(self, q_ids, v_ids, v_owner, vectors, terms, owner, weight, avgdl, k1, b):
+        self.q_ids, self.v_ids, self.v_owner, self.vectors = q_ids, v_ids, v_owner, vectors
+        order = np.argsort(terms, kind="stable")
+        self.terms, starts = np.unique(np.array(terms, object)[order], return_index=True) if len(terms) else (np.array([], object), np.array([], np.int64))
+        self.starts = np.append(starts, len(terms)).astype(np.int64)
+        self.owner, self.weight = np.asarray(owner, np.int64)[order], np.asarray(weight, np.float64)[order]
+        self.avgdl, self.k1, self.b = avgdl, k1, b
+
+    def distances(self, embeddings: np.ndarray) -> np.ndarray:
+        """(variants, passages), exact differences in slices."""
+        d = np.empty((len(self.vectors), len(embeddings)))
+        step = max(1, CELLS // max(1, embeddings.size))
+        for lo in range(0, len(d), step):
+            diff = self.vectors[lo : lo + step, None, :] - embeddings[None, :, :]
+            d[lo : lo + step] = np.einsum("qvd,qvd->qv", diff, diff)
+        return np.round(d, DIGITS)
+
+    def scores(self, rows: pa.RecordBatch) -> np.ndarray:
+        """(questions, passages): BM25 of the postings of these passages, added up here:
+        all terms of a passage are in its row."""
+        n = rows.num_rows
+        lists = rows.column("terms")
+        if not len(self.terms) or not n:
+            return np.zeros((len(self.q_ids), n))
+        counts = pc.list_value_length(lists).to_numpy()
+        at = pc.index_in(lists.flatten(), pa.array(self.terms, pa.string()))
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        term = at.drop_null().to_numpy().astype(np.int64)
+        passage = np.repeat(np.arange(n), counts)[known]
+        tf = rows.column("tfs").flatten().to_numpy()[known].astype(np.float64)
+        dl = rows.column("dl").to_numpy().astype(np.float64)[passage]
+        part = tf * (self.k1 + 1.0) / (tf + self.k1 * (1.0 - self.b + self.b * dl / self.avgdl))
+        many = self.starts[term + 1] - self.starts[term]  # the questions that have the term
+        slot = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.starts[term], many)
+        cell = self.owner[slot] * n + np.repeat(passage, many)
+        return np.round(np.bincount(cell, self.weight[slot] * np.repeat(part, many), len(self.q_ids) * n).reshape(-1, n), DIGITS)
+
+
+def _pass_of(shared, k: int, m: int):
+    def run(batches):
+        block: _Block = shared.value
+        near, lex = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)], [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        width = max(1, CELLS // max(1, len(block.q_ids), len(block.v_ids)))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, width):
+                rows = batch.slice(lo, width)
+                places = rows.column("chunk_pos").to_numpy()
+                scores = block.scores(rows)
+                if m:
+                    row, place, value = _least(-scores, places, m, scores > 0)
+                    lex = _merged([lex[0], lex[1], lex[2]], [row, place, value], m)
+                if k:
+                    d = block.distances(np.stack(rows.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64))
+                    row, place, value = _least(d, places, k)
+                    column = np.searchsorted(places, place) if (np.diff(places) > 0).all() else np.array([{p: i for i, p in enumerate(places.tolist())}[p] for p in place.tolist()], np.int64)
+                    near = _merged(near, [row, place, value, scores[block.v_owner[row], column]], k)
+        yield pa.RecordBatch.from_arrays([pa.array(block.v_ids[near[0]]), pa.array(near[1]), pa.array(near[2]), pa.array(near[3])], ["id", "chunk_pos", "dist", "bm25"])
+        yield pa.RecordBatch.from_arrays([pa.array(block.q_ids[lex[0]]), pa.array(lex[1]), pa.nulls(len(lex[1]), pa.float64()), pa.array(-lex[2])], ["id", "chunk_pos", "dist", "bm25"])
+
+    return run
+
+
+def _merged(held: list, more: list, k: int) -> list:
+    """Two lists (row, place, value, ...), the k least values of each row."""
+    both = [np.concatenate(x) for x in zip(held, more)]
+    order = np.lexsort((both[1], both[2], both[0]))
+    both = [x[order] for x in both]
+    fit = np.arange(len(order)) - np.searchsorted(both[0], both[0]) < k
+    return [x[fit] for x in both]
+
+
+def one_pass(questions: DataFrame, rows: DataFrame, terms: DataFrame, stats: DataFrame, k: int = 0, m: int = 0, variants: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """Dense and lexical search in one pass over forward rows.
+
+    ``questions`` is (q_id, question); ``variants`` (q_id, v_id, embedding) if there is a
+    dense side. Returns (v_id, chunk_pos, dist, bm25), the k nearest passages of each variant
+    with their lexical score, and (q_id, chunk_pos, bm25), the m best positive scores.
+
+    Questions come to the driver in blocks of at most ``QUERY_BLOCK``; a task holds one block
+    and streams the passages past it. A passage's terms are all in its row, so scores are
+    added up where it lies, and what a task sends on is k or m rows a question.
+    """
+    spark = rows.sparkSession
+    q = questions.select(F.col("q_id").cast("bigint").alias("q_id"), "question")
+    weights = question_terms(q).join(terms.select("term", "idf"), "term").groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms"))
+    held = q.select("q_id").distinct().join(weights, "q_id", "left")
+    if variants is not None:
+        held = held.join(variants.groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("v_id", "embedding"))).alias("variants")), "q_id", "left")
+    avgdl = float(stats.first()["avgdl"])
+    schema, found, block = "id bigint, chunk_pos bigint, dist double, bm25 double", None, []
+
+    def searched(block: list) -> DataFrame:
+        owner = [i for i, r in enumerate(block) for _ in r["terms"] or []]
+        pairs = [t for r in block for t in r["terms"] or []]
+        every = [(i, v) for i, r in enumerate(block) for v in (r["variants"] or [] if variants is not None else [])]
+        made = _Block(
+            np.array([r["q_id"] for r in block], np.int64), np.array([v["v_id"] for _, v in every], np.int64), np.array([i for i, _ in every], np.int64),
+            np.array([v["embedding"] for _, v in every], np.float64), [t["term"] for t in pairs], owner, [t["idf"] for t in pairs], avgdl, k1, b,
+        )
+        return rows.mapInArrow(_pass_of(spark.sparkContext.broadcast(made), k if every else 0, m), schema)
+
+    for r in held.orderBy("q_id").toLocalIterator():
+        block.append(r)
+        if len(block) == QUERY_BLOCK:
+            part, block = searched(block), []
+            found = part if found is None else found.unionByName(part)
+    if block:
+        part = searched(block)
+        found = part if found is None else found.unionByName(part)
+    found = files.kept(found, "found") if found is not None else spark.createDataFrame([], schema)
+    near = ranked(found.where("dist is not null"), ["id"], [F.col("dist"), F.col("chunk_pos")], k).drop("rank").withColumnRenamed("id", "v_id")
+    best = ranked(found.where("dist is null"), ["id"], [F.desc("bm25"), F.col("chunk_pos")], m).drop("rank", "dist").withColumnRenamed("id", "q_id")
+    return near, best
+
+
+def lexical_search(questions: DataFrame, rows: DataFrame, terms: DataFrame, stats: DataFrame, m: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(q_id, chunk_pos, bm25, rank): :func:`lexical_topk` by :func:`one_pass`."""
+    return lexical_topk(questions, one_pass(questions, rows, terms, stats, m=m, k1=k1, b=b)[1], rows, m)
+
+
 # --- fusion -------------------------------------------------------------------------
 
 
@@ -184,29 +327,44 @@ def retrieve(questions: DataFrame, index: dict[str, DataFrame], embedder: Embedd
     variants = q.select("q_id", F.posexplode(text.expanded_queries("question")).alias("variant", "text"))
     spread = variants.withColumn("v_id", F.col("q_id") * 4 + F.col("variant"))
     q_vectors = embedded(spread.select("v_id", "text"), embedder, query=True).select(F.col("v_id").alias("q_id"), "embedding")
-    near = dense_topk(q_vectors, index["vectors"], conf.semantic_k).withColumn("q_id", F.floor(F.col("q_id") / 4).cast("bigint"))
-    dense = min_over_variants(near)
-    scores = bm25(question_terms(q), index["postings"], index["terms"], index["stats"], conf.bm25_k1, conf.bm25_b)
-    top = lexical_topk(q, scores, index["chunks"], max(40, 5 * final_k))
-    pool = dense.select("q_id", "chunk_pos").unionByName(top.select("q_id", "chunk_pos")).distinct()
-    pool = pool.join(dense, ["q_id", "chunk_pos"], "left").join(scores, ["q_id", "chunk_pos"], "left")
-    pool = pool.select("q_id", "chunk_pos", F.coalesce("dist", F.lit(conf.missing_distance)).alias("dist"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
-    kinds = q.select("q_id", text.question_type("question").alias("kind"))
-    full = pool.join(index["chunks"], "chunk_pos").join(kinds, "q_id").withColumn("norm", text.normalize_text("text")).withColumn("hint_score", text.hint_score(F.col("kind"), "text"))
-    best = ranked(keep_first_text(fuse(full, conf)), ["q_id"], [F.desc("score"), F.col("chunk_pos")], final_k)
+    m = max(40, 5 * final_k)
+    owned = q_vectors.select(F.floor(F.col("q_id") / 4).cast("bigint").alias("q_id"), F.col("q_id").alias("v_id"), "embedding")
+    near, lexical = one_pass(q, index["forward"], index["terms"], index["stats"], conf.semantic_k, m, owned, conf.bm25_k1, conf.bm25_b)
+    top = lexical_topk(q, lexical, index["forward"], m)
+    dense = near.select(F.floor(F.col("v_id") / 4).cast("bigint").alias("q_id"), "chunk_pos", "dist", "bm25")
+    pool = dense.unionByName(top.select("q_id", "chunk_pos", F.lit(None).cast("double").alias("dist"), "bm25")).groupBy("q_id", "chunk_pos").agg(F.min("dist").alias("dist"), F.max("bm25").alias("bm25"))
+    pool = pool.withColumn("dist", F.coalesce("dist", F.lit(conf.missing_distance)))
+    pool = files.kept(pool.join(q.select("q_id", text.question_type("question").alias("kind")), "q_id"), "pool")
+    full = pool.join(_marked(index["chunks"], pool), "chunk_pos").withColumn("hint_score", _hint_of(F.col("kind")))
+    best = ranked(keep_first_text(fuse(full.drop("hints"), conf)), ["q_id"], [F.desc("score"), F.col("chunk_pos")], final_k)
     if final_k > conf.semantic_k:
-        best = _filled_up(best, near_k=final_k, q_vectors=q_vectors, kinds=kinds, index=index)
-    return best.drop("norm", "kind", "dist", "bm25").withColumn("rank", F.col("rank").cast("bigint"))
+        best = _filled_up(best, final_k, q_vectors, q, index)
+    best = best.select("q_id", F.col("rank").cast("bigint").alias("rank"), "chunk_pos", "score", "semantic_score", "lexical_score", "hint_score")
+    return best.join(index["chunks"], "chunk_pos").select(*best.columns, *[c for c in index["chunks"].columns if c != "chunk_pos"])
+
+
+def _marked(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(chunk_pos, norm, hints) of the passages that ``pairs`` has: a digest of the
+    normalised text (empty if that is) and the hint score for each type of question. What
+    depends on the text is worked out once a passage, so that no text moves with the pairs."""
+    met = chunks.join(pairs.select("chunk_pos").distinct(), "chunk_pos", "left_semi").select("chunk_pos", text.normalize_text("text").alias("body"))
+    return met.select("chunk_pos", F.when(F.col("body") == "", "").otherwise(F.sha2("body", 256)).alias("norm"), text.hint_scores("body").alias("hints"))
+
+
+def _hint_of(kind: Column) -> Column:
+    return F.coalesce(F.col("hints")[kind], F.col("hints")[lang.DEFAULT_TYPE])
 
 
-def _filled_up(best: DataFrame, near_k: int, q_vectors: DataFrame, kinds: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+def _filled_up(best: DataFrame, near_k: int, q_vectors: DataFrame, questions: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     """Questions short of results take their next nearest passages, scored by
     distance alone: max(0, 0.4 - d / 10)."""
+    kinds = questions.select("q_id", text.question_type("question").alias("kind"))
     near = dense_topk(q_vectors, index["vectors"], near_k).withColumn("variant", F.col("q_id") % 4).withColumn("q_id", F.floor(F.col("q_id") / 4).cast("bigint"))
-    more = near.join(index["chunks"], "chunk_pos").join(kinds, "q_id").withColumn("norm", text.normalize_text("text")).where("norm <> ''")
+    near = files.kept(near, "near")
+    more = near.join(_marked(index["chunks"], near), "chunk_pos").join(kinds, "q_id").where("norm <> ''")
     more = more.join(best.select("q_id", "norm"), ["q_id", "norm"], "left_anti")
     more = ranked(more.withColumnRenamed("rank", "near_rank"), ["q_id", "norm"], [F.col("variant"), F.col("near_rank")], 1, "pl_first").drop("pl_first")
     value = F.greatest(F.lit(0.0), 0.40 - F.col("dist") / 10.0)
-    more = more.withColumn("score", value).withColumn("semantic_score", value).withColumn("lexical_score", F.lit(0.0)).withColumn("hint_score", text.hint_score(F.col("kind"), "text")).withColumn("bm25", F.lit(0.0))
+    more = more.withColumn("score", value).withColumn("semantic_score", value).withColumn("lexical_score", F.lit(0.0)).withColumn("hint_score", _hint_of(F.col("kind"))).withColumn("bm25", F.lit(0.0)).drop("hints")
     both = best.withColumn("later", F.lit(0)).withColumn("variant", F.lit(0)).withColumn("near_rank", F.col("rank").cast("bigint")).unionByName(more.withColumn("later", F.lit(1)).withColumn("rank", F.lit(0)), allowMissingColumns=True)
     return ranked(both.drop("rank"), ["q_id"], [F.col("later"), F.col("variant"), F.col("near_rank")], near_k).drop("later", "variant", "near_rank")

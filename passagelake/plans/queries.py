@@ -220,13 +220,18 @@ def text_keys(spark, d):
 # --- lexical and dense retrieval ----------------------------------------------------
 
 
+def _lexical(spark, d):
+    """Passages, questions, and the forward rows, terms and stats of the passages."""
+    p = passages(spark, d)
+    rows = files.kept(I.forward(p), "forward")
+    stats = I.lengths_of(rows)
+    return p, questions(spark, d), rows, I.terms_of(rows, stats), stats
+
+
 def _bm25(spark, d):
-    """Passages, questions and scores; the postings are written once and read again."""
-    p, qs, path = passages(spark, d), questions(spark, d), files.scratch(spark, "postings")
-    I.postings(p).write.parquet(path)
-    post = spark.read.parquet(path)
-    stats = I.stats_of(post, p)
-    return p, qs, R.bm25(R.question_terms(qs), post, I.terms(post, stats), stats)
+    """Passages, questions and scores over postings."""
+    p, qs, rows, terms, stats = _lexical(spark, d)
+    return p, qs, R.bm25(R.question_terms(qs), I.postings_of(rows), terms, stats)
 
 
 def _index(spark, d, embedder):
@@ -238,8 +243,8 @@ def _index(spark, d, embedder):
 
 @query("bm25_topk", f"WITH {BM25} SELECT q_id, chunk_pos, round(bm25, 6) AS bm25, rank::BIGINT AS rank FROM lex")
 def bm25_topk(spark, d):
-    p, qs, scores = _bm25(spark, d)
-    return R.lexical_topk(qs, scores, p, TOP).withColumn("bm25", F.round("bm25", 6))
+    _, qs, rows, terms, stats = _lexical(spark, d)
+    return R.lexical_search(qs, rows, terms, stats, TOP).withColumn("bm25", F.round("bm25", 6))
 
 
 @query("bm25_passages", f"WITH {BM25} SELECT q_id, rank::BIGINT AS rank, chunk_pos, text FROM lex JOIN documents ON doc_id = chunk_pos WHERE rank <= 5")
@@ -308,8 +313,8 @@ def hybrid_fusion(spark, d):
 
 @query("candidate_union", f"WITH {HYBRID} SELECT q_id, chunk_pos FROM ids")
 def candidate_union(spark, d):
-    p, qs, scores = _bm25(spark, d)
-    lex = R.lexical_topk(qs, scores, p, TOP)
+    p, qs, rows, terms, stats = _lexical(spark, d)
+    lex = R.lexical_search(qs, rows, terms, stats, TOP)
     e = I.HashingEmbedder(DIM)
     spread = qs.select("q_id", F.posexplode(text.expanded_queries("question")).alias("v", "text")).select((F.col("q_id") * 4 + F.col("v")).alias("v_id"), "text")
     near = R.dense_topk(I.embedded(spread, e, query=True).select(F.col("v_id").alias("q_id"), "embedding"), I.embedded(p.select("chunk_pos", "text"), e), 24)
@@ -609,8 +614,8 @@ ENTRY = f"'[' || rank || '] {lang.LABEL_CHAPTER}: ' || coalesce(nullif(chapter,
 
 
 def _top5(spark, d):
-    p, qs, scores = _bm25(spark, d)
-    return R.lexical_topk(qs, scores, p, TOP).where("rank <= 5").join(p, "chunk_pos")
+    p, qs, rows, terms, stats = _lexical(spark, d)
+    return R.lexical_search(qs, rows, terms, stats, TOP).where("rank <= 5").join(p, "chunk_pos")
 
 
 @query("context_string", f"WITH {TOP5} SELECT q_id, string_agg({ENTRY}, chr(10) || chr(10) ORDER BY rank) AS context FROM top5 GROUP BY q_id")
