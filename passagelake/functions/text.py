@@ -239,6 +239,11 @@ def percent(x: Column | str) -> Column:
     return F.concat(F.bround(col(x) * 100, 0).cast("int").cast("string"), F.lit("%"))
 
 
+def time_label(x: Column | str) -> Column:
+    """A moment as it is written beside a fetched page, in the session's time zone."""
+    return F.date_format(col(x), "yyyy-MM-dd HH:mm:ss")
+
+
 def title_key(x: Column | str) -> Column:
     return F.substring(F.sha1(col(x)), 1, 12)
 

@@ -94,6 +94,13 @@ def locate(questions: DataFrame, chapters: DataFrame) -> DataFrame:
     return found.join(keys, "keyword").select("q_id", "chapter", "chapter_no", "keyword", "n")
 
 
+def located_lines(found: DataFrame) -> DataFrame:
+    """(q_id, place, line): chapters by the number of their occurrences, as they are shown."""
+    totals = found.groupBy("q_id", "chapter").agg(F.sum("n").alias("n"))
+    placed = ranked(totals, ["q_id"], [F.desc("n"), F.col("chapter")], None, "place")
+    return placed.select("q_id", F.col("place").cast("bigint").alias("place"), F.concat_ws("\t", F.col("q_id"), "chapter", F.col("n")).alias("line"))
+
+
 def suggested_sources(found: DataFrame, k: int = 2) -> DataFrame:
     """(q_id, suggested): the k chapters with most keyword occurrences; ties keep the
     order of the chapters."""

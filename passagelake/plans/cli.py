@@ -13,7 +13,6 @@ import pathlib
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from ..config import Config, from_environment
 from ..operators import answer, evaluate, index, retrieve
@@ -42,8 +41,8 @@ def run_evaluation(spark: SparkSession, a: argparse.Namespace, conf: Config, gen
         if a.write:
             questions = evaluate.fill_sources(questions, chapters).cache()
             files.write_questions(questions, a.questions)
-        found = evaluate.locate(questions, chapters).groupBy("q_id", "chapter").agg(F.sum("n").alias("n")).orderBy("q_id", F.desc("n"), "chapter")
-        out["located"] = "\n".join(f"{r['q_id']}\t{r['chapter']}\t{r['n']}" for r in found.collect())
+        lines = evaluate.located_lines(evaluate.locate(questions, chapters)).orderBy("q_id", "place")
+        out["located"] = "\n".join(r["line"] for r in lines.collect())
     if a.write_table or a.write:
         out["questions"] = evaluate.question_table(questions)
     if a.retrieval:

@@ -204,14 +204,6 @@ def page_number_lines(spark, d):
 
 
 STEM = "CASE " + " ".join(f"WHEN ends_with(w, {q(s)}) AND length(w) >= {len(s) + 3} THEN left(w, length(w) - {len(s)})" for s in lang.SUFFIXES) + " ELSE w END"
-WORDS = lang.nfc(["দেবদাসের", "পার্ব্বতীকে", "ঘর", "তাহাদের", "বাড়ির", "চন্দ্রমুখী", "নদীর", "কে", "র", "মানুষের", "লোকদের", "word"])
-
-
-@query("stems", f"SELECT w, {STEM} AS stem FROM (SELECT unnest({q_list(WORDS)}) AS w)")
-def stems(spark, d):
-    return spark.createDataFrame([(w,) for w in WORDS], "w string").select("w", text.stem("w").alias("stem"))
-
-
 @query("text_keys", "SELECT page_id, substr(sha1(url), 1, 12) AS key, replace(replace(url, '|', '\\|'), chr(10), ' ') AS escaped FROM pages")
 def text_keys(spark, d):
     return t(spark, d, "pages").select("page_id", text.title_key("url").alias("key"), text.md_escape("url").alias("escaped"))
@@ -558,17 +550,17 @@ def suggested_sources(spark, d):
     return E.suggested_sources(_located(spark, d)).withColumn("suggested", F.array_join("suggested", ","))
 
 
-def _compared(size: int, overlap: int) -> str:
-    return f"""SELECT 'chunk_size={size}, overlap={overlap}' AS approach, (SELECT n FROM (WITH {chunk_ctes('SELECT doc_id, text AS whole FROM documents', size, overlap)} SELECT count(*)::BIGINT AS n FROM chunk)) AS n_chunks,
+def _compared(size: int, overlap: int, dim: int = DIM, name: str = "") -> str:
+    return f"""SELECT '{name or f'chunk_size={size}, overlap={overlap}'}' AS approach, (SELECT n FROM (WITH {chunk_ctes('SELECT doc_id, text AS whole FROM documents', size, overlap)} SELECT count(*)::BIGINT AS n FROM chunk)) AS n_chunks,
   count(*) FILTER (r <= 1) / count(*)::DOUBLE AS hit_at_1, count(*) FILTER (r <= 3) / count(*)::DOUBLE AS hit_at_3, count(*) FILTER (r <= 5) / count(*)::DOUBLE AS hit_at_5
 FROM (WITH {chunk_ctes('SELECT doc_id, text AS whole FROM documents', size, overlap)},
   pc AS (SELECT row_number() OVER (ORDER BY coalesce(nullif(doc_id, 0), 1000000), doc_id, pos) AS cp, text FROM chunk),
-  kc AS (SELECT cp, ('0x' || substr(md5(unnest({sql_tokens('text')})), 1, 8))::BIGINT % {DIM} AS b FROM pc),
+  kc AS (SELECT cp, ('0x' || substr(md5(unnest({sql_tokens('text')})), 1, 8))::BIGINT % {dim} AS b FROM pc),
   mc AS (SELECT cp, map_from_entries(list((b, c))) AS m, sqrt(sum(c * c)) AS norm FROM (SELECT cp, b, count(*)::DOUBLE AS c FROM kc GROUP BY ALL) GROUP BY cp),
-  vc AS (SELECT cp, text, list_transform(range({DIM}), lambda i: coalesce(m[i], 0.0::DOUBLE) / coalesce(norm, 1.0::DOUBLE)) AS v FROM pc LEFT JOIN mc USING (cp)),
-  kq AS (SELECT item_id, ('0x' || substr(md5(unnest({sql_tokens('nfc_normalize(text)')})), 1, 8))::BIGINT % {DIM} AS b FROM benchmark),
+  vc AS (SELECT cp, text, list_transform(range({dim}), lambda i: coalesce(m[i], 0.0::DOUBLE) / coalesce(norm, 1.0::DOUBLE)) AS v FROM pc LEFT JOIN mc USING (cp)),
+  kq AS (SELECT item_id, ('0x' || substr(md5(unnest({sql_tokens('nfc_normalize(text)')})), 1, 8))::BIGINT % {dim} AS b FROM benchmark),
   mq AS (SELECT item_id, map_from_entries(list((b, c))) AS m, sqrt(sum(c * c)) AS norm FROM (SELECT item_id, b, count(*)::DOUBLE AS c FROM kq GROUP BY ALL) GROUP BY item_id),
-  vq AS (SELECT item_id, list_transform(range({DIM}), lambda i: coalesce(m[i], 0.0::DOUBLE) / norm) AS v FROM mq),
+  vq AS (SELECT item_id, list_transform(range({dim}), lambda i: coalesce(m[i], 0.0::DOUBLE) / norm) AS v FROM mq),
   nq AS (SELECT item_id, cp, text, row_number() OVER (PARTITION BY item_id ORDER BY dist, cp) AS rank FROM (SELECT item_id, cp, vc.text, {sql_square('vq.v', 'vc.v')} AS dist FROM vq CROSS JOIN vc))
   SELECT b.item_id, min(CASE WHEN contains(n.text, b.text) THEN rank END) AS r FROM benchmark b LEFT JOIN (SELECT * FROM nq WHERE rank <= 5) n USING (item_id) GROUP BY b.item_id)"""
 
@@ -769,11 +761,14 @@ ASKED = lang.nfc(
         "তিনি কেন রাগ করিলেন?", "কীভাবে বাড়ি ফিরিল?", "নদীর নাম কী?", "একে একে সবাই গেল", "Who is   [he] — now?", "", "  কে?  ",
     ]
 )
-ASKED_SQL = "asked AS (SELECT unnest(range(" + str(len(ASKED)) + ")) AS id, unnest(" + q_list(ASKED) + ") AS question)"
+ASKED_SQL = f"asked AS (SELECT conv_id, turn, list_extract({q_list(ASKED)}, ((conv_id + turn) % {len(ASKED)} + 1)::INT) || ' ' || text AS question FROM conversations)"
 
 
-def _asked(spark):
-    return spark.createDataFrame(list(enumerate(ASKED)), "id long, question string")
+def _asked(spark, d):
+    """Turns of conversations as questions of all types: each begins with one of ASKED."""
+    c = t(spark, d, "conversations")
+    begins = F.element_at(F.array(*map(F.lit, ASKED)), ((F.col("conv_id") + F.col("turn")) % len(ASKED) + 1).cast("int"))
+    return c.select("conv_id", "turn", F.concat(begins, F.lit(" "), "text").alias("question"))
 
 
 def sql_type(x: str) -> str:
@@ -786,9 +781,9 @@ def sql_type(x: str) -> str:
     return f"CASE {' '.join(cases)} ELSE {q(lang.DEFAULT_TYPE)} END"
 
 
-@query("question_types", f"WITH {ASKED_SQL} SELECT id::BIGINT AS id, {sql_type(sql_norm('question'))} AS kind FROM asked")
+@query("question_types", f"WITH {ASKED_SQL} SELECT conv_id, turn, {sql_type(sql_norm('question'))} AS kind FROM asked")
 def question_types(spark, d):
-    return _asked(spark).select("id", text.question_type("question").alias("kind"))
+    return _asked(spark, d).select("conv_id", "turn", text.question_type("question").alias("kind"))
 
 
 @query("question_type_counts", f"WITH {ASKED_SQL} SELECT kind, count(*)::BIGINT AS n FROM (SELECT {sql_type(sql_norm('question'))} AS kind FROM asked) GROUP BY kind")
@@ -803,42 +798,211 @@ COLLAPSE = f"trim(regexp_replace(v, '[{SPACE}]+', ' ', 'g'))"
 
 @query(
     "expanded_queries",
-    f"""WITH {ASKED_SQL}, s AS (SELECT id, regexp_replace(question, {STRIP}) AS s FROM asked), k AS (SELECT id, s, {sql_type(sql_norm('s'))} AS kind, {EXTRA} AS extra FROM s),
-w AS (SELECT id, 0 AS i, s AS v FROM k UNION ALL SELECT id, 1, s || ' ' || {HINT_CASE} FROM k UNION ALL SELECT id, 2, s || ' ' || array_to_string({sql_distinct('extra')}, ' ') FROM k WHERE len(extra) > 0),
-f AS (SELECT id, i, {COLLAPSE} AS v, row_number() OVER (PARTITION BY id, {sql_norm('v')} ORDER BY i) AS r FROM w WHERE {sql_norm('v')} <> '')
-SELECT id::BIGINT AS id, string_agg(v, ' / ' ORDER BY i) AS variants FROM f WHERE r = 1 GROUP BY id""",
+    f"""WITH {ASKED_SQL}, s AS (SELECT conv_id, turn, regexp_replace(question, {STRIP}) AS s FROM asked), k AS (SELECT conv_id, turn, s, {sql_type(sql_norm('s'))} AS kind, {EXTRA} AS extra FROM s),
+w AS (SELECT conv_id, turn, 0 AS i, s AS v FROM k UNION ALL SELECT conv_id, turn, 1, s || ' ' || {HINT_CASE} FROM k UNION ALL SELECT conv_id, turn, 2, s || ' ' || array_to_string({sql_distinct('extra')}, ' ') FROM k WHERE len(extra) > 0),
+f AS (SELECT conv_id, turn, i, {COLLAPSE} AS v, row_number() OVER (PARTITION BY conv_id, turn, {sql_norm('v')} ORDER BY i) AS r FROM w WHERE {sql_norm('v')} <> '')
+SELECT conv_id, turn, string_agg(v, ' / ' ORDER BY i) AS variants FROM f WHERE r = 1 GROUP BY conv_id, turn""",
 )
 def expanded_queries(spark, d):
-    return _asked(spark).select("id", F.array_join(text.expanded_queries("question"), " / ").alias("variants")).where("variants <> ''")
+    return _asked(spark, d).select("conv_id", "turn", F.array_join(text.expanded_queries("question"), " / ").alias("variants")).where("variants <> ''")
 
 
 HINT_BY_TYPE = "CASE kind " + " ".join(f"WHEN {q(k)} THEN least(({' + '.join(f'contains(n, {q(m)})::INT' for m in v)}) / 3.0::DOUBLE, 1.0::DOUBLE)" for k, v in lang.MARKERS.items()) + " END"
 
 
-@query("hint_score", f"WITH {ASKED_SQL}, p AS (SELECT a.id AS id, b.id AS other, {sql_type(sql_norm('a.question'))} AS kind, {sql_norm('b.question')} AS n FROM asked a CROSS JOIN asked b) SELECT id::BIGINT AS id, other::BIGINT AS other, round({HINT_BY_TYPE}, 6) AS hint FROM p")
+@query("hint_score", f"WITH {ASKED_SQL}, p AS (SELECT a.conv_id AS conv_id, a.turn AS turn, {sql_type(sql_norm('a.question'))} AS kind, {sql_norm('b.question')} AS n FROM asked a JOIN asked b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, round({HINT_BY_TYPE}, 6) AS hint FROM p")
 def hint_score(spark, d):
-    a, b = _asked(spark), _asked(spark).select(F.col("id").alias("other"), F.col("question").alias("body"))
-    return a.join(F.broadcast(b)).select("id", "other", F.round(text.hint_score(text.question_type("question"), "body"), 6).alias("hint"))
+    """How well the next turn of a conversation suits the question of each turn."""
+    a = _asked(spark, d)
+    b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("question").alias("body"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.hint_score(text.question_type("question"), "body"), 6).alias("hint"))
 
 
 CHAPTERS = lang.nfc(["ষোড়শ পরিচ্ছেদ", "প্রথম পরিচ্ছেদ", "অধ্যায় ১২", "Chapter 3", "উপসংহার", "", "0 ভূমিকা", "চতুর্দ্দশ পরিচ্ছেদ"])
 NUMBER = f"coalesce(map([{', '.join(q(k) for k in lang.ORDINALS)}], [{', '.join(map(str, lang.ORDINALS.values()))}])[regexp_extract(regexp_replace(c, {STRIP}), '^[^{SPACE}]+')], try_cast(translate(regexp_extract(c, '{text.DIGIT}+'), {q(lang.BENGALI_DIGITS)}, '0123456789') AS INT))"
 
 
-@query("chapter_number_sort", f"WITH c AS (SELECT unnest({q_list(CHAPTERS)}) AS c), n AS (SELECT c, {NUMBER} AS number FROM c) SELECT c AS chapter, number, row_number() OVER (ORDER BY coalesce(nullif(number, 0), 1000000), encode(c)) AS pos FROM n")
+TITLED = f"t AS (SELECT page_id, page_id % 20 AS book, list_extract({q_list(CHAPTERS)}, ((page_id // 20) % {len(CHAPTERS)} + 1)::INT) || ' ' || page_id AS c FROM pages)"
+
+
+def _titled(spark, d):
+    """Pages as chapters of 20 books, with names of every kind."""
+    name = F.element_at(F.array(*map(F.lit, CHAPTERS)), (F.floor(F.col("page_id") / 20) % len(CHAPTERS) + 1).cast("int"))
+    return t(spark, d, "pages").select("page_id", (F.col("page_id") % 20).alias("book"), F.concat(name, F.lit(" "), "page_id").alias("chapter"))
+
+
+@query("chapter_number_sort", f"WITH {TITLED}, n AS (SELECT page_id, book, c, {NUMBER} AS number FROM t) SELECT page_id, c AS chapter, number, row_number() OVER (PARTITION BY book ORDER BY coalesce(nullif(number, 0), 1000000), encode(c)) AS pos FROM n")
 def chapter_number_sort(spark, d):
-    c = spark.createDataFrame([(x,) for x in CHAPTERS], "chapter string").withColumn("number", text.chapter_number("chapter"))
-    order = Window.orderBy(F.coalesce(F.nullif("number", F.lit(0)), F.lit(1_000_000)), "chapter")
-    return c.withColumn("pos", F.row_number().over(order).cast("bigint"))
+    c = _titled(spark, d).withColumn("number", text.chapter_number("chapter"))
+    return R.ranked(c, ["book"], [F.coalesce(F.nullif("number", F.lit(0)), F.lit(1_000_000)), F.col("chapter")], None, "pos").select("page_id", "chapter", "number", F.col("pos").cast("bigint").alias("pos"))
 
 
-EXTRAS_SQL = f"""WITH toc AS (SELECT unnest([0, 1]) AS pos, unnest({q_list(['B/প্রথম', 'B/দ্বিতীয়'])}) AS title), found AS (SELECT unnest({q_list(['B/দ্বিতীয়', 'B/ষোড়শ', 'B/ভূমিকা'])}) AS title),
+@query(
+    "titles_with_extras",
+    f"""WITH {TITLED}, toc AS (SELECT page_id AS pos, 'B/' || c AS title FROM t WHERE page_id % 3 = 0), found AS (SELECT 'B/' || c AS title FROM t),
 x AS (SELECT title, regexp_extract(title, '[^/]*$') AS c FROM found WHERE title NOT IN (SELECT title FROM toc))
-SELECT 0 AS src, pos::BIGINT AS n, title FROM toc UNION ALL SELECT 1, coalesce(nullif({NUMBER}, 0), 1000000)::BIGINT, title FROM x"""
+SELECT 0 AS src, pos::BIGINT AS n, title FROM toc UNION ALL SELECT 1, coalesce(nullif({NUMBER}, 0), 1000000)::BIGINT, title FROM x""",
+)
+def titles_with_extras(spark, d):
+    """A contents page that lists every third page, and the list of all pages."""
+    titles = _titled(spark, d).select("page_id", F.concat(F.lit("B/"), "chapter").alias("title"))
+    return wiki.with_extras(titles.where("page_id % 3 = 0").select(F.col("page_id").alias("pos"), "title"), titles.select("title")).select("src", F.col("pos.n").alias("n"), "title")
 
 
-@query("titles_with_extras", EXTRAS_SQL)
-def titles_with_extras(spark, d):
-    toc = spark.createDataFrame([(0, "B/প্রথম"), (1, "B/দ্বিতীয়")], "pos long, title string")
-    found = spark.createDataFrame([("B/দ্বিতীয়",), ("B/ষোড়শ",), ("B/ভূমিকা",)], "title string")
-    return wiki.with_extras(toc, found).select("src", F.col("pos.n").alias("n"), "title")
+ENDED = f"w AS (SELECT conv_id, turn, i, x[i] || list_extract({q_list(lang.SUFFIXES)}, ((conv_id + i) % {len(lang.SUFFIXES)} + 1)::INT) AS w FROM (SELECT conv_id, turn, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT conv_id, turn, {sql_tokens('text')} AS x FROM conversations)))"
+
+
+@query("stems", f"WITH {ENDED} SELECT conv_id, turn, i AS pos, w, {STEM} AS stem FROM w")
+def stems(spark, d):
+    """Every token of the conversations with a case ending, and its stem."""
+    each = t(spark, d, "conversations").select("conv_id", "turn", F.posexplode(text.tokenize("text")).alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint") + 1)
+    ending = F.element_at(F.array(*map(F.lit, lang.SUFFIXES)), ((F.col("conv_id") + F.col("pos")) % len(lang.SUFFIXES) + 1).cast("int"))
+    words = each.select("conv_id", "turn", "pos", F.concat("token", ending).alias("w"))
+    return words.withColumn("stem", text.stem("w"))
+
+
+# --- the whole way, by other doors --------------------------------------------------
+
+
+def hybrid_ctes(top: int, more: str = "") -> str:
+    """HYBRID with the ``top`` best lexical passages, and ``ranked``: the fused order."""
+    return f"""{HYBRID.replace(f'WHERE rank <= {TOP})', f'WHERE rank <= {top})')},
+pool AS (SELECT i.q_id, i.chunk_pos, coalesce(dense.dist, 2.0::DOUBLE) AS dist, coalesce(score.bm25, 0.0::DOUBLE) AS bm25, {HINT} AS hint, {sql_norm('d.text')} AS norm
+  FROM ids i LEFT JOIN dense USING (q_id, chunk_pos) LEFT JOIN score USING (q_id, chunk_pos) JOIN documents d ON d.doc_id = i.chunk_pos),
+scaled AS (SELECT *, CASE WHEN max(dist) OVER w - min(dist) OVER w < 1e-12 THEN 1.0::DOUBLE ELSE (max(dist) OVER w - dist) / (max(dist) OVER w - min(dist) OVER w) END AS sem,
+  CASE WHEN max(bm25) OVER w - min(bm25) OVER w < 1e-12 THEN 1.0::DOUBLE ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END AS lexical FROM pool WINDOW w AS (PARTITION BY q_id)),
+fused AS (SELECT *, round(0.58::DOUBLE * sem + 0.30::DOUBLE * lexical + 0.12::DOUBLE * hint, 9) AS score FROM scaled),
+once AS (SELECT *, row_number() OVER (PARTITION BY q_id, norm ORDER BY score DESC, chunk_pos) AS first FROM fused WHERE norm <> ''),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_pos) AS rank FROM once WHERE first = 1){more}"""
+
+
+#: Most passages say the same, and no question has a word of theirs.
+ALIKE = """documents AS (SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN 'the ' || lang ELSE text END AS text, lang, source, n_chars FROM main.documents),
+benchmark AS (SELECT item_id, 'zzq' || item_id || ' zzr' || (item_id % 7) AS text FROM main.benchmark)"""
+BEYOND = 60
+
+
+@query(
+    "retrieve_beyond_pool",
+    f"""WITH {ALIKE}, {hybrid_ctes(5 * BEYOND)},
+wide AS (SELECT q_id, variant, chunk_pos, dist, r FROM (SELECT q_id, variant, doc_id AS chunk_pos, dist, row_number() OVER (PARTITION BY q_id, variant ORDER BY dist, doc_id) AS r
+  FROM (SELECT q.q_id, q.variant, d.doc_id, {sql_square('q.v', 'd.v')} AS dist FROM qvec q CROSS JOIN dvec d)) WHERE r <= {BEYOND}),
+best AS (SELECT * FROM ranked WHERE rank <= {BEYOND}),
+other AS (SELECT w.*, {sql_norm('d.text')} AS norm, {HINT} AS hint FROM wide w JOIN documents d ON d.doc_id = w.chunk_pos),
+more AS (SELECT *, row_number() OVER (PARTITION BY q_id, norm ORDER BY variant, r) AS first FROM other o WHERE norm <> '' AND NOT EXISTS (SELECT 1 FROM best b WHERE b.q_id = o.q_id AND b.norm = o.norm)),
+both_ AS (SELECT q_id, 0 AS later, 0 AS variant, rank AS place, chunk_pos, score, sem, lexical, hint FROM best
+  UNION ALL SELECT q_id, 1, variant, r, chunk_pos, greatest(0.0::DOUBLE, 0.40::DOUBLE - dist / 10.0::DOUBLE), greatest(0.0::DOUBLE, 0.40::DOUBLE - dist / 10.0::DOUBLE), 0.0::DOUBLE, hint FROM more WHERE first = 1)
+SELECT q_id, rank::BIGINT AS rank, chunk_pos, round(score, 6) AS score, round(sem, 6) AS semantic_score, round(lexical, 6) AS lexical_score, round(hint, 6) AS hint_score
+FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY later, variant, place) AS rank FROM both_) WHERE rank <= {BEYOND}""",
+)
+def retrieve_beyond_pool(spark, d):
+    """More results than the pool has different texts: the next nearest passages fill up."""
+    p = passages(spark, d).withColumn("text", F.when(F.col("chunk_pos") % 4 > 0, F.concat(F.lit("the "), "section")).otherwise(F.col("text")))
+    qs = questions(spark, d).withColumn("question", F.concat(F.lit("zzq"), "q_id", F.lit(" zzr"), (F.col("q_id") % 7).cast("string")))
+    e = I.HashingEmbedder(DIM)
+    out = R.retrieve(qs, I.memory_index(p, e), e, BEYOND)
+    return out.select("q_id", "rank", "chunk_pos", *[F.round(c, 6).alias(c) for c in ("score", "semantic_score", "lexical_score", "hint_score")])
+
+
+def answered_ctes(found: str) -> str:
+    """What the extractive generator answers from ``found`` (q_id, rank, text)."""
+    body = ANSWERED[ANSWERED.index("one AS (") :].replace("top5", "found")
+    return f"found AS ({found}), {body}"
+
+
+def _asked_with(k: int) -> str:
+    found = f"SELECT r.q_id, r.rank, d.text FROM ranked r JOIN documents d ON d.doc_id = r.chunk_pos WHERE r.rank <= {k}"
+    return f"""SELECT * FROM (WITH {hybrid_ctes(max(TOP, 5 * k))}, {answered_ctes(found)}
+SELECT q_id, {k}::BIGINT AS k, answer, array_to_string(l, ',') AS citations, found, (SELECT count(*) FROM found f WHERE f.q_id = final.q_id)::INT AS n_ranks FROM final)"""
+
+
+@query("ask_with_k", f"{_asked_with(1)} UNION ALL {_asked_with(10)}")
+def ask_with_k(spark, d):
+    """Questions answered from one passage and from ten, by two names of the operation."""
+    e = I.HashingEmbedder(DIM)
+    ix, qs = I.memory_index(passages(spark, d), e), questions(spark, d)
+    few = A.invoke(qs, ix, e, A.ExtractiveGenerator(), 0)  # at least one
+    many = A.get_answer(qs, ix, e, A.ExtractiveGenerator(), k=10)
+    both = few.withColumn("k", F.lit(1).cast("bigint")).unionByName(many.withColumn("k", F.lit(10).cast("bigint")))
+    return both.select("q_id", "k", "answer", F.array_join(F.transform("citations", lambda n: n.cast("string")), ",").alias("citations"), "found", F.size("retrieved_ranks").alias("n_ranks"))
+
+
+def _typed(spark, d):
+    """Benchmark items as questions of all types."""
+    begins = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("q_id") % len(ASKED) + 1).cast("int"))
+    return questions(spark, d).withColumn("question", F.concat(begins, F.lit(" "), "question"))
+
+
+TYPED = f"typed AS (SELECT item_id AS q_id, regexp_replace(list_extract({q_list(ASKED)}, (item_id % {len(ASKED)} + 1)::INT) || ' ' || text, {STRIP}) AS question FROM benchmark)"
+RULES = "\n".join(f"{i}. {r}" for i, r in enumerate(A.Messages().rules, 1))
+KIND_LINE = "CASE kind " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in A.Messages().by_type.items()) + f" ELSE {q(A.Messages().by_type[lang.DEFAULT_TYPE])} END"
+
+
+@query(
+    "prompts",
+    f"""WITH {TOP5}, {TYPED}, c AS (SELECT q_id, string_agg({ENTRY}, chr(10) || chr(10) ORDER BY rank) AS context FROM top5 GROUP BY q_id),
+k AS (SELECT q_id, question, context, {sql_type(sql_norm('question'))} AS kind FROM c JOIN typed USING (q_id))
+SELECT q_id, {' || chr(10) || '.join(q(line) for line in RULES.split(chr(10)))} || chr(10) || chr(10) || {KIND_LINE} || chr(10) || chr(10) || 'QUESTION:' || chr(10) || question || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || context AS prompt FROM k""",
+)
+def prompts(spark, d):
+    """The whole prompt of every question."""
+    q_ = _typed(spark, d).select("q_id", text.strip("question").alias("question"))
+    return A.contexts(_top5(spark, d)).join(q_, "q_id").select("q_id", A.prompt_column(F.col("question"), F.col("context")).alias("prompt"))
+
+
+class _Silent:
+    name = "silent"
+
+    def generate(self, prompt: str) -> str:
+        return "not found"
+
+
+PLACES = (A.PlaceRule(("zzz", "the"), "Nowhere."), A.PlaceRule(("the", "and"), "At the and."), A.PlaceRule(("de",), "De la."), A.PlaceRule(("en",), "En."))
+
+
+def _place_case(value) -> str:
+    held = lambda r: " AND ".join(f"min(CASE WHEN contains(n, {q(w)}) THEN rank END) IS NOT NULL" for w in r.words)
+    return "CASE " + " ".join(f"WHEN {held(r)} THEN {value(r)}" for r in PLACES) + " END"
+
+
+@query(
+    "place_rule_answers",
+    f"""WITH {TOP5}, {TYPED}, n AS (SELECT q_id, rank, {sql_norm('text')} AS n FROM top5),
+p AS (SELECT q_id, {_place_case(lambda r: q(r.answer))} AS said, {_place_case(lambda r: f"min(CASE WHEN contains(n, {q(r.words[0])}) THEN rank END)")} AS at_rank FROM n GROUP BY q_id),
+k AS (SELECT q_id, {sql_type(sql_norm('question'))} = 'where' AND said IS NOT NULL AS placed, said, at_rank FROM p JOIN typed USING (q_id))
+SELECT q_id, CASE WHEN placed THEN said ELSE 'not found' END AS answer, CASE WHEN placed THEN at_rank::VARCHAR ELSE '' END AS citations, placed AS found FROM k""",
+)
+def place_rule_answers(spark, d):
+    """A generator that always declines: rules answer the questions for a place."""
+    out = A.answer_questions(_typed(spark, d), _top5(spark, d), _Silent(), A.Messages(place_rules=PLACES))
+    return out.select("q_id", "answer", F.array_join(F.transform("citations", lambda n: n.cast("string")), ",").alias("citations"), "found")
+
+
+@query("compare_embedders", " UNION ALL ".join(f"SELECT * FROM ({_compared(800, 150, dim, f'hashing-{dim}')})" for dim in (64, 32)))
+def compare_embedders(spark, d):
+    chapters = t(spark, d, "documents").select(F.lit("b").alias("book"), F.concat(F.lit("d"), "doc_id").alias("chapter"), F.col("doc_id").cast("int").alias("chapter_no"), F.col("source").alias("url"), "text")
+    qs = questions(spark, d).select("q_id", "question", F.lit(True).alias("answerable"), F.array("question").alias("evidence_keywords"), F.array().cast("array<string>").alias("expected_source"))
+    return E.compare_embedders(chapters, qs, [I.HashingEmbedder(64), I.HashingEmbedder(32)])
+
+
+@query(
+    "answerable_hits",
+    f"""WITH {HYBRID}, five AS (SELECT q_id, chunk_pos, r FROM (SELECT q_id, doc_id AS chunk_pos, row_number() OVER (PARTITION BY q_id ORDER BY dist, doc_id) AS r FROM (SELECT q.q_id, d.doc_id, {sql_square('q.v', 'd.v')} AS dist FROM qvec q CROSS JOIN dvec d WHERE q.variant = 0)) WHERE r <= 5)
+SELECT b.item_id AS q_id, min(CASE WHEN contains(d.text, b.text) THEN r END)::BIGINT AS rank, string_agg(d.source, ',' ORDER BY r) AS top_chapters
+FROM benchmark b LEFT JOIN five ON q_id = b.item_id LEFT JOIN documents d ON d.doc_id = chunk_pos WHERE b.item_id % 3 > 0 GROUP BY b.item_id""",
+)
+def answerable_hits(spark, d):
+    """Two of three questions can be answered; only these are searched for."""
+    qs = questions(spark, d).select("q_id", "question", (F.col("q_id") % 3 > 0).alias("answerable"), F.array("question").alias("evidence_keywords"), F.array().cast("array<string>").alias("expected_source"))
+    e = I.HashingEmbedder(DIM)
+    return E.dense_hits(qs, I.memory_index(passages(spark, d), e), e).withColumn("top_chapters", F.array_join("top_chapters", ","))
+
+
+@query("located_lines", f"WITH {FOUND}, tot AS (SELECT q_id, doc_id::VARCHAR AS chapter, sum(n)::BIGINT AS n FROM found GROUP BY ALL) SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY n DESC, encode(chapter)) AS place, q_id || chr(9) || chapter || chr(9) || n AS line FROM tot")
+def located_lines(spark, d):
+    return E.located_lines(_located(spark, d))
+
+
+@query("time_labels", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS label FROM events")
+def time_labels(spark, d):
+    return t(spark, d, "events").select("event_id", text.time_label("ts").alias("label"))
