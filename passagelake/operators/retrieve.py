@@ -18,6 +18,7 @@ from ..config import Config
 from ..functions import lang, text
 from ..sources import files
 from .index import Embedder, embedded
+from .metric import knn_by_cells
 
 DIGITS = 9
 #: Query vectors that one pass over the passages holds in a worker.
@@ -73,25 +74,19 @@ def _block_search(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: i
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, pos: str = "chunk_pos") -> DataFrame:
     """(q_id, chunk_pos, dist, rank): the k nearest passages by squared distance.
 
-    ``queries`` is (q_id, embedding), one row per id. Workers hold a block of queries
-    and stream the passages; each task keeps k per query, so what is shuffled is
-    tasks x queries x k rows at most.
+    ``queries`` is (q_id, embedding), one row per id. Up to ``QUERY_BLOCK`` of them are held
+    by every worker, which streams the passages past them and sends on k a query. More
+    queries than that stay a table and are routed to cells of the vectors
+    (:func:`passagelake.operators.metric.knn_by_cells`).
     """
     q = queries.select(F.col("q_id").cast("bigint").alias("q_id"), "embedding")
-    parts, ids, rows = [], [], []
-    for r in q.orderBy("q_id").toLocalIterator():
-        ids.append(r["q_id"])
-        rows.append(r["embedding"])
-        if len(ids) == QUERY_BLOCK:
-            parts.append(_block_search(vectors, np.array(ids), np.array(rows, np.float64), k, pos))
-            ids, rows = [], []
-    if ids:
-        parts.append(_block_search(vectors, np.array(ids), np.array(rows, np.float64), k, pos))
-    if not parts:
+    held = q.take(QUERY_BLOCK + 1)
+    if not held:
         return vectors.sparkSession.createDataFrame([], "q_id bigint, chunk_pos bigint, dist double, rank bigint")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    if len(held) > QUERY_BLOCK:
+        return knn_by_cells(q, vectors, k, pos=pos)[0]
+    held.sort(key=lambda r: r["q_id"])
+    found = _block_search(vectors, np.array([r["q_id"] for r in held]), np.array([r["embedding"] for r in held], np.float64), k, pos)
     best = ranked(found, ["q_id"], [F.col("dist"), F.col("pos")], k)
     return best.select("q_id", F.col("pos").alias("chunk_pos"), "dist", F.col("rank").cast("bigint").alias("rank"))
 
