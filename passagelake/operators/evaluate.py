@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text
+from ..sources import files
 from .answer import citation_label
+from .grams import occurrences
 from .index import Embedder, embedded, memory_index, split_chapters, with_positions
 from .retrieve import dense_topk, ranked
 
@@ -79,18 +81,32 @@ def _occurrences(shared):
     return run
 
 
+def _keywords(questions: DataFrame) -> DataFrame:
+    return questions.where("answerable").select("q_id", F.explode("evidence_keywords").alias("keyword")).where("keyword <> ''").distinct()
+
+
+def _bodies(chapters: DataFrame) -> DataFrame:
+    return chapters.select("chapter", "chapter_no", text.nfc(F.coalesce("text", F.lit(""))).alias("text"))
+
+
 def locate(questions: DataFrame, chapters: DataFrame) -> DataFrame:
     """(q_id, chapter, chapter_no, keyword, n): non-overlapping occurrences of each
-    keyword. The keywords are the query set: they pass over the chapters in blocks."""
-    keys = questions.where("answerable").select("q_id", F.explode("evidence_keywords").alias("keyword")).where("keyword <> ''").distinct()
-    body = chapters.select("chapter", "chapter_no", text.nfc(F.coalesce("text", F.lit(""))).alias("text"))
-    kind = body.schema["chapter_no"].dataType.simpleString()
-    schema = f"chapter string, chapter_no {kind}, keyword string, n bigint"
-    words = [r["keyword"] for r in keys.select("keyword").distinct().orderBy("keyword").toLocalIterator()]
-    found = body.sparkSession.createDataFrame([], schema)
-    for at in range(0, len(words), KEYWORD_BLOCK):
-        part = body.mapInArrow(_occurrences(body.sparkSession.sparkContext.broadcast(words[at : at + KEYWORD_BLOCK])), schema)
-        found = part if at == 0 else found.unionByName(part)
+    keyword. Up to ``KEYWORD_BLOCK`` keywords are held by every worker and looked for in one
+    pass; more stay a table (:func:`locate_by_grams`)."""
+    keys, body = _keywords(questions), _bodies(chapters)
+    held = [r["keyword"] for r in keys.select("keyword").distinct().take(KEYWORD_BLOCK + 1)]
+    if len(held) > KEYWORD_BLOCK:
+        return locate_by_grams(questions, chapters)
+    schema = f"chapter string, chapter_no {body.schema['chapter_no'].dataType.simpleString()}, keyword string, n bigint"
+    found = body.mapInArrow(_occurrences(body.sparkSession.sparkContext.broadcast(sorted(held))), schema)
+    return found.join(keys, "keyword").select("q_id", "chapter", "chapter_no", "keyword", "n")
+
+
+def locate_by_grams(questions: DataFrame, chapters: DataFrame) -> DataFrame:
+    """:func:`locate` as a join of keywords and chapters by rare grams, for keyword sets of
+    any size."""
+    keys = files.kept(_keywords(questions), "keywords")
+    found = occurrences(keys.select("keyword").distinct(), _bodies(chapters))
     return found.join(keys, "keyword").select("q_id", "chapter", "chapter_no", "keyword", "n")
 
 

@@ -542,10 +542,10 @@ KEYS = "keys AS (SELECT item_id AS q_id, nfc_normalize(text) AS keyword FROM ben
 FOUND = f"{KEYS}, found AS (SELECT q_id, doc_id, keyword, ((length(text) - length(replace(text, keyword, ''))) // length(keyword))::BIGINT AS n FROM keys JOIN documents ON contains(text, keyword) WHERE keyword <> '')"
 
 
-def _located(spark, d):
+def _located(spark, d, how=E.locate):
     qs = questions(spark, d).select("q_id", F.lit(True).alias("answerable"), F.array_union(F.array(text.nfc("question")), F.split(text.nfc("question"), "[.] ")).alias("evidence_keywords"))
     chapters = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chapter"), F.col("doc_id").alias("chapter_no"), "text")
-    return E.locate(qs, chapters)
+    return how(qs, chapters)
 
 
 @query("locate_evidence", f"WITH {FOUND} SELECT q_id, doc_id, keyword, n FROM found")
@@ -553,6 +553,12 @@ def locate_evidence(spark, d):
     return _located(spark, d).select("q_id", F.col("chapter_no").alias("doc_id"), "keyword", "n")
 
 
+@query("locate_by_grams", f"WITH {FOUND} SELECT q_id, doc_id, keyword, n FROM found")
+def locate_by_grams(spark, d):
+    """The same as a join of two tables by the rarest grams of the keywords."""
+    return _located(spark, d, E.locate_by_grams).select("q_id", F.col("chapter_no").alias("doc_id"), "keyword", "n")
+
+
 @query("suggested_sources", f"WITH {FOUND}, tot AS (SELECT q_id, doc_id, sum(n) AS n FROM found GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY n DESC, doc_id) AS r FROM tot) SELECT q_id, string_agg(doc_id::VARCHAR, ',' ORDER BY r) AS suggested FROM r WHERE r <= 2 GROUP BY q_id")
 def suggested_sources(spark, d):
     return E.suggested_sources(_located(spark, d)).withColumn("suggested", F.array_join("suggested", ","))
