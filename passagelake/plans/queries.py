@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import html, lang, text
 from ..operators import answer as A
+from ..operators import delta as D
 from ..operators import evaluate as E
 from ..operators import index as I
 from ..operators import metric as M
@@ -240,6 +241,35 @@ def bm25_topk(spark, d):
     return R.lexical_search(qs, rows, terms, stats, TOP).withColumn("bm25", F.round("bm25", 6))
 
 
+@query("bm25_of_segments", f"WITH {BM25} SELECT q_id, chunk_pos, round(bm25, 6) AS bm25, rank::BIGINT AS rank FROM lex")
+def bm25_of_segments(spark, d):
+    """The same from an index that grew: most documents, some of them in an older text, then
+    the rest and the new texts, then some withdrawn, added again, and all made one segment."""
+    e, path = I.HashingEmbedder(DIM), files.scratch(spark, "segments")
+    p = passages(spark, d).withColumn("document", F.col("chunk_pos"))
+    kind = F.col("chunk_pos") % 10
+    D.add(p.where(kind != 0).withColumn("text", F.when(kind == 1, F.concat(F.reverse("text"), F.lit(" old"))).otherwise(F.col("text"))), e, path)
+    D.add(p.where(kind <= 1), e, path)
+    D.withdraw(p.where(kind == 5), e, path)
+    D.add(p.where(kind == 5), e, path)
+    D.compact(spark, path)
+    ix = D.load(spark, path, e)
+    return R.lexical_search(questions(spark, d), ix["forward"], ix["terms"], ix["stats"], TOP).withColumn("bm25", F.round("bm25", 6))
+
+
+@query("segment_terms", f"WITH {POSTINGS} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf, (SELECT n FROM stat)::BIGINT AS n, round((SELECT avgdl FROM stat), 6) AS avgdl FROM term")
+def segment_terms(spark, d):
+    """Frequencies kept by difference over three segments, against counting all texts."""
+    e, path = I.HashingEmbedder(DIM), files.scratch(spark, "segments")
+    p = passages(spark, d).withColumn("document", F.col("chunk_pos"))
+    kind = F.col("chunk_pos") % 10
+    D.add(p.where(kind != 0).withColumn("text", F.when(kind == 1, F.concat(F.reverse("text"), F.lit(" old"))).otherwise(F.col("text"))), e, path)
+    D.add(p.where(kind <= 1), e, path)
+    ix = D.load(spark, path, e)
+    one = F.broadcast(ix["stats"].select(F.col("n").alias("n"), "avgdl"))
+    return ix["terms"].join(one).select("term", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"))
+
+
 @query("bm25_passages", f"WITH {BM25} SELECT q_id, rank::BIGINT AS rank, chunk_pos, text FROM lex JOIN documents ON doc_id = chunk_pos WHERE rank <= 5")
 def bm25_passages(spark, d):
     p, qs, scores = _bm25(spark, d)
