@@ -1,6 +1,8 @@
 """An index that grows against one that is built at once."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -20,15 +22,18 @@ def frame(spark, rows):
 
 def state(ix):
     one = lambda x, *c: sorted(map(tuple, x.select(*c).collect()), key=str)
-    stats = ix["stats"].first()
-    return {
-        "chunks": one(ix["chunks"], "chunk_pos", "text"), "postings": one(ix["postings"], "chunk_pos", "term", "tf", "dl"), "df": one(ix["terms"], "term", "df"),
-        "idf": {r["term"]: round(r["idf"], 12) for r in ix["terms"].collect()}, "stats": (stats["n"], round(stats["avgdl"], 12)),
-    }
+    n, avgdl = ix["stats"].first()
+    terms = {r["term"]: (r["df"], round(r["idf"], 12)) for r in ix["terms"].collect()}
+    return one(ix["chunks"], "chunk_pos", "text"), one(ix["forward"], "chunk_pos", "dl"), terms, (n, round(avgdl, 12))
 
 
 def whole(spark, rows, e):
-    return state(index.memory_index(frame(spark, rows), e))
+    """The same, counted in plain Python."""
+    tokens = {p: index.plain_tokens(t) for _, p, t in rows}
+    df = Counter(t for x in tokens.values() for t in set(x))
+    n = len(rows)
+    terms = {t: (c, round(math.log(1 + (n - c + 0.5) / (c + 0.5)), 12)) for t, c in df.items()}
+    return sorted(((p, t) for _, p, t in rows), key=str), sorted(((p, len(x)) for p, x in tokens.items()), key=str), terms, (n, round(sum(map(len, tokens.values())) / n, 12))
 
 
 def test_growing_equals_building(spark, tmp_path):
