@@ -13,7 +13,7 @@ from ..functions import text
 from ..sources import files
 from .answer import citation_label
 from .grams import occurrences
-from .index import Embedder, embedded, memory_index, split_chapters, with_positions
+from .index import Embedder, embedded, forward, split_chapters_by, vectors_of, with_positions
 from .retrieve import dense_topk, ranked
 
 KS = (1, 3, 5)
@@ -138,32 +138,45 @@ def parse_sizes(spec: str) -> tuple[int, int]:
     return int(size), int(overlap)
 
 
-def _rates_of(name: str, chunks: DataFrame, questions: DataFrame, embedder: Embedder) -> DataFrame:
-    index = memory_index(with_positions(chunks), embedder)
-    rates = hit_rates(dense_hits(questions, index, embedder))
-    wide = rates.groupBy().pivot("k", list(KS)).agg(F.first("rate"))
-    n = index["chunks"].agg(F.count(F.lit(1)).alias("n_chunks"))
-    return n.join(wide).select(F.lit(name).alias("approach"), "n_chunks", *[F.col(str(k)).alias(f"hit_at_{k}") for k in KS])
+def _rates_of_runs(placed: DataFrame, runs: Sequence[tuple[str, int, Embedder]], questions: DataFrame) -> DataFrame:
+    """approach, n_chunks, hit_at_1/3/5 of each run (name, configuration, embedder) over
+    ``placed`` (config, chunk_pos, chapter, text). A run searches the chunks of its
+    configuration; hits and rates of all runs are one grouping."""
+    asked = files.kept(questions.where("answerable").withColumn("question", text.nfc("question")), "asked")
+    n, found, vectors = len(runs), None, {}
+    for i, (_, config, embedder) in enumerate(runs):
+        if embedder.name not in vectors:
+            vectors[embedder.name] = files.kept(embedded(asked.select("q_id", F.col("question").alias("text")), embedder, query=True).select("q_id", "embedding"), "asked-vectors")
+        rows = vectors_of(forward(placed.where(F.col("config") == config), embedder))
+        part = dense_topk(vectors[embedder.name], rows, max(KS)).select((F.col("q_id") * n + i).alias("q_id"), "rank", "chunk_pos")
+        found = part if found is None else found.unionByName(part)
+    met = found.join(placed.select("chunk_pos", "chapter", "text"), "chunk_pos")
+    spread = asked.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    every = spread.select((F.col("q_id") * n + F.col("run")).alias("q_id"), "expected_source", "evidence_keywords")
+    hits = [F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))).alias(f"hit_at_{k}") for k in KS]
+    rates = first_hit(met, every).groupBy(F.pmod("q_id", F.lit(n)).cast("int").alias("run")).agg(*hits)
+    names = placed.sparkSession.createDataFrame([(i, name, config) for i, (name, config, _) in enumerate(runs)], "run int, approach string, config int")
+    sizes = placed.groupBy("config").agg(F.count(F.lit(1)).alias("n_chunks"))
+    out = F.broadcast(names).join(sizes, "config", "left").join(rates, "run", "left")
+    return out.select("approach", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), *[f"hit_at_{k}" for k in KS])
+
+
+def _placed(chapters: DataFrame, sizes: Sequence[tuple[int, int]]) -> DataFrame:
+    chunks = files.kept(split_chapters_by(chapters, sizes), "chunkings")
+    return files.kept(with_positions(chunks, ("config",)).select("config", "chunk_pos", "chapter", "text"), "placed")
 
 
 def compare_chunkings(chapters: DataFrame, questions: DataFrame, specs: Sequence[str], embedder: Embedder) -> DataFrame:
-    """approach, n_chunks, hit_at_1/3/5: one row per SIZE:OVERLAP."""
-    out = None
-    for spec in specs:
-        size, overlap = parse_sizes(spec)
-        row = _rates_of(f"chunk_size={size}, overlap={overlap}", split_chapters(chapters, size, overlap), questions, embedder)
-        out = row if out is None else out.unionByName(row)
-    return out
+    """approach, n_chunks, hit_at_1/3/5: one row per SIZE:OVERLAP. The chapters are read once."""
+    sizes = [parse_sizes(spec) for spec in specs]
+    runs = [(f"chunk_size={size}, overlap={overlap}", i, embedder) for i, (size, overlap) in enumerate(sizes)]
+    return _rates_of_runs(_placed(chapters, sizes), runs, questions)
 
 
 def compare_embedders(chapters: DataFrame, questions: DataFrame, embedders: Sequence[Embedder], conf: Config = Config()) -> DataFrame:
-    """The same, one row per embedder."""
-    chunks = split_chapters(chapters, conf.chunk_size, conf.chunk_overlap)
-    out = None
-    for e in embedders:
-        row = _rates_of(e.name, chunks, questions, e)
-        out = row if out is None else out.unionByName(row)
-    return out
+    """The same, one row per embedder, over one set of chunks."""
+    placed = _placed(chapters, [(conf.chunk_size, conf.chunk_overlap)])
+    return _rates_of_runs(placed, [(e.name, 0, e) for e in embedders], questions)
 
 
 def behaviour(responses: DataFrame, questions: DataFrame) -> DataFrame:

@@ -26,15 +26,21 @@ def split_chapters(chapters: DataFrame, size: int, overlap: int, searched_starts
     """Chunks of chapters (book, chapter, chapter_no, url, text and more) with the
     metadata that citations use. ``chunk_pos`` is the reading order: chapter number,
     chapter, place in the chapter."""
-    parts = chapters.withColumn("pl_parts", chunk.split_column(F.col("text"), size, overlap, searched_starts))
-    out = parts.select(
-        "book", "chapter", "chapter_no", F.col("url").alias("source"), F.size("pl_parts").alias("chunks_in_chapter"), F.explode("pl_parts").alias("part")
-    )
+    return split_chapters_by(chapters, [(size, overlap)], searched_starts).drop("config")
+
+
+def split_chapters_by(chapters: DataFrame, sizes: Sequence[tuple[int, int]], searched_starts: bool = False) -> DataFrame:
+    """The chunks of several (size, overlap) in one pass over the chapters; ``config`` is
+    the place in ``sizes``."""
+    parts = chapters.withColumns({f"pl_parts_{i}": chunk.split_column(F.col("text"), *s, searched_starts) for i, s in enumerate(sizes)})
+    each = F.array(*[F.struct(F.lit(i).alias("config"), F.col(f"pl_parts_{i}").alias("parts")) for i in range(len(sizes))])
+    rows = parts.select("book", "chapter", "chapter_no", F.col("url").alias("source"), F.explode(each).alias("c"))
+    out = rows.select("book", "chapter", "chapter_no", "source", "c.config", F.size("c.parts").alias("chunks_in_chapter"), F.explode("c.parts").alias("part"))
     label = F.concat(F.col("chapter"), F.lit(f" — {lang.LABEL_PART} "), F.col("part.pos"), F.lit("/"), F.col("chunks_in_chapter"))
     return out.select(
         F.col("part.text").alias("text"), "book", "chapter", "chapter_no", label.alias("section"), "source",
         F.col("part.pos").alias("chunk_index"), "chunks_in_chapter", F.col("part.start").alias("start_index"),
-        F.format_string("ch%02d-%03d", F.coalesce("chapter_no", F.lit(0)), F.col("part.pos")).alias("chunk_id"),
+        F.format_string("ch%02d-%03d", F.coalesce("chapter_no", F.lit(0)), F.col("part.pos")).alias("chunk_id"), "config",
     )
 
 
@@ -46,15 +52,16 @@ def chunk_documents(docs: DataFrame, size: int, overlap: int, key: str = "doc_id
     )
 
 
-def with_positions(chunks: DataFrame) -> DataFrame:
-    """``chunk_pos``: dense reading order over all chapters.
+def with_positions(chunks: DataFrame, first: Sequence[str] = ()) -> DataFrame:
+    """``chunk_pos``: dense reading order over all chapters, by the columns ``first`` before
+    all else.
 
     Chapters are sorted into ranges; each range adds up its own, and what comes before a
     range is added from the totals of the ranges, one number each. No task sees all
     chapters; rows add their place in the chapter."""
     spark = chunks.sparkSession
-    keys = ("chapter_no", "chapter", "source")
-    order = [F.coalesce(F.nullif("chapter_no", F.lit(0)), F.lit(1_000_000)), F.col("chapter"), F.col("source")]
+    keys = (*first, "chapter_no", "chapter", "source")
+    order = [*map(F.col, first), F.coalesce(F.nullif("chapter_no", F.lit(0)), F.lit(1_000_000)), F.col("chapter"), F.col("source")]
     chapters = chunks.groupBy(*keys).agg(F.max("chunks_in_chapter").cast("bigint").alias("n"))
     ranges = files.kept(chapters.repartitionByRange(*order).withColumn("pl_range", F.spark_partition_id()), "chapter-order")
     totals, before = [], 0
