@@ -27,8 +27,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def grams(text: str, size: int) -> np.ndarray:
-    """The different grams of a text as hashes; the size is part of them."""
+def hashes(text: str, size: int) -> np.ndarray:
+    """The grams of a text as hashes, in order; the size is part of them."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     n = len(points) - size + 1
     if n < 1:
@@ -39,7 +39,12 @@ def grams(text: str, size: int) -> np.ndarray:
     h ^= h >> np.uint64(31)
     h *= _MIX
     h ^= h >> np.uint64(29)
-    return np.unique(h).view(np.int64)
+    return h.view(np.int64)
+
+
+def grams(text: str, size: int) -> np.ndarray:
+    """The different grams of a text."""
+    return np.unique(hashes(text, size))
 
 
 def passes(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -78,8 +83,8 @@ def _text_grams(bodies: DataFrame, sizes: list[int], bits: np.ndarray) -> DataFr
             keys, found = [], []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for size in sizes:
-                    g = grams(body, size)
-                    g = g[passes(shared.value, g)]
+                    g = hashes(body, size)
+                    g = np.unique(g[passes(shared.value, g)])
                     keys += [key] * len(g)
                     found.append(g)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], ["key", "gram"])
