@@ -6,8 +6,10 @@ forms, comments: by element, role, class or id), blocks outside the articles whe
 the page marks any, and blocks that are mostly links are out; long blocks with many
 stop words are in. Blocks that are short or poor in stop words stay open. The
 second pass gives each open block the label of its nearest decided neighbours: if
-both sides agree, theirs, else the nearer one's. Where the page's language has none of
-the stop words, length and links alone decide.
+both sides agree, theirs, else the nearer one's. Before the first decided block and
+after the last one there is but one neighbour, whose label a bare word or two in a
+``div`` (a menu without links) and a copyright line do not take. Where the page's
+language has none of the stop words, length and links alone decide.
 
 What counts as furniture. Attributes are parsed, so a word inside another attribute's
 value means nothing. A class (each on its own) or an id names furniture if all of its
@@ -17,9 +19,16 @@ never furniture, an ``article`` only as a comment or hidden. Inline elements tha
 furniture (an advert in a ``span``) are cut out of their block. All top-level articles
 of a page are kept, in page order.
 
+Some furniture is known only at the end of the page. A ``form`` outside the articles is
+none if it holds an ``article`` or ``main``, or long blocks and half of the page's text:
+then it wraps the page. A ``section`` of an article with a name that is as often a topic
+("login") is none if half of it are long blocks. The first ``article`` ends open
+furniture, as ``main`` does; if that is closed after it, it held the article and is
+furniture with it.
+
 Defined cases: null or empty html gives an empty text; unclosed and crossed tags
 are closed by the next enclosing end tag; ``main`` ends open furniture; a page without
-any decided block keeps its open blocks; very long pages are read whole; page_id and
+any decided block keeps its text elements and sentences, or if it has neither all blocks; very long pages are read whole; page_id and
 url pass through (nulls too); other columns are not read.
 """
 
@@ -60,11 +69,15 @@ NEUTRAL = frozenset(
 #: Names that are as often a topic as furniture: furniture with fewer neutral words, and
 #: as an id only of elements that are no text of their own.
 WEAK_NAMES = frozenset("notice notices notification alert share social related recommended recommendations promotion discussion reply replies subscription copyright disclaimer login search".split())
+#: Weak names that stay furniture whatever a section of that name holds.
+NOTICES = frozenset("notice notices notification alert copyright disclaimer".split())
 WEAK_NEUTRAL = frozenset("container wrapper wrap box bar list links buttons button block panel area widget post posts entry article articles page site icons form".split())
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 section blockquote article li dd dt td th pre a span".split())
 RAW_TAGS = frozenset("script style textarea title xmp".split())
 _RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TAGS}
 PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption".split())
+#: Parts of lists and tables: text after a text, though they are no sentences.
+PART_TAGS = frozenset("li dt td th caption summary".split())
 SECTION_TAGS = frozenset("article main".split())
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -80,6 +93,8 @@ _MAY_NAME = re.compile("|".join(sorted(_READ)), re.I)
 _SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
+_COPYRIGHT = re.compile(r"©|\(c\)\s|copyright\b|all rights reserved", re.I)
+_SENTENCE_END = re.compile(r"[.!?:;…。！？।]['\")\]»”’]*$")
 
 #: Blocks of this many characters are long; shares of stop words and of link text.
 LONG = 140
@@ -89,6 +104,8 @@ STOP_NONE = 0.08
 LINK_MOST = 0.5
 
 BAD, OPEN, GOOD = -1, 0, 1
+#: Kinds of furniture: none, for sure, to be seen from what it holds.
+NO, SURE, SEEN = 0, 1, 2
 
 
 @lru_cache(1 << 14)
@@ -101,52 +118,92 @@ def _named(name: str) -> tuple[bool, bool, bool]:
     return sure, weak, plain and "header" in words
 
 
-def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in FURNITURE_TAGS:
-        return True
+def _furniture(tag: str, attrs: str, in_article: bool) -> int:
+    """NO, SURE, or SEEN for a form around a page and a section whose name may be its topic."""
+    if tag in FURNITURE_TAGS and (tag != "form" or in_article):
+        return SURE
     if tag == "header" and not in_article:
-        return True
+        return SURE
+    found = SEEN if tag == "form" else NO
     if tag in ("html", "body", "main") or not attrs or not _MAY_NAME.search(attrs):
-        return False
+        return found
     for name, a, b, c in _ATTRIBUTE.findall(attrs):
         name = name.lower()
         if name not in _READ:
             continue
         value = a or b or c
         if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NONE.search(value):
-            return True
+            return SURE
         if name == "role" and tag != "article" and FURNITURE_ROLES.intersection(value.lower().split()):
-            return True
+            return SURE
         if name in ("class", "id"):
             for one in value.split() if name == "class" else [value]:
                 if tag == "article":
                     if one.lower() in COMMENT_NAMES:
-                        return True
+                        return SURE
                     continue
                 sure, weak, header = _named(one)
-                if sure or weak and not (name == "id" and tag in TEXT_TAGS) or header and not in_article and tag not in TEXT_TAGS:
-                    return True
-    return False
+                if not sure and weak and in_article and tag == "section" and NOTICES.isdisjoint(_SPLIT_NAME.split(one.lower())):
+                    found = SEEN if name == "class" else found
+                elif sure or weak and not (name == "id" and tag in TEXT_TAGS) or header and not in_article and tag not in TEXT_TAGS:
+                    return SURE
+    return found
 
 
 class _Block:
-    __slots__ = ("text", "links", "furniture", "article", "tag", "label")
+    __slots__ = ("text", "links", "furniture", "article", "tag", "group", "label")
 
-    def __init__(self, text, links, furniture, article, tag):
-        self.text, self.links, self.furniture, self.article, self.tag, self.label = text, links, furniture, article, tag, OPEN
+    def __init__(self, text, links, furniture, article, tag, group):
+        self.text, self.links, self.furniture, self.article, self.tag, self.group, self.label = text, links, furniture, article, tag, group, OPEN
 
     @property
     def heading(self) -> bool:
         return self.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
 
+    @property
+    def prose(self) -> bool:
+        return len(self.text) >= LONG and self.links <= LINK_MOST * len(self.text)
+
+
+class _Group:
+    """A form or section that is furniture or not by what it holds; ``up`` is the number
+    of the one around it."""
+
+    __slots__ = ("up", "form", "page", "text", "prose")
+
+    def __init__(self, up, form):
+        self.up, self.form, self.page, self.text, self.prose = up, form, False, 0, 0
+
+
+def _settle(blocks: list[_Block], groups: list[_Group]) -> None:
+    """Marks the blocks of those groups that are furniture. Number 0 is the page."""
+    for b in blocks:
+        if not b.furniture:
+            groups[b.group].text += len(b.text) - b.links
+            groups[b.group].prose += len(b.text) * b.prose
+    for g in reversed(groups[1:]):
+        groups[g.up].text += g.text
+        groups[g.up].prose += g.prose
+    text = [True]
+    for g in groups[1:]:
+        holds = g.page or g.prose > 0 and 2 * g.text >= groups[0].text if g.form else 2 * g.prose >= g.text > 0
+        text.append(holds and text[g.up])
+    for b in blocks:
+        b.furniture = b.furniture or not text[b.group]
+
 
 def blocks_of(page: str) -> list[_Block]:
     """The blocks of a page in order. ``article``: the number of the top article (or
     main) that holds the block, 0 outside; text of an article inside an article (a
     comment) is furniture."""
     out: list[_Block] = []
-    # an open block-level element: (tag, furniture, article number)
-    stack: list[tuple[str, bool, int]] = []
+    # an open block-level element: (tag, furniture, article number, group, number of the
+    # first block of the outermost furniture around it, whether it is that)
+    stack: list[tuple[str, bool, int, int, int, bool]] = []
+    page_top = ("", False, 0, 0, 0, False)
+    groups = [_Group(0, False)]
+    # first block of furniture that an article ended
+    ended: int | None = None
     # open inline furniture: (tag, size of the stack, open elements of that tag)
     mute: list | None = None
     pieces: list[str] = []
@@ -158,8 +215,8 @@ def blocks_of(page: str) -> list[_Block]:
         if pieces:
             text = " ".join(_html.unescape("".join(pieces)).split())
             if text:
-                top = stack[-1] if stack else ("", False, 0)
-                out.append(_Block(text, links, top[1], top[2], top[0]))
+                top = stack[-1] if stack else page_top
+                out.append(_Block(text, links, top[1], top[2], top[0], top[3]))
         pieces, links = [], 0
 
     def add(piece):
@@ -207,6 +264,10 @@ def blocks_of(page: str) -> list[_Block]:
             in_link = 0
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
+                    if ended is not None and stack[i][5] and stack[i][4] == ended:
+                        for b in out[ended:]:
+                            b.furniture = True
+                        ended = None
                     del stack[i:]
                     break
             if mute is not None and len(stack) < mute[1]:
@@ -216,16 +277,26 @@ def blocks_of(page: str) -> list[_Block]:
                 stack.pop()  # a block ends an open paragraph
             if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                 stack.pop()
-            _, bad, article = stack[-1] if stack else ("", False, 0)
-            bad = tag != "main" and (bad or mute is not None or _furniture(tag, m[3], bool(article)) or tag == "head")
+            _, inside, article, group, since, _ = stack[-1] if stack else page_top
+            kind = SURE if tag == "head" else NO if tag == "main" else _furniture(tag, m[3], bool(article))
+            if tag == "article" and kind == NO and not articles and (inside or mute is not None):
+                ended, inside, mute = since if inside else None, False, None
+            bad = tag != "main" and (inside or mute is not None or kind == SURE)
             if tag in SECTION_TAGS and not bad:
-                if article and tag == "article" and any(t == "article" for t, _, _ in stack):
+                if article and tag == "article" and any(t[0] == "article" for t in stack):
                     bad = True
                 elif not article:
                     articles += 1
                     article = articles
-            stack.append((tag, bad, article))
+                    groups[group].page = True
+                    group = 0
+            if kind == SEEN and not bad:
+                groups.append(_Group(group, tag == "form"))
+                group = len(groups) - 1
+            outermost = bad and not inside
+            stack.append((tag, bad, article, group, len(out) if outermost else since, outermost))
     flush()
+    _settle(out, groups)
     return out
 
 
@@ -234,6 +305,12 @@ def _stop_share(text: str) -> float:
     return sum(w.strip(".,;:!?()\"'«»") in STOP_WORDS for w in words) / len(words)
 
 
+def _sentence(text: str) -> bool:
+    """Whether a text is more than a word or two of a menu."""
+    words = text.lower().split()
+    return len(words) > 3 or len(words) > 1 and (_SENTENCE_END.search(text) is not None or not STOP_WORDS.isdisjoint(words))
+
+
 def classify(blocks: list[_Block]) -> list[_Block]:
     """Both passes; sets ``label`` of every block to GOOD or BAD."""
     inside = sum(len(b.text) for b in blocks if b.article and not b.furniture)
@@ -259,6 +336,12 @@ def classify(blocks: list[_Block]) -> list[_Block]:
             elif share > LINK_MOST / 2:
                 b.label = BAD
     decided = [i for i, b in enumerate(scope) if b.label != OPEN]
+    if not decided and not marked:
+        plain = [b for b in scope if b.tag in PROSE_TAGS or _sentence(b.text)]
+        for b in scope if plain else ():
+            b.label = BAD
+        for b in plain or scope:
+            b.label = GOOD
     labels = [b.label for b in scope]
     k = 0
     for i, b in enumerate(scope):
@@ -274,9 +357,10 @@ def classify(blocks: list[_Block]) -> list[_Block]:
             # lists of links in an article say nothing of its paragraphs
             b.label = GOOD
         elif left is None or right is None:
-            # beyond the last decided block only text elements are text
+            # one neighbour only: words of a menu and a copyright line do not take its label
             one = labels[right if left is None else left]
-            b.label = GOOD if marked else one if b.tag in PROSE_TAGS else BAD
+            text = b.tag in PROSE_TAGS or left is not None and b.tag in PART_TAGS or _sentence(b.text)
+            b.label = GOOD if marked else one if text and not _COPYRIGHT.match(b.text) else BAD
         elif labels[left] == labels[right]:
             b.label = labels[left]
         elif b.heading:

@@ -17,6 +17,9 @@ from passagelake.llm.common import hub_join, shared_dir
 LONG = "The light of the river was on the stones and the people of the town walked by it in the morning. "
 
 
+TEXT = (LONG * 2).strip()
+
+
 # --- HTML ---------------------------------------------------------------------------
 
 
@@ -56,6 +59,24 @@ def page(body, head=""):
         ("<article>AT&amp;T &ampx</article>", "AT&T &x"),
         ("<p>cut in a tag <b class='x", "cut in a tag"),
         ("<p>a < b and c > d</p>", "a < b and c > d"),
+        # a form around the page, furniture never closed, sections named after their topic
+        (f"<form id='aspnetForm'><article><p>{TEXT}</p></article></form>", TEXT),
+        (f"<form id=f1><div class=menu>Home</div><div><p>{TEXT}</p><p>Short one.</p></div></form>", TEXT + " Short one."),
+        (f"<article><p>{TEXT}</p></article><form><p>{TEXT}</p></form>", TEXT),
+        (f"<p>{TEXT}</p><form class=newsletter><p>{TEXT}</p></form>", TEXT),
+        (f"<p>{TEXT}</p><form><p>Your name</p></form>", TEXT),
+        (f"<nav><a href=x>Home</a><article><p>{TEXT}</p></article><footer>f</footer>", TEXT),
+        (f"<nav><article><p>No {TEXT}</p></article></nav><p>{TEXT}</p>", TEXT),
+        (f"<span class=ad>Buy<article><p>{TEXT}</p></article>", TEXT),
+        (f"<ul class=comments><li><article><p>No {TEXT}</p></article></li></ul><div><p>{TEXT}</p></div>", TEXT),
+        (f"<article><h1>H</h1><section class=login><p>{TEXT}</p></section><section class=related><a href=x>Other stories</a></section></article>", "H " + TEXT),
+        (f"<article><p>{TEXT}</p><section class=notice-box><p>No {TEXT}</p></section></article>", TEXT),
+        # the label of the one neighbour
+        (f"<h1>Title</h1><p>{TEXT}</p><ul><li>First step.</li><li>Second</li></ul>", f"Title {TEXT} First step. Second"),
+        (f"<p>{TEXT}</p><table><tr><td>Alpha</td><td>12</td></tr></table>", TEXT + " Alpha 12"),
+        (f"<div>Home</div><p>{TEXT}</p><div>A short last line.</div><div>Imprint</div>", TEXT + " A short last line."),
+        (f"<p>{TEXT}</p><div>© 2020 The Company of it</div>", TEXT),
+        ("<div>Home</div><div>About</div><p>Hello there.</p>", "Hello there."),
     ],
 )
 def test_main_text(html, text):
@@ -88,12 +109,18 @@ def made_page(rng, stops):
         text = sentences(rng, rng.randint(3, 9) if tag == "h2" or rng.random() < 0.3 else rng.randint(30, 90), stops)
         blocks.append(f"<{tag}>{text}</{tag}>")
         truth.append(text)
+        if rng.random() < 0.2:
+            items = [sentences(rng, rng.randint(3, 12), stops) for _ in range(rng.randint(2, 5))]
+            before, between, after = rng.choice([("<ul><li>", "</li><li>", "</li></ul>"), ("<table><tr><td>", "</td><td>", "</td></tr></table>"), ("<div>", "</div><div>", "</div>")])
+            blocks.append(before + between.join(items) + after)
+            truth += items
         if rng.random() < 0.15:
             blocks.append(f"<div class='{rng.choice(['ad', 'ad-slot', 'newsletter-signup', 'share-buttons'])}'>{sentences(rng, 12, stops)}</div>")
     menu = rng.choice([f"<div class='menu'><ul>{links(6)}</ul></div>", f"<ul>{links(6)}</ul>", f"<nav>{links(4)}</nav>"])
     tail = rng.choice([f"<div class='footer'>{sentences(rng, 20, stops)}</div>", f"<div>(c) {sentences(rng, 4, [])}</div>", f"<ul>{links(5)}</ul><div>{sentences(rng, 3, [])}</div>"])
     side = rng.choice(["", f"<div id='sidebar'><p>{sentences(rng, 40, stops)}</p></div>", f"<div><ul>{links(8)}</ul></div>"])
-    return page(menu + side + f"<div class='{rng.choice(['content', 'post-body', 'x1'])}'>" + "\n".join(blocks) + "</div>" + tail), " ".join(truth)
+    body = menu + side + f"<div class='{rng.choice(['content', 'post-body', 'x1'])}'>" + "\n".join(blocks) + "</div>" + tail
+    return page(f"<form id='aspnetForm'>{body}</form>" if rng.random() < 0.2 else body), " ".join(truth)
 
 
 @pytest.mark.parametrize("stops", [STOPS, POLISH])
