@@ -64,7 +64,9 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 
 def open_folder(uri: str):
-    """(file system, path) of a folder; local, HDFS or S3."""
+    """(file system, path) of a folder; local, HDFS or S3 under any of Spark's names for it."""
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3" + uri[3:]
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else "file:" + uri.removeprefix("file:"))
 
 

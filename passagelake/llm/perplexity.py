@@ -9,8 +9,8 @@ is rejected. Words without any letter or digit do not count as words here.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null
 language is a language of its own; languages with one document have a band of that
-document's width plus the margin; repeated rows repeat; extra columns pass through
-:func:`filter_by_rules` untouched.
+document's width plus the margin; repeated rows repeat; other columns, whatever their
+names, are neither read nor returned.
 """
 
 from __future__ import annotations

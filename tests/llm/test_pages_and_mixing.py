@@ -12,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from passagelake.llm import html_extract, mixing, warc, wordpiece
-from passagelake.llm.common import hub_join, shared_dir
+from passagelake.llm.common import hub_join, open_folder, shared_dir
 
 LONG = "The light of the river was on the stones and the people of the town walked by it in the morning. "
 
@@ -152,6 +152,21 @@ def test_pages_table(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+# --- folders ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("scheme", ["s3", "s3a", "s3n"])
+def test_names_of_object_stores(monkeypatch, scheme):
+    class Named:
+        class FileSystem:
+            @staticmethod
+            def from_uri(uri):
+                return uri
+
+    monkeypatch.setattr("passagelake.llm.common.fs", Named)
+    assert open_folder(f"{scheme}://bucket/a/s3a") == "s3://bucket/a/s3a"
+
+
 # --- WARC ---------------------------------------------------------------------------
 
 
