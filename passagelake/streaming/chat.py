@@ -30,26 +30,26 @@ SETTINGS = {
 
 
 class ChatHistory(StatefulProcessor):
-    """Per conversation: ``said`` (next turn, characters, last messages) and ``early``, the
-    turns that came before their turn."""
+    """Per conversation: ``said`` (next turn, characters, last messages, how many turns wait)
+    and ``early``, the turns that came before their turn."""
 
     def __init__(self, keep: int, expiry_ms: int):
         self.keep, self.expiry_ms = keep, expiry_ms
 
     def init(self, handle) -> None:
-        self.said = handle.getValueState("said", "next bigint, chars bigint, recent array<string>", self.expiry_ms)
+        self.said = handle.getValueState("said", "next bigint, chars bigint, recent array<string>, waiting bigint", self.expiry_ms)
         self.early = handle.getMapState("early", "turn bigint", "role string, text string", self.expiry_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due, chars, recent = self.said.get() if self.said.exists() else (0, 0, [])
-        recent, began, waiting = list(recent), due, True  # others may wait from earlier batches
+        due, chars, recent, waiting = self.said.get() or (0, 0, [], 0)
+        recent, began = list(recent), (due, waiting)
         for chunk in rows:
             out = []
             for turn, role, text in chunk[["turn", "role", "text"]].sort_values("turn", kind="stable").itertuples(index=False):
                 if turn > due:
-                    if not self.early.containsKey((turn,)):
+                    if not waiting or not self.early.containsKey((turn,)):
                         self.early.updateValue((turn,), (role, text))
-                    waiting = True
+                        waiting += 1
                 elif turn == due:
                     while True:
                         out.append((key[0], due, role, text, chars, "\n".join(recent)))
@@ -58,10 +58,11 @@ class ChatHistory(StatefulProcessor):
                             break
                         role, text = self.early.getValue((due,))
                         self.early.removeKey((due,))
+                        waiting -= 1
             if out:
                 yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "text", "chars_before", "recent"])
-        if due != began:
-            self.said.update((due, chars, recent))
+        if (due, waiting) != began:
+            self.said.update((due, chars, recent, waiting))
 
     def close(self) -> None:
         pass
