@@ -9,8 +9,10 @@ result is that of comparing all pairs.
 
 Both sides are tables. Queries meet vectors by a cogroup on (cell, part, share): a cell
 of many vectors is cut into parts and one of many queries into shares, so a common vector or
-a favourite cell is no task of its own. What the driver sees are the pivots, and one row of
-numbers a cell, whatever the input.
+a favourite cell is no task of its own. Where vectors lie so evenly that most cells are
+within the bound, all queries meet all vectors on a grid of pieces instead: that is quadratic,
+but a piece is bounded and pairs are screened by a product of matrices. What the driver sees
+are the pivots, and one row of numbers a cell, whatever the input.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import files
@@ -28,9 +30,13 @@ from ..sources import files
 DIGITS = 9
 PIVOTS = 64
 #: Vectors of a part, and queries of a share.
-PART = 4096
+PART = 1 << 16
+#: Queries and vectors whose distances are held at once while they are screened.
+TILE = (256, 4096)
 #: Numbers that a worker holds at once while it compares.
 CELLS = 1 << 22
+#: Where cells leave a query this share of all vectors, they are not worth a row a cell.
+CROWDED = 0.25
 #: Rounding of distances must not hide a neighbour at the bound.
 SLACK = 1e-6
 
@@ -52,6 +58,79 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+class Nearest:
+    """The k nearest of the vectors that were added, for each of some queries: distances rounded,
+    ties by place.
+
+    A product of matrices in single precision tells which vectors may be within a query's
+    bound, its error added to the bound; only those are compared exactly. The bound is given, and
+    tightens to the k-th distance found so far."""
+
+    def __init__(self, queries: np.ndarray, k: int, bound: np.ndarray | None = None):
+        self.queries, self.k = queries, k
+        self.squares = np.einsum("qd,qd->q", queries, queries)
+        self.bound = np.full(len(queries), np.inf) if bound is None else np.array(bound, np.float64)
+        self.held = {}  # of a tile of queries: (row, place, distance)
+
+    def add(self, vectors: np.ndarray, places: np.ndarray) -> None:
+        if not len(vectors) or not len(self.queries):
+            return
+        squares = np.einsum("vd,vd->v", vectors, vectors)
+        most = max(squares.max(), self.squares.max())
+        kind = np.float32 if most < 1e30 else np.float64 if most < 1e300 else None  # None: too great, or no number
+        if kind is not None:
+            right = np.concatenate([vectors, squares[:, None]], 1).astype(kind).T
+            error = 2 * (vectors.shape[1] + 8) * (np.finfo(kind).eps / 2) * (self.squares + 2 * squares.max()) + 1e-8
+            reach = 4 * (self.squares + squares.max()) + 1  # no vector is further away
+        for lo in range(0, len(self.queries), TILE[0]):
+            q = self.queries[lo : lo + TILE[0]]
+            rows = slice(lo, lo + len(q))
+            if kind is not None:
+                left = np.concatenate([-2 * q, np.ones((len(q), 1))], 1).astype(kind)
+            waiting, n = [], 0
+            for at in range(0, len(vectors), TILE[1]):
+                if kind is None:
+                    near, limit = squared(q, vectors[at : at + TILE[1]]), self.bound[rows] + 1e-8
+                else:
+                    near = left @ right[:, at : at + TILE[1]]
+                    limit = np.minimum(self.bound[rows], reach[rows]) - self.squares[rows] + error[rows]
+                    free = np.nonzero(np.isinf(self.bound[rows]))[0]
+                    if len(free) and near.shape[1] > self.k:
+                        limit[free] = np.minimum(limit[free], np.partition(near[free], self.k - 1, 1)[:, self.k - 1] + 2 * error[rows][free])
+                row, col = np.nonzero(near <= limit.astype(near.dtype)[:, None])
+                if len(row):
+                    waiting.append((row, places[at + col], self._exactly(q, vectors, row, at + col)))
+                    n += len(row)
+                if waiting and (n >= self.k * len(q) or at + TILE[1] >= len(vectors)):
+                    self._merge(lo, len(q), waiting)
+                    waiting, n = [], 0
+
+    def _exactly(self, q: np.ndarray, vectors: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        out = np.empty(len(row))
+        step = max(1, CELLS // (8 * max(1, q.shape[1])))
+        for lo in range(0, len(row), step):
+            diff = q[row[lo : lo + step]] - vectors[col[lo : lo + step]]
+            out[lo : lo + step] = np.einsum("pd,pd->p", diff, diff)
+        return np.round(out, DIGITS)
+
+    def _merge(self, lo: int, n: int, more: list) -> None:
+        row, place, dist = (np.concatenate(x) for x in zip(*([self.held[lo]] if lo in self.held else []), *more))
+        fit = dist <= self.bound[lo + row]
+        row, place, dist = row[fit], place[fit], dist[fit]
+        order = np.lexsort((place, dist, row))
+        row, place, dist = row[order], place[order], dist[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        last = rank == self.k - 1
+        self.bound[lo + row[last]] = dist[last]
+        fit = rank < self.k
+        self.held[lo] = row[fit], place[fit], dist[fit]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, place, distance), sorted."""
+        parts = [(lo + row, place, dist) for lo, (row, place, dist) in sorted(self.held.items())]
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
 @dataclass
 class Partition:
     """Pivots, and of each cell its vectors, least and greatest distance from the pivot."""
@@ -118,34 +197,44 @@ def _searched(routed: DataFrame, cells: DataFrame, counts: dict[int, int], k: in
         many = {c: n for c, n in of.items() if n > 1}
         return F.coalesce(F.create_map(*[F.lit(x) for kv in many.items() for x in kv])[F.col("cell")], F.lit(1)) if many else F.lit(1)
 
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = routed.withColumn("share", F.pmod(F.xxhash64("q_id"), number(shares)).cast("int")).withColumn("part", spread(number(parts)))
     wanted = cells.where(F.col("cell").isin(list(asked))) if asked else cells.limit(0)
-    right = wanted.withColumn("part", F.pmod(F.xxhash64("chunk_pos"), number(parts)).cast("int")).withColumn("share", spread(number(shares)))
+    return _met(routed, wanted, number(shares), number(parts), k)
+
+
+def _met(queries: DataFrame, vectors: DataFrame, shares: Column, parts: Column, k: int, tasks: int | None = None) -> DataFrame:
+    """(q_id, chunk_pos, dist): queries (cell, q_id, embedding, bound) against the vectors
+    (cell, chunk_pos, embedding) of their cell, each cut into pieces of which all pairs meet;
+    of a pair of pieces up to k vectors a query within the bound."""
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = queries.withColumn("share", F.pmod(F.xxhash64("q_id"), shares).cast("int")).withColumn("part", spread(parts))
+    right = vectors.withColumn("part", F.pmod(F.xxhash64("chunk_pos"), parts).cast("int")).withColumn("share", spread(shares))
 
     def compare(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        out = ([], [], [])
+        ids, places, dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if queries.num_rows and vectors.num_rows:
-            q, v = matrix(queries.column("embedding")), matrix(vectors.column("embedding"))
-            ids, places, bound = queries.column("q_id").to_numpy(), vectors.column("chunk_pos").to_numpy(), queries.column("bound").to_numpy()
-            step = max(1, CELLS // len(v))
-            for lo in range(0, len(q), step):
-                d = np.round(squared(q[lo : lo + step], v), DIGITS)
-                limit = np.minimum(bound[lo : lo + step], np.partition(d, k - 1, 1)[:, k - 1] if len(v) > k else np.inf)
-                row, col = np.nonzero(d <= limit[:, None])
-                order = np.lexsort((places[col], d[row, col], row))
-                row, col = row[order], col[order]
-                fit = np.arange(len(row)) - np.searchsorted(row, row) < k
-                row, col = row[fit], col[fit]
-                for held, more in zip(out, (ids[lo : lo + step][row], places[col], d[row, col])):
-                    held.append(more)
-        joined = [np.concatenate(x) if x else np.empty(0) for x in out]
-        return pa.table({"q_id": pa.array(joined[0], pa.int64()), "chunk_pos": pa.array(joined[1], pa.int64()), "dist": pa.array(joined[2], pa.float64())})
+            best = Nearest(matrix(queries.column("embedding")), k, queries.column("bound").to_numpy())
+            best.add(matrix(vectors.column("embedding")), vectors.column("chunk_pos").to_numpy())
+            row, places, dist = best.found()
+            ids = queries.column("q_id").to_numpy()[row]
+        return pa.table({"q_id": pa.array(ids, pa.int64()), "chunk_pos": pa.array(places, pa.int64()), "dist": pa.array(dist, pa.float64())})
 
     keys = ("cell", "part", "share")
+    if tasks:
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "q_id bigint, chunk_pos bigint, dist double")
 
 
+def _grid(queries: DataFrame, cells: DataFrame, n: int, k: int) -> DataFrame:
+    """The same of all vectors, where cells leave out too little: both tables are cut into pieces
+    without regard to cells, at most PART rows each, and more where that gives the cores work."""
+    asked = queries.count()
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    piece = max(1, min(PART, int((asked * n / (4 * cores)) ** 0.5)))
+    shares, parts = -(-asked // piece), -(-n // piece)
+    whole = F.lit(0).alias("cell")
+    return _met(queries.select(whole, "q_id", "embedding", "bound"), cells.select(whole, "chunk_pos", "embedding"), F.lit(shares), F.lit(parts), k, 2 * shares * parts)
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("q_id").orderBy("dist", "chunk_pos")
     return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
@@ -171,14 +260,24 @@ def knn_by_cells(queries: DataFrame, vectors: DataFrame, k: int, pivots: int = P
     reached = near.where(F.col("rank") == k).select("q_id", (F.col("dist") + SLACK).alias("within"))
     bound = first.join(reached, "q_id", "left").select("q_id", "embedding", F.least("bound", F.coalesce("within", "bound")).alias("bound"))
 
-    def route(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def reached_cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         own, begins, _ = shared.value.bounds(matrix(batch.column(1)), k)
-        limit = np.sqrt(batch.column(2).to_numpy())
-        open_ = begins <= limit[:, None] + SLACK
+        open_ = begins <= np.sqrt(batch.column(2).to_numpy())[:, None] + SLACK
         open_[np.arange(len(own)), own] = False
-        row, cell = np.nonzero(open_ & np.isfinite(begins))
+        return np.nonzero(open_ & np.isfinite(begins))
+
+    def meets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([float(shared.value.count[reached_cells(batch)[1]].sum())]), pa.array([batch.num_rows], pa.int64())], ["pairs", "n"])
+
+    def route(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, cell = reached_cells(batch)
         return pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), *(c.take(pa.array(row)) for c in batch.columns)], ["cell", "q_id", "embedding", "bound"])
 
+    bound = files.kept(bound, "bounds")
+    n, met = int(known.count.sum()), _mapped(bound, "pairs double, n bigint", meets).agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+    if met["n"] and met["pairs"] > CROWDED * met["n"] * n:
+        best = _best(_grid(bound, cells, n, k), k)
+        return best.select("q_id", "chunk_pos", "dist", "rank"), first.select("q_id", F.lit(n).cast("bigint").alias("pairs"))
     second = files.kept(_mapped(bound, "cell int, q_id bigint, embedding array<double>, bound double", route), "routed")
     best = _best(near.drop("rank").unionByName(_searched(second, cells, counts, k)), k)
     sizes = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])

@@ -8,7 +8,6 @@ not decide; ties go to the passage that comes first.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +17,7 @@ from ..config import Config
 from ..functions import lang, text
 from ..sources import files
 from .index import Embedder, embedded
-from .metric import knn_by_cells
+from .metric import Nearest, knn_by_cells, matrix
 
 DIGITS = 9
 #: Query vectors that one pass over the passages holds in a worker.
@@ -39,36 +38,18 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None, nam
 
 def _block_search(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, pos: str) -> DataFrame:
     spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast((ids, queries, (queries * queries).sum(1)))
+    shared = spark.sparkContext.broadcast((ids, queries))
 
     def run(batches):
-        q_ids, q, q2 = shared.value
-        best_d = np.full((len(q), 0), np.inf)
-        best_p = np.zeros((len(q), 0), np.int64)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            every, places = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf[pos].to_numpy()
-            width = max(1, CELLS // len(q))  # passages whose distances are held at once
-            for at in range(0, len(every), width):
-                v, p = every[at : at + width], places[at : at + width]
-                # exact differences in slices: the expansion would round differently
-                d = np.empty((len(q), len(v)))
-                step = max(1, CELLS // max(1, len(v) * v.shape[1]))
-                for lo in range(0, len(q), step):
-                    diff = q[lo : lo + step, None, :] - v[None, :, :]
-                    d[lo : lo + step] = np.einsum("qvd,qvd->qv", diff, diff)
-                best_d = np.concatenate([best_d, np.round(d, DIGITS)], 1)
-                best_p = np.concatenate([best_p, np.broadcast_to(p, d.shape)], 1)
-                if best_d.shape[1] > k:
-                    order = np.lexsort((best_p, best_d), axis=1)[:, :k]
-                    best_d, best_p = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_p, order, 1)
-        n = best_d.shape[1]
-        if n:
-            yield pd.DataFrame({"q_id": np.repeat(q_ids, n), "pos": best_p.ravel(), "dist": best_d.ravel()})
-
-    found = vectors.select(pos, "embedding").mapInPandas(run, "q_id bigint, pos bigint, dist double")
-    return found
+        q_ids, q = shared.value
+        best = Nearest(q, k)
+        for batch in batches:
+            best.add(matrix(batch.column(1)), batch.column(0).to_numpy())
+        row, place, dist = best.found()
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[row], pa.int64()), pa.array(place, pa.int64()), pa.array(dist)], ["q_id", "pos", "dist"])
+
+    rows = vectors.select(F.col(pos).cast("bigint").alias("pos"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.mapInArrow(run, "q_id bigint, pos bigint, dist double")
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, pos: str = "chunk_pos") -> DataFrame:
