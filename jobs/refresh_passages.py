@@ -70,11 +70,15 @@ def refresh(spark: SparkSession, documents: str, output: str, checkpoint: str, s
     """One run; returns and logs how many documents it read and passages it added."""
     taken = f"{documents[:-1]}[{documents[-1]}]" if files.is_file(spark, documents) else documents  # a stream takes folders and patterns
     docs = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", settings.files_per_batch).parquet(taken)
-    rows = cut(docs.observe("read", F.count(F.lit(1)).alias("n")), settings).observe("written", F.count(F.lit(1)).alias("n"))
-    stream = (
-        rows.writeStream.format("parquet").partitionBy("lang_key").outputMode("append")
-        .option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    before = spark.conf.get(files.BATCH_LIMIT, None)
+    rows = cut(files.bounded(docs).observe("read", F.count(F.lit(1)).alias("n")), settings).observe("written", F.count(F.lit(1)).alias("n"))
+    try:  # a stream keeps the settings that it starts with
+        stream = (
+            rows.writeStream.format("parquet").partitionBy("lang_key").outputMode("append")
+            .option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.unset(files.BATCH_LIMIT) if before is None else spark.conf.set(files.BATCH_LIMIT, before)
     batches: dict[int, dict] = {}  # Spark keeps the last progress reports only, so they are gathered on the way
     ended = False
     while not ended:

@@ -13,7 +13,7 @@ from ..functions import text
 from ..sources import files
 from .answer import citation_label
 from .grams import occurrences
-from .index import Embedder, embedded, forward, split_chapters_by, vectors_of, with_positions
+from .index import Embedder, embedded, split_chapters_by, vectors_of, with_positions
 from .retrieve import dense_topk, ranked
 
 KS = (1, 3, 5)
@@ -98,7 +98,7 @@ def locate(questions: DataFrame, chapters: DataFrame) -> DataFrame:
     if len(held) > KEYWORD_BLOCK:
         return locate_by_grams(questions, chapters)
     schema = f"chapter string, chapter_no {body.schema['chapter_no'].dataType.simpleString()}, keyword string, n bigint"
-    found = body.mapInArrow(_occurrences(body.sparkSession.sparkContext.broadcast(sorted(held))), schema)
+    found = files.bounded(body).mapInArrow(_occurrences(body.sparkSession.sparkContext.broadcast(sorted(held))), schema)
     return found.join(keys, "keyword").select("q_id", "chapter", "chapter_no", "keyword", "n")
 
 
@@ -147,7 +147,7 @@ def _rates_of_runs(placed: DataFrame, runs: Sequence[tuple[str, int, Embedder]],
     for i, (_, config, embedder) in enumerate(runs):
         if embedder.name not in vectors:
             vectors[embedder.name] = files.kept(embedded(asked.select("q_id", F.col("question").alias("text")), embedder, query=True).select("q_id", "embedding"), "asked-vectors")
-        rows = vectors_of(forward(placed.where(F.col("config") == config), embedder))
+        rows = vectors_of(embedded(placed.where(F.col("config") == config).select("chunk_pos", "text"), embedder))
         part = dense_topk(vectors[embedder.name], rows, max(KS)).select((F.col("q_id") * n + i).alias("q_id"), "rank", "chunk_pos")
         found = part if found is None else found.unionByName(part)
     met = found.join(placed.select("chunk_pos", "chapter", "text"), "chunk_pos")
@@ -162,7 +162,7 @@ def _rates_of_runs(placed: DataFrame, runs: Sequence[tuple[str, int, Embedder]],
 
 
 def _placed(chapters: DataFrame, sizes: Sequence[tuple[int, int]]) -> DataFrame:
-    chunks = files.kept(split_chapters_by(chapters, sizes), "chunkings")
+    chunks = files.kept(split_chapters_by(files.bounded(chapters), sizes), "chunkings")
     return files.kept(with_positions(chunks, ("config",)).select("config", "chunk_pos", "chapter", "text"), "placed")
 
 

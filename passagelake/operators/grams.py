@@ -89,7 +89,7 @@ def _text_grams(bodies: DataFrame, sizes: list[int], bits: np.ndarray) -> DataFr
                     found.append(g)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], ["key", "gram"])
 
-    return bodies.select("key", "text").mapInArrow(run, "key string, gram bigint")
+    return files.bounded(bodies).select("key", "text").mapInArrow(run, "key string, gram bigint")
 
 
 def occurrences(keywords: DataFrame, bodies: DataFrame) -> DataFrame:

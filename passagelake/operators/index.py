@@ -46,7 +46,7 @@ def split_chapters_by(chapters: DataFrame, sizes: Sequence[tuple[int, int]], sea
 
 def chunk_documents(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", column: str = "text") -> DataFrame:
     """doc_id, chunk_index, chunks_in_chapter, start_index, text."""
-    parts = docs.select(F.col(key), chunk.split_column(F.col(column), size, overlap).alias("parts"))
+    parts = files.bounded(docs).select(F.col(key), chunk.split_column(F.col(column), size, overlap).alias("parts"))
     return parts.select(key, F.size("parts").cast("bigint").alias("chunks_in_chapter"), F.explode("parts").alias("p")).select(
         key, F.col("p.pos").cast("bigint").alias("chunk_index"), "chunks_in_chapter", F.col("p.start").cast("bigint").alias("start_index"), F.col("p.text").alias("text")
     )
@@ -95,7 +95,7 @@ def _count_terms(batches):
 def postings(passages: DataFrame, pos: str = "chunk_pos", column: str = "text") -> DataFrame:
     """(chunk_pos, term, tf, dl). A passage is one row, so its terms are counted where
     it lies: no shuffle, where exploding and grouping would move every token."""
-    rows = passages.select(F.col(pos).cast("bigint").alias("chunk_pos"), F.col(column).cast("string").alias("text"))
+    rows = files.bounded(passages).select(F.col(pos).cast("bigint").alias("chunk_pos"), F.col(column).cast("string").alias("text"))
     return rows.mapInArrow(_count_terms, "chunk_pos bigint, term string, tf bigint, dl bigint")
 
 
@@ -106,7 +106,7 @@ def _count_tokens(batches):
 
 def lengths(passages: DataFrame, column: str = "text") -> DataFrame:
     """One row (n, avgdl); passages without tokens count, avgdl is 1 without any."""
-    each = passages.select(F.col(column).cast("string").alias("text")).mapInArrow(_count_tokens, "dl bigint")
+    each = files.bounded(passages).select(F.col(column).cast("string").alias("text")).mapInArrow(_count_tokens, "dl bigint")
     return each.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
 
 
@@ -149,7 +149,7 @@ class HashingEmbedder:
     def _bucket(self, token: str) -> int:
         got = self._known.get(token)
         if got is None:
-            if len(self._known) > 500_000:
+            if len(self._known) > 50_000:
                 self._known.clear()
             got = self._known[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
         return got
@@ -157,8 +157,9 @@ class HashingEmbedder:
     def embed_tokens(self, rows: Sequence[Sequence[str]]) -> np.ndarray:
         out = np.zeros((len(rows), self.dim))
         for i, tokens in enumerate(rows):
-            for t in tokens:
-                out[i, self._bucket(t)] += 1
+            if tokens:
+                found = Counter(tokens)
+                out[i] = np.bincount([self._bucket(t) for t in found], list(found.values()), self.dim)
         norm = np.sqrt((out * out).sum(1, keepdims=True))
         return out / np.where(norm == 0, 1, norm)
 
@@ -232,7 +233,7 @@ def embedded(rows: DataFrame, embedder: Embedder, column: str = "text", query: b
             vectors = np.array([embedder.embed_query(t) for t in texts]) if query else np.asarray(embedder.embed_documents(texts))
             yield pdf.assign(embedding=list(vectors.reshape(len(texts), -1)))
 
-    return rows.mapInPandas(run, schema)
+    return files.bounded(rows).mapInPandas(run, schema)
 
 
 # --- forward rows -------------------------------------------------------------------
@@ -242,7 +243,7 @@ def forward(passages: DataFrame, embedder: Embedder | None = None, pos: str = "c
     """(chunk_pos, dl, terms, tfs, embedding): what lexical and dense search know of a
     passage, in one row, from one pass over its text. Without an embedder the vector is
     null. Postings and vectors are views of it (:func:`postings_of`, :func:`vectors_of`)."""
-    rows = passages.select(F.col(pos).cast("bigint").alias("chunk_pos"), F.col(column).cast("string").alias("text"))
+    rows = files.bounded(passages).select(F.col(pos).cast("bigint").alias("chunk_pos"), F.col(column).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:

@@ -34,7 +34,7 @@ PART = 1 << 16
 #: Queries and vectors whose distances are held at once while they are screened.
 TILE = (256, 4096)
 #: Numbers that a worker holds at once while it compares.
-CELLS = 1 << 22
+CELLS = 1 << 20
 #: Where cells leave a query this share of all vectors, they are not worth a row a cell.
 CROWDED = 0.25
 #: Rounding of distances must not hide a neighbour at the bound.
@@ -163,7 +163,7 @@ def _mapped(rows: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.Re
             if batch.num_rows:
                 yield work(batch)
 
-    return rows.mapInArrow(run, schema)
+    return files.bounded(rows).mapInArrow(run, schema)
 
 
 def cells_of(vectors: DataFrame, pivots: int = PIVOTS, pos: str = "chunk_pos") -> tuple[Partition, DataFrame]:

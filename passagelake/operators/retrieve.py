@@ -23,7 +23,7 @@ DIGITS = 9
 #: Query vectors that one pass over the passages holds in a worker.
 QUERY_BLOCK = 4096
 #: Numbers that a worker holds at once while it compares.
-CELLS = 1 << 22
+CELLS = 1 << 20
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
@@ -228,7 +228,7 @@ def one_pass(questions: DataFrame, rows: DataFrame, terms: DataFrame, stats: Dat
     and streams the passages past it. A passage's terms are all in its row, so scores are
     added up where it lies, and what a task sends on is k or m rows a question.
     """
-    spark = rows.sparkSession
+    spark = files.bounded(rows).sparkSession
     q = questions.select(F.col("q_id").cast("bigint").alias("q_id"), "question")
     weights = question_terms(q).join(terms.select("term", "idf"), "term").groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms"))
     held = q.select("q_id").distinct().join(weights, "q_id", "left")

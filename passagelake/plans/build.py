@@ -28,7 +28,7 @@ def fetch_book(spark: SparkSession, book: str, cache: str, conf: Config, main_pa
 
 def build(spark: SparkSession, chapters: DataFrame, path: str, conf: Config, book: str = "") -> None:
     """Chunks, embeds and stores chapters."""
-    chunks = index.with_positions(index.split_chapters(chapters, conf.chunk_size, conf.chunk_overlap))
+    chunks = index.with_positions(index.split_chapters(files.bounded(chapters), conf.chunk_size, conf.chunk_overlap))
     names = [r["chapter"] for r in chapters.select("chapter", "chapter_no").orderBy(F.coalesce("chapter_no", F.lit(1_000_000)), "chapter").collect()]
     info = {"book": book, "chunk_size": conf.chunk_size, "chunk_overlap": conf.chunk_overlap, "num_chapters": len(names), "chapters": names}
     index.build_index(chunks, index.make_embedder(conf), path, info)

@@ -14,6 +14,18 @@ from ..functions import text
 from ..schema import CHAPTERS, CHUNKS, QUESTIONS, RAW_PAGES
 
 
+#: Bytes of rows that Python is given at once.
+BATCH_BYTES = 4 << 20
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands Python batches of at most ``BATCH_BYTES``, where by
+    default ten thousand rows of any length make one."""
+    df.sparkSession.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``); only a local
     master may do without that setting."""
@@ -69,7 +81,7 @@ def _remove_scratch() -> None:
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table. A small one that lies in fewer files than there are cores would be
     read, and worked on, by as few tasks: its rows are dealt out first."""
-    df = spark.read.parquet(path)
+    df = bounded(spark.read.parquet(path))
     cores = spark.sparkContext.defaultParallelism
     if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * (64 << 20) and len(df.inputFiles()) < cores // 2:
         return df.repartition(cores)

@@ -24,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..config import Config
 from ..functions import html, text
 from ..schema import RAW_PAGES
+from . import files
 
 RETRY_STATUS = (429, 500, 502, 503, 504)
 RETRY_CODES = ("maxlag", "ratelimited")
@@ -214,7 +215,7 @@ def read_titles(spark: SparkSession, titles: list[str], conf: Config) -> DataFra
 def chapters_of(raw_pages: DataFrame, book: str, author: str, host: str, least: int = 30) -> DataFrame:
     """Chapters from fetched pages: readable text, cleaned of the title, author and
     chapter name; those under ``least`` characters are dropped."""
-    named = raw_pages.select("title", text.chapter_name("title").alias("chapter"), html.html_text("html").alias("text"))
+    named = files.bounded(raw_pages).select("title", text.chapter_name("title").alias("chapter"), html.html_text("html").alias("text"))
     drops = F.array(F.lit(book), F.lit(author), F.col("chapter"), F.col("title"))
     marks = F.array(F.lit(book), F.lit(author), F.col("chapter"))
     done = text.cleaned(named, "text", drops, marks).where(F.char_length("text") >= least)
