@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Config
-from ..functions import chunk, lang, text
+from ..functions import chunk, lang
 from ..schema import INDEX_INFO
 from ..sources import files
 
@@ -214,13 +214,13 @@ def make_embedder(conf: Config) -> Embedder:
     return PrefixEmbedder(inner) if "e5" in conf.embedding_model.lower() else inner
 
 
-_JOINERS = {0x200C: None, 0x200D: None, ord("—"): "-", ord("–"): "-", **{ord(c): " " for c in text.BRACKETS}}
 _TOKEN = re.compile(r"[ঀ-৿]+|[a-zA-Z0-9]+")
 
 
 def plain_tokens(x: str | None) -> list[str]:
-    """The tokens of :func:`functions.text.tokenize`, in plain Python."""
-    return _TOKEN.findall(" ".join((x or "").translate(_JOINERS).split()).lower())
+    """The tokens of :func:`functions.text.tokenize`, in plain Python: of what is replaced there
+    only the joiners matter, as all else stays between tokens."""
+    return _TOKEN.findall((x or "").replace("\u200c", "").replace("\u200d", "").lower())
 
 
 def embedded(rows: DataFrame, embedder: Embedder, column: str = "text", query: bool = False) -> DataFrame:
