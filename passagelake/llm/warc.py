@@ -9,7 +9,9 @@ index, checks the digest of each response and returns one row per record.
 Equal payloads of at least ``revisit_from`` bytes are stored once: the page with the
 smallest id is the response, the others are revisits that name it. Only the ids and
 digests meet by digest; payloads never do, so a payload shared by a third of all
-pages is not gathered anywhere.
+pages is not gathered anywhere. Pages whose digest no other page has are written where
+they were read: a bitmap of bounded size tells most of them from those that are shuffled
+to meet what they refer to.
 
 Defined cases: null html is an empty payload; null url becomes ``urn:x-none``; a null
 page_id never leads a group unless all its ids are null (then all are responses);
@@ -39,6 +41,8 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nConte
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 64 << 20
 LEVEL = 1
+#: Words of 64 bits in the bitmap of digests that several pages have (10.5 MB as a broadcast when full).
+WORDS = 1 << 18
 
 
 def record_id(page_id) -> str:
@@ -210,11 +214,17 @@ def with_revisits(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """page_id, url, html, digest (hex), refers_to."""
     full = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     full = full.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
-    keys = full.where(F.octet_length("html") >= revisit_from).select("page_id", "digest")
-    leads = keys.groupBy("digest").agg(F.min("page_id").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    keys = written(full.where(F.octet_length("html") >= revisit_from).select("page_id", "digest"), "warc-keys")
+    leads = written(keys.groupBy("digest").agg(F.min("page_id").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1"), "warc-leads")
     # a payload that many pages share (the empty one) is looked up by broadcast
-    revisits = hub_join(keys.distinct(), leads, "digest", pages.count()).where("page_id is null or page_id <> lead").where("lead is not null").select(F.col("page_id").alias("p"), F.col("digest").alias("g"), F.col("lead").alias("refers_to"))
-    return full.join(revisits, F.expr("page_id <=> p and digest = g"), "left").select("page_id", "url", "html", "digest", "refers_to")
+    revisits = hub_join(keys.distinct(), leads, "digest", keys.count()).where("page_id is null or page_id <> lead").where("lead is not null").select(F.col("page_id").alias("p"), F.col("digest").alias("g"), F.col("lead").alias("refers_to"))
+    # a page whose bit is not set is a response and stays where it is; with the others the join decides, so a bit set by another digest changes nothing
+    word, bit = F.expr(f"pmod(xxhash64(digest), {WORDS})"), F.expr("cast(pmod(xxhash64(digest, 1), 64) as int)")
+    bits = leads.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
+    marked = full.withColumns({"word": word, "bit": bit}).join(F.broadcast(bits), "word", "left").withColumn("shared", F.coalesce(F.getbit("bits", "bit"), F.lit(0)) == 1)
+    alone = marked.where("not shared").select("page_id", "url", "html", "digest", F.lit(None).cast("bigint").alias("refers_to"))
+    met = marked.where("shared").join(revisits, F.expr("page_id <=> p and digest = g"), "left").select("page_id", "url", "html", "digest", "refers_to")
+    return alone.unionByName(met)
 
 
 def write_archives(pages: DataFrame, base: str, revisit_from: int = 0) -> DataFrame:
