@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 import urllib.parse
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -20,6 +21,8 @@ INVISIBLE = "\u200b\u200e\u200f\u2060\ufeff\u00ad\u202a\u202c"
 BRACKETS = "[]{}()<>|*_#`~"
 #: The white space of Python's str.strip and \s, as a regex class body.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same characters, one by one; all but the space itself.
+SPACES = "".join(c for c in map(chr, range(0x21, 0x3001)) if c.isspace()) + "\t\n\v\f\r\x1c\x1d\x1e\x1f"
 TOKEN = r"[\x{980}-\x{9ff}]+|[a-zA-Z0-9]+"
 DIGIT = f"[0-9{lang.BENGALI_DIGITS}]"
 CITATION = rf"\[[{SPACE}]*({DIGIT}+(?:[{SPACE}]*[,،][{SPACE}]*{DIGIT}+)*)[{SPACE}]*\]"
@@ -29,6 +32,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def any_of(haystack: Column, needles: list[str]) -> Column:
     """Whether a text contains one of the words."""
     return reduce(or_, [F.contains(haystack, F.lit(n)) for n in needles]) if needles else F.lit(False)
@@ -41,12 +49,16 @@ def nfc(texts: pd.Series) -> pd.Series:
 
 
 def strip(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(col(x), F.lit(SPACES + " "))
 
 
 def collapse(x: Column | str) -> Column:
     """White space to one space, ends stripped."""
-    return F.trim(F.regexp_replace(col(x), rf"[{SPACE}]+", " "))
+    return _one_space(F.translate(col(x), SPACES, " " * len(SPACES)))
+
+
+def _one_space(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, "  +", " "))
 
 
 def drop_invisible(x: Column | str) -> Column:
@@ -64,8 +76,8 @@ def normalize_query(x: Column | str) -> Column:
 
 def normalize_text(x: Column | str) -> Column:
     """Lower case, joiners away, dashes and brackets plain, white space collapsed."""
-    t = F.translate(F.coalesce(col(x), F.lit("")), "—–" + BRACKETS + "\u200c\u200d", "--" + " " * len(BRACKETS))
-    return F.lower(collapse(t))
+    t = F.translate(F.coalesce(col(x), F.lit("")), "—–" + BRACKETS + SPACES + "\u200c\u200d", "--" + " " * len(BRACKETS + SPACES))
+    return F.lower(_one_space(t))
 
 
 def tokenize(x: Column | str) -> Column:
@@ -79,12 +91,16 @@ def query_terms(x: Column | str) -> Column:
 
 
 def question_type(x: Column | str) -> Column:
-    q = normalize_text(x)
+    return bound(normalize_text(x), type_of)
+
+
+def type_of(normalized: Column) -> Column:
+    """:func:`question_type` of a question that is normalised already and stands in a column."""
     out = None
     for name, words, pattern in lang.QUESTION_TYPES:
-        test = any_of(q, words)
+        test = any_of(normalized, words)
         if pattern:
-            test = q.rlike(pattern) | test
+            test = normalized.rlike(pattern) | test
         out = F.when(test, name) if out is None else out.when(test, name)
     return out.otherwise(lang.DEFAULT_TYPE)
 
@@ -97,15 +113,23 @@ def by_type(kind: Column, values: dict[str, str]) -> Column:
 
 def expanded_queries(x: Column | str, most: int = 3) -> Column:
     """At most three variants: the question, with the hints of its type, and with the
-    lexical variants it calls for; distinct after normalising."""
-    q = strip(x)
-    hinted = F.concat(q, F.lit(" "), by_type(question_type(q), {k: " ".join(v) for k, v in lang.HINTS.items()}))
-    extra = F.array_distinct(F.flatten(F.array(*[F.when(any_of(q, when), F.array(*[F.lit(w) for w in words])).otherwise(F.array().cast("array<string>")) for when, words in lang.VARIANTS])))
-    lexical = F.when(F.size(extra) > 0, F.concat(q, F.lit(" "), F.array_join(extra, " ")))
-    variants = F.transform(F.filter(F.array(q, hinted, lexical), lambda v: v.isNotNull()), lambda v: F.struct(normalize_text(v).alias("key"), collapse(v).alias("text")))
-    empty = F.filter(variants, lambda v: F.lit(False))
-    distinct = F.aggregate(variants, empty, lambda seen, v: F.when((v["key"] == "") | F.exists(seen, lambda s: s["key"] == v["key"]), seen).otherwise(F.concat(seen, F.array(v))))
-    return F.slice(F.transform(distinct, lambda v: v["text"]), 1, most)
+    lexical variants it calls for; distinct after normalising. The question is stripped,
+    collapsed and normalised once; what is added to it is, apart from it."""
+    stripped = strip(x)
+    hints = {k: " ".join(v) for k, v in lang.HINTS.items()}
+
+    def variant(q: Column, more: Column) -> Column:
+        return F.struct(F.trim(F.concat(q["key"], F.lit(" "), normalize_text(more))).alias("key"), F.trim(F.concat(q["text"], F.lit(" "), collapse(more))).alias("text"))
+
+    def spread(q: Column) -> Column:
+        extra = F.array_distinct(F.flatten(F.array(*[F.when(any_of(q["raw"], when), F.array(*[F.lit(w) for w in words])).otherwise(F.array().cast("array<string>")) for when, words in lang.VARIANTS])))
+        lexical = bound(F.array_join(extra, " "), lambda e: F.when(e != "", variant(q, e)))
+        variants = F.filter(F.array(F.struct(q["key"].alias("key"), q["text"].alias("text")), bound(by_type(type_of(q["key"]), hints), lambda h: variant(q, h)), lexical), lambda v: v["text"].isNotNull())
+        empty = F.array().cast("array<struct<key:string,text:string>>")
+        distinct = F.aggregate(variants, empty, lambda seen, v: F.when((v["key"] == "") | F.exists(seen, lambda s: s["key"] == v["key"]), seen).otherwise(F.concat(seen, F.array(v))))
+        return F.slice(F.transform(distinct, lambda v: v["text"]), 1, most)
+
+    return bound(bound(stripped, lambda q: F.struct(q.alias("raw"), normalize_text(q).alias("key"), collapse(q).alias("text"))), spread)
 
 
 def _marker_share(content: Column, markers: list[str]) -> Column:
@@ -120,8 +144,8 @@ def hint_scores(normalized: Column | str) -> Column:
 
 def hint_score(kind: Column, text: Column | str) -> Column:
     """Markers of the question's type in the text, three or more count as 1."""
-    scores = hint_scores(normalize_text(text))
-    return F.coalesce(scores[kind], scores[F.lit(lang.DEFAULT_TYPE)])
+    scores = bound(normalize_text(text), hint_scores)
+    return bound(scores, lambda s: F.coalesce(s[kind], s[F.lit(lang.DEFAULT_TYPE)]))
 
 
 def stem(x: Column | str) -> Column:
